@@ -26,3 +26,44 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
          OR n_dup_lines > 0.6 * n_lines OR word_chars < 1.5 * n_words OR word_chars > 25.0 * n_words) AS kept
 FROM f
 """
+
+ORACLES["op3_chat_prefix_tree"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+c AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+         sum(length('<turn "' || role || '">') + 1 + length(regexp_replace(text, '\\|</?turn', 'x\0', 'g')) + length('</turn>') + 1)::BIGINT AS formatted_chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c
+"""
+
+ORACLES["op6_mix_sources"] = f"""
+WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, list_extract(list_value(3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE), (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1) AS w, 2.0::DOUBLE * source_size AS cap FROM s),
+l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+               / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, least(cap, max(level) OVER () * w) AS target FROM l),
+c AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY k, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM d),
+b AS (SELECT c.*, source_size, target, round(target)::BIGINT AS budget FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size > 0 THEN (budget // source_size) * size + greatest(0, least(size, budget % source_size - (upto - size))) ELSE 0 END::BIGINT AS taken
+FROM b
+"""
+
+ORACLES["op10_line_dedup"] = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+         list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script>|<style\b.*?</style>', '', 'g'), '<[^>]*>|\n'),
+                     lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS ls FROM pages),
+e AS (SELECT r, host, unnest(list_distinct(ls)) AS l FROM p),
+n AS (SELECT host, l, count(*) AS n FROM e GROUP BY host, l),
+h AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+b AS (SELECT n.host, list(l) AS bad FROM n JOIN h ON n.host IS NOT DISTINCT FROM h.host WHERE n >= 3 AND n > 0.3 * pages GROUP BY n.host),
+k AS (SELECT page_id, p.host, len(ls)::BIGINT AS n_lines, CASE WHEN bad IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(bad, x)) END AS kept
+      FROM p LEFT JOIN b ON p.host IS NOT DISTINCT FROM b.host)
+SELECT page_id, host, n_lines, len(kept)::BIGINT AS n_kept, md5(array_to_string(kept, chr(10))) AS kept_md5 FROM k
+"""

@@ -25,6 +25,58 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"))
 
 
+def op3_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corvane.llm.chat_format import pack_conversations, read_packs
+
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = read_packs(pack_conversations(turns, tokenizer), tokenizer)
+    told = F.array_join(F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("texts").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.common import n_words
+    from corvane.llm.mixing import mix
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", n_words("text").alias("words"))
+    out = mix(docs, weights=(3, 1, 2), share=1.5, max_epochs=2, size=F.col("words"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.common import new_dir
+    from corvane.llm.warc import read_archives, write_archives
+
+    manifest = write_archives(_read(spark, sf_dir, "pages"), new_dir(spark, "warc"))
+    return read_archives(manifest, payload=False).drop("url")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corvane.llm.common import new_dir
+    from corvane.llm.token_files import checksums, read_rows, write_tokens
+
+    manifest = write_tokens(_read(spark, sf_dir, "documents"), new_dir(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return checksums(read_rows(manifest))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.line_dedup import drop_boilerplate, host_of, visible_lines
+
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = drop_boilerplate(pages, visible_lines(F.col("html")), host_of(F.col("url")))
+    return out.select("page_id", "host", "n_lines", F.size("lines").cast("long").alias("n_kept"), F.md5(F.array_join("lines", "\n")).alias("kept_md5"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
