@@ -25,6 +25,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"))
 
 
+def op1_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.brown import score
+
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    out = score(_read(spark, sf_dir, "documents").select("doc_id", "text"), ~held)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
