@@ -67,3 +67,22 @@ k AS (SELECT page_id, p.host, len(ls)::BIGINT AS n_lines, CASE WHEN bad IS NULL
       FROM p LEFT JOIN b ON p.host IS NOT DISTINCT FROM b.host)
 SELECT page_id, host, n_lines, len(kept)::BIGINT AS n_kept, md5(array_to_string(kept, chr(10))) AS kept_md5 FROM k
 """
+
+#: Links are found through shared rare shingles: of a set's shingles by document frequency, those before the
+#: (n - ceil(0.9 n) + 1)th; both sides of a link share one of them.
+ORACLES["op2_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM d),
+e AS (SELECT r, len(s) AS n, unnest(s) AS g FROM s),
+f AS (SELECT g, count(*) AS df FROM e GROUP BY g),
+p AS (SELECT r, n, g FROM e JOIN f USING (g) QUALIFY row_number() OVER (PARTITION BY r ORDER BY df, g) <= n - ceil(0.9 * n) + 1),
+c AS (SELECT DISTINCT a.r AS a, b.r AS b FROM p a JOIN p b ON a.g = b.g AND a.r < b.r WHERE 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)),
+k AS (SELECT a, b FROM c JOIN s x ON x.r = a JOIN s y ON y.r = b
+      WHERE 190 * len(list_intersect(x.s, y.s)) >= 90 * (len(x.s) + len(y.s))),
+l AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+t AS (SELECT r AS a, r AS b FROM d UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.component_id FROM s
+JOIN (SELECT t.a, min(d.doc_id) AS component_id FROM t JOIN d ON t.b = d.r GROUP BY t.a) m ON m.a = s.r
+"""

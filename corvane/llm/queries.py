@@ -33,6 +33,12 @@ def op1_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.jaccard_join import jaccard_groups
+
+    return jaccard_groups(_read(spark, sf_dir, "documents").select("doc_id", "text"), width=3, num=90, den=100)
+
+
 def op3_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
