@@ -9,7 +9,8 @@ That makes a T-occurrence problem: lists of these signature hashes, and pairs th
   short ones at least, so long lists are never expanded; pairs that reach that are probed by binary search over the
   whole signatures for l occurrences, and what remains is checked on the whole shingle sets.
 - Classes with so many long lists that short ones prove nothing (groups of very many near copies) meet, whole sets and
-  all, in blocks by long list, cut into tiles of bounded size. Inside a tile the same search runs class by class:
+  all, in blocks by long list. As a link shares l lists, the l - 1 longest of a class need no block: the shortest
+  list that two classes share is never among them. Blocks are cut into tiles of bounded size. Inside a tile the same search runs class by class:
   the longest lists are skipped, the others merged, the skipped ones probed; a pair already connected isn't
   checked again, so a tile gives at most one link per class.
 
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import components, written
@@ -197,38 +198,54 @@ def _check(num: int, den: int):
     return run
 
 
+def _entries(owners: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """owners[a:b] of all (a, b) in a row."""
+    sizes = ends - starts
+    return owners[np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)]
+
+
 def tile_links(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect a tile's classes as all their links would: DivideSkip for each class among those before it."""
+    """Links that connect a tile's classes as all their links would: DivideSkip for each class among those before it.
+
+    The lists are those of all shingles. Of a class's lists the longest T - 1 are skipped and the others merged, which
+    gives every partner at least once; partners in the class's own component go, and the skipped lists are probed
+    for the others by binary search, or merged too where that is less work. What results is the exact overlap.
+    """
     order = np.argsort(nodes, kind="stable")
     nodes, sets = nodes[order], [sets[i] for i in order]
     sizes = np.array([len(s) for s in sets])
-    signs = [s[:_prefix(len(s), num, den) + _least(len(s), num, den) - 1] for s in sets]
-    lists: dict[int, list[int]] = {}
+    hashes = np.concatenate(sets)
+    owners = np.repeat(np.arange(len(sets)), sizes)
+    by_hash = np.argsort(hashes, kind="stable")
+    hashes, owners = hashes[by_hash], owners[by_hash]
     root = np.arange(len(nodes))
-    out = []
-    for i, sign in enumerate(signs):
-        mine = sorted((lists[h] for h in sign.tolist() if h in lists), key=len)
-        low = _need(int(sizes[i]), num, den)
-        least = _least(low, num, den)  # of the smallest partner, so no pair is missed
-        skip = min(least - 1, max(len(mine) - 1, 0))
-        short, long = mine[:len(mine) - skip], mine[len(mine) - skip:]
-        if short:
-            found, times = np.unique(np.concatenate([np.asarray(x) for x in short]), return_counts=True)
-            keep = (times >= least - skip) & (sizes[found] * den >= num * sizes[i]) & (sizes[i] * den >= num * sizes[found])
-            found, times = found[keep], times[keep]
-            for x in long:
-                if len(found):
-                    x = np.asarray(x)
-                    at = np.minimum(np.searchsorted(x, found), len(x) - 1)
-                    times = times + (x[at] == found)
-            found = found[times >= least]
-            while len(found := found[root[found] != root[i]]):
-                j, found = int(found[0]), found[1:]
-                if _linked(sets[i], sets[j], num, den):
-                    out.append((int(nodes[j]), int(nodes[i])))
-                    root[root == root[i]] = root[j]
-        for h in sign.tolist():
-            lists.setdefault(h, []).append(i)
+    out: list[tuple[int, int]] = []
+
+    def link(i: int, j: int) -> None:
+        out.append((int(nodes[j]), int(nodes[i])))
+        root[root == root[i]] = root[j]
+
+    for i in range(1, len(sets)):
+        if _linked(sets[i], sets[i - 1], num, den):
+            link(i, i - 1)
+        if (root[:i] == root[i]).all():
+            continue
+        starts, ends = np.searchsorted(hashes, sets[i], "left"), np.searchsorted(hashes, sets[i], "right")
+        lengths = np.argsort(ends - starts, kind="stable")
+        skip = min(_need(int(sizes[i]), num, den) - 1, len(lengths) - 1)
+        short, long = lengths[:len(lengths) - skip], lengths[len(lengths) - skip:]
+        times = np.bincount(_entries(owners, starts[short], ends[short]), minlength=len(sets))[:i]
+        found = np.flatnonzero(times)
+        found = found[(root[found] != root[i]) & (sizes[found] * den >= num * sizes[i]) & (sizes[i] * den >= num * sizes[found])]
+        if not len(found):
+            continue
+        if len(found) <= 8:
+            both = times[found] + [_shared(sets[i][np.sort(long)], sets[j]) for j in found]
+        else:
+            both = (times + np.bincount(_entries(owners, starts[long], ends[long]), minlength=len(sets))[:i])[found]
+        for j in found[both * den >= num * (sizes[found] + sizes[i] - both)].tolist():
+            if root[j] != root[i]:
+                link(i, j)
     return out
 
 
@@ -264,9 +281,12 @@ def jaccard_groups(docs: DataFrame, width: int, num: int, den: int, doc_id: str
     merged = merged.where(F.col("times") >= F.least("least_a", "least_b") - F.least("longs_a", "longs_b"))
     probed = written(merged.select("a", "b", "n_a", "n_b", "sign_a", "sign_b").mapInArrow(_probe(num, den), "a long, b long"), "probed")
 
-    smallest = F.ceil(F.col("n") * num / den)
-    dense = info.where(F.col("longs") >= F.least(F.col("least"), (1 + F.floor(prefix(smallest) / 4)).cast("long"))).select("node", "n")
-    dense = shared.where(F.col("df") > long_list).where(F.col("pos") < prefix(F.col("n"))).join(dense.select("node"), "node").select("h", "node")
+    smallest = F.ceil(F.col("n") * num / F.lit(den))
+    dense = info.withColumn("low", F.least(F.col("least"), (1 + F.floor(prefix(smallest) / 4)).cast("long"))).where("longs >= low")
+    dense = dense.select("node", (F.col("longs") - F.col("low") + 1).alias("kept"))
+    shortest = Window.partitionBy("node").orderBy("df", "h")
+    dense = shared.where(F.col("df") > long_list).select("h", "node", "df").join(dense, "node")
+    dense = dense.withColumn("nth", F.row_number().over(shortest)).where("nth <= kept").select("h", "node")
     counts = dense.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1").withColumn("chunks", F.ceil(F.col("members") / tile).cast("int"))
     members = written(dense.join(counts, "h").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "dense")
 
