@@ -56,6 +56,20 @@ def op3_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.decontaminate import find_leaks
+
+    return find_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.toxicity import toxicity
+
+    train = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+    out = toxicity(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"), train)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "score", "predicted")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.common import n_words
     from corvane.llm.mixing import mix
