@@ -120,7 +120,13 @@ class Index:
             s, band = divmod(key, span)
             if last == (s, band - 1):
                 continue  # the band before, which overlaps this one, has this segment already
-            edits, end = aligned(self.text[s], c, (band + base) * self.band, (band + base + 2) * self.band, int(self.edits[s]))
+            m, low_d = int(self.length[s]), (band + base) * self.band
+            on = diagonal[(owner == s) & (diagonal >= low_d) & (diagonal < low_d + 2 * self.band)]
+            best = int(on[np.bincount(on - low_d).argmax() == on - low_d][0])
+            if best >= 0 and np.array_equal(c[best:best + m], self.text[s]):
+                edits, end = 0, best + m  # nothing to align where the fullest diagonal has no difference
+            else:
+                edits, end = aligned(self.text[s], c, low_d, low_d + 2 * self.band, int(self.edits[s]))
             if edits <= self.edits[s]:
                 last = (s, band)
                 out.append((s, max(0, end - int(self.length[s])), end, edits))
@@ -128,22 +134,25 @@ class Index:
 
 
 def aligned(pattern: np.ndarray, text: np.ndarray, low: int, high: int, edits: int) -> tuple[int, int]:
-    """Least edits between the pattern and a stretch of text on diagonals low - edits .. high + edits, and the stretch's end."""
-    d = np.arange(low - edits, high + edits + 1)
-    index = np.arange(len(d))
-    far = len(pattern) + len(text) + 1
-    row = np.where((d >= 0) & (d <= len(text)), 0, far)
+    """Least edits between the pattern and a stretch of text on diagonals low - edits .. high + edits, and the stretch's end.
+
+    Beyond its ends the text goes on in a character that matches nothing, which never makes an alignment cheaper.
+    """
+    first, width = low - edits, high - low + 2 * edits + 1
+    window = np.full(width + len(pattern), np.uint64(0xFFFFFFFF))
+    a, b = max(first, 0), min(first + len(window), len(text))
+    if a < b:
+        window[a - first:b - first] = text[a:b]
+    index = np.arange(width)
+    row = np.zeros(width, dtype=np.int64)
     for i, x in enumerate(pattern):
-        at = i + d
-        inside = (at >= 0) & (at < len(text))
-        cost = np.where(inside, text[np.clip(at, 0, max(len(text) - 1, 0))] != x, far) if len(text) else np.full(len(d), far)
-        step = row + cost
-        step[:-1] = np.minimum(step[:-1], row[1:] + 1)
-        step[-1] = min(step[-1], far)
-        row = np.minimum.accumulate(step - index) + index
-        row = np.where((at + 1 >= 0) & (at + 1 <= len(text)), row, far)
+        step = row + (window[i:i + width] != x)
+        np.minimum(step[:-1], row[1:] + 1, out=step[:-1])
+        step -= index
+        row = np.minimum.accumulate(step)
+        row += index
     k = int(row.argmin())
-    return int(row[k]), int(len(pattern) + d[k])
+    return int(row[k]), min(max(int(len(pattern) + first + k), 0), len(text))
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, limits: Limits) -> Iterator[list[tuple]]:
