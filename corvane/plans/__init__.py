@@ -3,3 +3,4 @@
 
 def load() -> None:
     """Imports every module of this package that registers queries."""
+    from corvane.plans import events, relational, retrieval  # noqa: F401
