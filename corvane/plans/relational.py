@@ -12,10 +12,10 @@ from corvane.sources.tables import table as t
 n = lambda: F.count(F.lit(1)).alias("n")
 
 
-@query("p01_project_filter_case", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity >= 40 THEN 'big' WHEN l_quantity >= 20 THEN 'mid' ELSE 'small' END AS size, round(l_extendedprice * (1 - l_discount), 2) AS net FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'")
+@query("p01_project_filter_case", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity >= 40 THEN 'big' WHEN l_quantity >= 20 THEN 'mid' ELSE 'small' END AS size, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'")
 def project(s, d):
     size = F.when(F.col("l_quantity") >= 40, "big").when(F.col("l_quantity") >= 20, "mid").otherwise("small")
-    return t(s, d, "lineitem").where("l_shipdate < TIMESTAMP '1998-01-01'").select("l_orderkey", "l_linenumber", size.alias("size"), F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).alias("net"))
+    return t(s, d, "lineitem").where("l_shipdate < TIMESTAMP '1998-01-01'").select("l_orderkey", "l_linenumber", size.alias("size"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
 
 
 @query("p03_filter_tree", "SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND (n_chars > 2000 OR source IN ('src1', 'src2')) AND source NOT IN ('src9')")
