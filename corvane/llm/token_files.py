@@ -44,24 +44,19 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
-        self.mark = self.special[0]
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
-        self.max_words, self.known = max_words, {}
+        self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
+        self.max_words, self.known, self.stems = max_words, {}, {"": b""}
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word; many words go in one call, with a special token between them."""
+        """Ids of each word; many words go in one call, which tells the word of each id."""
         out = {}
         plain = [w for w in words if "<|" not in w]
-        for at in range(0, len(plain), 1000):
-            some = plain[at:at + 1000]
-            ids = np.array(self.tokenizer.encode(self.mark.join(some), add_special_tokens=False).ids, dtype="<i4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(some) - 1:
-                raise ValueError("the tokenizer does not keep its special token between words")
-            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            for w, a, b in zip(some, starts, ends, strict=True):
-                out[w] = ids[a:b].tobytes()
+        for at in range(0, len(plain), 500):
+            some = plain[at:at + 500]
+            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            data = np.array(e.ids, dtype="<i4").tobytes()
+            ends = 4 * np.cumsum(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(some)))
+            out |= {w: data[a:b] for w, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
         for w in words:
             if "<|" in w:
                 out[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<i4").tobytes()
@@ -75,12 +70,16 @@ class WordEncoder:
             parts = {}
             for raw in new:
                 word = raw.decode()
+                if self.lowers and raw.isascii() and "<|" not in word:
+                    word = word.lower()
                 stem = word.rstrip(".,")  # between a letter and these two every word boundary rule cuts
                 parts[raw] = (stem, word[len(stem):]) if stem and stem[-1].isalpha() and "<|" not in word else (word, "")
-            ids = self._encode(sorted({p for pair in parts.values() for p in pair if p}))
-            ids[""] = b""
+            stems = self.stems
+            ids = self._encode(sorted({p for pair in parts.values() for p in pair if p not in stems}))
             for raw, (stem, tail) in parts.items():
-                known[raw] = ids[stem] + ids[tail]
+                known[raw] = (stems[stem] if stem in stems else ids[stem]) + (stems[tail] if tail in stems else ids[tail])
+            if len(stems) < self.max_words:
+                stems |= ids
         out = [b"".join(map(known.__getitem__, w)) for w in split]
         if len(known) > self.max_words:
             for raw in new:
