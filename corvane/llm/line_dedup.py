@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import free_name
+from corvane.llm.common import free_name, written
 
 BLANK_ENDS = " \t\x0b\f\r"
 
@@ -45,7 +45,8 @@ def drop_boilerplate(pages: DataFrame, lines: Column, host: Column, max_ratio: f
     totals = slim.groupBy("b_host").agg(F.count(F.lit(1)).alias("b_pages")).withColumnRenamed("b_host", "t_host")
     counts = slim.select("b_host", F.explode("b_lines").alias("b_line")).groupBy("b_host", "b_line").agg(F.count(F.lit(1)).alias("b_n")).where(F.col("b_n") >= min_pages)
     common = counts.join(totals, F.col("b_host").eqNullSafe(F.col("t_host"))).where(F.col("b_n") > max_ratio * F.col("b_pages"))
-    common = common.groupBy("b_host").agg(F.collect_list("b_line").alias("b_common"))
+    # written, so that Spark knows its size: it is sent to tasks where small, else the join is one that Spark can split
+    common = written(common.groupBy("b_host").agg(F.collect_list("b_line").alias("b_common")), "boilerplate")
     out = base.join(common, h.eqNullSafe(F.col("b_host")), "left")
     kept = F.when(F.col("b_common").isNull(), ls).otherwise(F.filter(ls, lambda x: ~F.array_contains(F.col("b_common"), F.xxhash64(x))))
     return out.withColumn(names["n_lines"], F.size(ls).cast("long")).withColumn(names["lines"], kept).drop("b_host", "b_common")
