@@ -10,9 +10,14 @@ That makes a T-occurrence problem: lists of these signature hashes, and pairs th
   whole signatures for l occurrences, and what remains is checked on the whole shingle sets.
 - Classes with so many long lists that short ones prove nothing (groups of very many near copies) meet, whole sets and
   all, in blocks by long list. As a link shares l lists, the l - 1 longest of a class need no block: the shortest
-  list that two classes share is never among them. Blocks are cut into tiles of bounded size. Inside a tile the same search runs class by class:
-  the longest lists are skipped, the others merged, the skipped ones probed; a pair already connected isn't
-  checked again, so a tile gives at most one link per class.
+  list that two classes share is never among them. Blocks are cut into tiles of bounded size. Inside a tile the same
+  search runs class by class: the longest lists are skipped, the others merged, the skipped ones probed; a pair already
+  connected isn't checked again, so a tile gives at most one link per class.
+- Before that, each such class meets others on its `picks` long lists of smallest hash, in one tile of each. This is
+  linear work that connects most of a group; blocks whose classes are connected by then can tell nothing new and are
+  left out. All others follow in full, so no link between unconnected classes is lost. Blocks of up to a quarter tile
+  that overlap, directly or over others, are one tile if their classes fit in it, which spares a class from being sent
+  once for each of its lists.
 
 Hashes have 64 bits, set digests 128. The result has one row per row of docs. Null, empty and blank texts have no
 shingles and link with nothing; texts shorter than a shingle are one shingle, unlike any full one. Repeated rows are in
@@ -204,12 +209,13 @@ def _entries(owners: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return owners[np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)]
 
 
-def tile_links(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+def tile_links(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect a tile's classes as all their links would: DivideSkip for each class among those before it.
 
     The lists are those of all shingles. Of a class's lists the longest T - 1 are skipped and the others merged, which
     gives every partner at least once; partners in the class's own component go, and the skipped lists are probed
     for the others by binary search, or merged too where that is less work. What results is the exact overlap.
+    Classes of equal `known` are connected from the start.
     """
     order = np.argsort(nodes, kind="stable")
     nodes, sets = nodes[order], [sets[i] for i in order]
@@ -218,7 +224,7 @@ def tile_links(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int) ->
     owners = np.repeat(np.arange(len(sets)), sizes)
     by_hash = np.argsort(hashes, kind="stable")
     hashes, owners = hashes[by_hash], owners[by_hash]
-    root = np.arange(len(nodes))
+    root = np.arange(len(nodes)) if known is None else np.unique(known[order], return_inverse=True)[1]
     out: list[tuple[int, int]] = []
 
     def link(i: int, j: int) -> None:
@@ -226,7 +232,7 @@ def tile_links(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int) ->
         root[root == root[i]] = root[j]
 
     for i in range(1, len(sets)):
-        if _linked(sets[i], sets[i - 1], num, den):
+        if root[i] != root[i - 1] and _linked(sets[i], sets[i - 1], num, den):
             link(i, i - 1)
         if (root[:i] == root[i]).all():
             continue
@@ -252,13 +258,13 @@ def tile_links(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int) ->
 def _tiles(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        found = tile_links(table.column("node").to_numpy(), sets, num, den)
+        found = tile_links(table.column("node").to_numpy(), sets, num, den, table.column("known").to_numpy())
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
 
 
-def jaccard_groups(docs: DataFrame, width: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text", long_list: int = 32, tile: int = 1000) -> DataFrame:
+def jaccard_groups(docs: DataFrame, width: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text", long_list: int = 32, tile: int = 1000, picks: int = 4) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links) of each row; links have Jaccard >= num / den."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -284,26 +290,47 @@ def jaccard_groups(docs: DataFrame, width: int, num: int, den: int, doc_id: str
     smallest = F.ceil(F.col("n") * num / F.lit(den))
     dense = info.withColumn("low", F.least(F.col("least"), (1 + F.floor(prefix(smallest) / 4)).cast("long"))).where("longs >= low")
     dense = dense.select("node", (F.col("longs") - F.col("low") + 1).alias("kept"))
-    shortest = Window.partitionBy("node").orderBy("df", "h")
+    shortest, smallest_hash = Window.partitionBy("node").orderBy("df", "h"), Window.partitionBy("node").orderBy("h")
     dense = shared.where(F.col("df") > long_list).select("h", "node", "df").join(dense, "node")
-    dense = dense.withColumn("nth", F.row_number().over(shortest)).where("nth <= kept").select("h", "node")
-    counts = dense.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1").withColumn("chunks", F.ceil(F.col("members") / tile).cast("int"))
-    members = written(dense.join(counts, "h").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "dense")
+    dense = dense.withColumn("picked", F.row_number().over(smallest_hash) <= picks).withColumn("kept", F.row_number().over(shortest) <= F.col("kept"))
+    dense = written(dense.where("picked or kept").select("h", "node", "picked", "kept"), "dense")
 
-    wanted = probed.select(F.col("a").alias("node")).union(probed.select("b")).union(members.select("node")).distinct()
+    def chunked(what: str) -> DataFrame:
+        some = dense.where(what).select("h", "node")
+        counts = some.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1").withColumn("chunks", F.ceil(F.col("members") / tile).cast("int"))
+        return some.join(counts, "h").withColumn("chunk", F.pmod(F.xxhash64("node", "h"), F.col("chunks")).cast("int"))
+
+    wanted = probed.select(F.col("a").alias("node")).union(probed.select("b")).union(dense.select("node")).distinct()
     wanted = written(classes.join(wanted, "node").select("node", "first_id", "digest"), "wanted")
     firsts = wanted.select("first_id").distinct()
     texts = rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    sets = texts.select("text").mapInArrow(_full_sets(width), "digest binary, shingles binary").join(wanted, "digest").select("node", "shingles")
-    sets = written(sets.dropDuplicates(["node"]), "sets")
+    sets = texts.select("text").mapInArrow(_full_sets(width), "digest binary, shingles binary").join(wanted, "digest")
+    sets = written(sets.dropDuplicates(["digest"]).select("node", "shingles"), "sets")
     set_of = lambda s: sets.select(F.col("node").alias(f"node_{s}"), F.col("shingles").alias(f"set_{s}"))
     links = probed.join(set_of("a"), F.col("a") == F.col("node_a")).join(set_of("b"), F.col("b") == F.col("node_b")).select("a", "b", "set_a", "set_b").mapInArrow(_check(num, den), "a long, b long")
 
-    tiled = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiled = tiled.select("h", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node").join(sets, "node")
-    links = written(links.union(tiled.groupBy("h", "i", "j").applyInArrow(_tiles(num, den), "a long, b long")), "jaccard_links")
+    meet = lambda tiles: tiles.join(sets, "node").groupBy("merged", "h", "i", "j").applyInArrow(_tiles(num, den), "a long, b long")
+    first = chunked("picked").select(F.lit(False).alias("merged"), "h", F.col("chunk").alias("i"), F.col("chunk").alias("j"), "node", F.col("node").alias("known"))
+    links = written(links.union(meet(first)), "first_links")
+    reached = written(components(links), "first_components")
+
+    blocks = chunked("kept").join(reached, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
+    blocks = written(blocks, "blocks")
+    open_blocks = blocks.groupBy("h").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low < high").select("h")
+    blocks = written(blocks.join(open_blocks, "h"), "open_blocks")
+    local = blocks.where(F.col("members") <= tile // 4)
+    overlaps = local.join(local.groupBy("h").agg(F.min("node").alias("b")), "h").select(F.col("node").alias("a"), "b")
+    overlaps = written(components(overlaps).withColumnRenamed("component", "area"), "areas")
+    fitting = overlaps.join(overlaps.groupBy("area").count().where(F.col("count") <= tile), "area", "left_semi")
+    merged = local.join(fitting, "node").select(F.lit(True).alias("merged"), F.col("area").alias("h"), F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "known").distinct()
+    others = blocks.join(fitting.withColumn("fits", F.lit(True)), "node", "left").where((F.col("members") > tile // 4) | F.col("fits").isNull())
+    others = others.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    others = others.select(F.lit(False).alias("merged"), "h", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "known")
+    tiled = merged.unionByName(others)
+    more = written(meet(tiled), "jaccard_links")
+    if not more.isEmpty():
+        reached = components(links.union(more))
 
-    reached = components(links)
     named = classes.select("digest", "node", "first_id").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(ids, "component").select("digest", "component_id")
