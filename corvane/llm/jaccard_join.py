@@ -210,12 +210,13 @@ def _entries(owners: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def tile_links(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect a tile's classes as all their links would: DivideSkip for each class among those before it.
+    """Pairs that connect a tile's classes as all their links would: DivideSkip for each class among those before it.
 
     The lists are those of all shingles. Of a class's lists the longest T - 1 are skipped and the others merged, which
     gives every partner at least once; partners in the class's own component go, and the skipped lists are probed
     for the others by binary search, or merged too where that is less work. What results is the exact overlap.
-    Classes of equal `known` are connected from the start.
+    Classes of equal `known` are connected from the start. The links found are given as stars, (smallest class, other
+    class) of each group, as chains of a tile's length would cost components() rounds.
     """
     order = np.argsort(nodes, kind="stable")
     nodes, sets = nodes[order], [sets[i] for i in order]
@@ -225,10 +226,10 @@ def tile_links(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int, kn
     by_hash = np.argsort(hashes, kind="stable")
     hashes, owners = hashes[by_hash], owners[by_hash]
     root = np.arange(len(nodes)) if known is None else np.unique(known[order], return_inverse=True)[1]
-    out: list[tuple[int, int]] = []
+    mine = np.arange(len(nodes))
 
     def link(i: int, j: int) -> None:
-        out.append((int(nodes[j]), int(nodes[i])))
+        mine[mine == max(mine[i], mine[j])] = min(mine[i], mine[j])
         root[root == root[i]] = root[j]
 
     for i in range(1, len(sets)):
@@ -252,7 +253,7 @@ def tile_links(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int, kn
         for j in found[both * den >= num * (sizes[found] + sizes[i] - both)].tolist():
             if root[j] != root[i]:
                 link(i, j)
-    return out
+    return [(int(nodes[mine[i]]), int(nodes[i])) for i in np.flatnonzero(mine != np.arange(len(nodes)))]
 
 
 def _tiles(num: int, den: int):
@@ -264,6 +265,18 @@ def _tiles(num: int, den: int):
     return run
 
 
+def joined_components(reached: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, component) after further links: only the components that these connect are labelled anew."""
+    old = reached.select(F.col("node").alias("o_node"), F.col("component").alias("o_component"))
+    ends = more
+    for side in ("a", "b"):
+        ends = ends.join(old, F.col(side) == F.col("o_node"), "left").withColumn(side, F.coalesce("o_component", side)).drop("o_node", "o_component")
+    anew = written(components(ends).select(F.col("node").alias("o_node"), F.col("component").alias("o_component")), "joined")
+    changed = reached.join(anew, F.col("component") == F.col("o_node"), "left").select("node", F.coalesce("o_component", "component").alias("component"))
+    single = anew.join(reached, F.col("o_node") == F.col("node"), "left_anti").select(F.col("o_node").alias("node"), F.col("o_component").alias("component"))
+    return changed.union(single)
+
+
 def jaccard_groups(docs: DataFrame, width: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text", long_list: int = 32, tile: int = 1000, picks: int = 4) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links) of each row; links have Jaccard >= num / den."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -329,7 +342,7 @@ def jaccard_groups(docs: DataFrame, width: int, num: int, den: int, doc_id: str
     tiled = merged.unionByName(others)
     more = written(meet(tiled), "jaccard_links")
     if not more.isEmpty():
-        reached = components(links.union(more))
+        reached = written(joined_components(reached, more), "components")
 
     named = classes.select("digest", "node", "first_id").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
