@@ -6,8 +6,8 @@ That makes a T-occurrence problem: lists of these signature hashes, and pairs th
 
 - Lists with one member are dropped. A list is short up to `long_list` members, long beyond.
 - Short lists are merged: their pairs of fitting sizes are counted. A class with L long lists needs l - L of the
-  short ones at least, so long lists are never expanded; pairs that reach that are probed by binary search over the
-  whole signatures for l occurrences, and what remains is checked on the whole shingle sets.
+  short ones at least, so long lists are never expanded; pairs that reach that, if both have long lists, are probed by
+  binary search over the whole signatures for l occurrences, and what remains is checked on the whole shingle sets.
 - Classes with so many long lists that short ones prove nothing (groups of very many near copies) meet, whole sets and
   all, in blocks by long list. As a link shares l lists, the l - 1 longest of a class need no block: the shortest
   list that two classes share is never among them. Blocks are cut into tiles of bounded size. Inside a tile the same
@@ -295,10 +295,14 @@ def jaccard_groups(docs: DataFrame, width: int, num: int, den: int, doc_id: str
     short = shared.where(F.col("df") <= long_list).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("x")).select("x")
     pairs = short.mapInArrow(_list_pairs(num, den), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
     info = classes.select("node", "n", "sign").join(long_counts, "node", "left").withColumn("longs", F.coalesce("longs", F.lit(0))).withColumn("least", (1 + F.floor(prefix(F.col("n")) / 4)).cast("long"))
-    side = lambda s: info.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "longs", "least", "sign")])
-    merged = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
+    side = lambda s, *cols: info.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", *cols)])
+    merged = pairs.join(side("a", "longs", "least"), F.col("a") == F.col("node_a")).join(side("b", "longs", "least"), F.col("b") == F.col("node_b"))
     merged = merged.where(F.col("times") >= F.least("least_a", "least_b") - F.least("longs_a", "longs_b"))
-    probed = written(merged.select("a", "b", "n_a", "n_b", "sign_a", "sign_b").mapInArrow(_probe(num, den), "a long, b long"), "probed")
+    merged = written(merged.select("a", "b", F.least("longs_a", "longs_b").alias("longs")), "merged")
+    # where one side has no long list, the count on short ones is exact and no signature needs to travel
+    unsure = merged.where("longs > 0").join(side("a", "n", "sign"), F.col("a") == F.col("node_a")).join(side("b", "n", "sign"), F.col("b") == F.col("node_b"))
+    found = unsure.select("a", "b", "n_a", "n_b", "sign_a", "sign_b").mapInArrow(_probe(num, den), "a long, b long")
+    probed = written(merged.where("longs = 0").select("a", "b").union(found), "probed")
 
     smallest = F.ceil(F.col("n") * num / F.lit(den))
     dense = info.withColumn("low", F.least(F.col("least"), (1 + F.floor(prefix(smallest) / 4)).cast("long"))).where("longs >= low")
