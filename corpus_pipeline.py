@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corvane.llm import decontaminate, jaccard_join, mixing, quality_rules, token_files
 from corvane.llm.common import new_dir, written
@@ -16,10 +15,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 5-word shingles at Jaccard 0.8 or more, the one with the smallest id."""
-    groups = jaccard_join.jaccard_groups(docs, width=5, num=80, den=100)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Of rows linked by 5-word shingles at Jaccard 0.8 or more, the one with the smallest id; null ids come last."""
+    return jaccard_join.first_of_groups(docs, width=5, num=80, den=100)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

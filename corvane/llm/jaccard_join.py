@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import components, written
+from corvane.llm.common import components, free_name, written
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -352,3 +352,17 @@ def jaccard_groups(docs: DataFrame, width: int, num: int, den: int, doc_id: str
     ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(ids, "component").select("digest", "component_id")
     return signed.select("doc_id", "n", "digest").join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, width: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of linked rows, texts without shingles all kept.
+
+    Rows, not ids, are grouped and chosen, so repeated rows and repeated or null ids leave one row each group. It is the row with
+    the smallest id, null ids last; rows that tie are chosen among by a hash of all their columns.
+    """
+    row, mark, held, group = (free_name(docs, n) for n in ("row_key", "row_mark", "row_held", "row_group"))
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = jaccard_groups(keyed, width, num, den, doc_id=row, text=text).select(F.col("doc_id").alias(held), F.col("component_id").alias(group))
+    ranked = keyed.select(row, F.col(doc_id).alias("id"), F.xxhash64(*docs.columns).alias(mark)).join(groups, F.col(row) == F.col(held))
+    first = ranked.groupBy(group).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", mark, row)).alias("first"))
+    return keyed.join(first.select(F.col(f"first.{row}").alias(held)), F.col(row) == F.col(held), "left_semi").drop(row)

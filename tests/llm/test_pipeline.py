@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -88,3 +89,18 @@ def test_pipeline_against_plain_python(spark, tmp_path):
             start += len(ids)
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == want
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(3)
+    a, b, c, d, e = (" ".join(rng.choices(WORDS, k=80)) for _ in range(5))
+    near = lambda text: text + " more"
+    rows = [(1, a), (1, a), (2, near(a)), (3, b), (1, near(b)), (None, c), (None, near(c)), (None, c), (None, d), (7, near(d)), (8, e), (8, near(e)), (9, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_key", F.lit("kept"))
+    for parts in (1, 5):
+        out = corpus_pipeline.one_of_each_group(spark, df.repartition(parts), "")
+        assert out.columns == df.columns
+        got = sorted((str(r.doc_id), r.text or "") for r in out.collect())
+        of_c, of_e = ([x for x in got if x[1] in (t, near(t))] for t in (c, e))
+        assert len(of_c) == len(of_e) == 1 and of_c[0][0] == "None" and of_e[0][0] == "8"
+        assert [x for x in got if x not in of_c + of_e] == sorted([("1", a), ("1", near(b)), ("7", near(d)), ("9", ""), ("None", "")])
