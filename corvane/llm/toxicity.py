@@ -1,12 +1,13 @@
 """Toxicity by weak supervision: a generative label model over lexicon and pattern voters, then a linear classifier.
 
-Voters are mined from a sample of labelled rows (sample_rows at most, taken by the hash of their id): words and word
-beginnings that toxic rows have far more often than chance. A voter fires on a text that holds its word or beginning.
+Voters are mined from all labelled training rows: words and word beginnings that toxic rows have so much more often that
+chance would hardly do it for any of all those counted. A voter fires on a text that holds its word or beginning.
 The label model gives each voter the rates at which it fires on toxic and on clean texts, fitted by EM over the votes of all training
 documents, labelled or not; votes are grouped by pattern, and every step sums over patterns in tasks. Voters that
 fire together more than their rates explain are discounted by those correlations. Where a label is known it is one
-more, strong voter. A logistic regression over the mined features of the sample, fitted to the posterior labels,
-then scores every text whole.
+more, strong voter. A logistic regression over the mined features then scores every text whole. It is fitted to the
+posterior labels of about sample_rows training rows, labelled or not, taken by a hash; it starts at the label model's weights
+and is drawn to them, so a voter that the sample lacks keeps the weight that the whole corpus gives it.
 
 Labels are only read where `train` holds; ids, languages and sources are no inputs. Null and empty texts get the score of a
 text without any feature. Labels that are null are ignored; a row with several labels counts as toxic if any says
@@ -32,13 +33,11 @@ EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_~`/\\…«»“”‘’"
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds and strengths; sample_rows bounds what the classifier is fitted on."""
+    """Bounds and strengths; sample_rows bounds what the regression is fitted on, and nothing else."""
 
     sample_rows: int = 20_000
     min_rows: int = 3
     stem: int = 6
-    voters: int = 128
-    features: int = 1000
     min_z: float = 3.0
     em_rounds: int = 6
     label_odds: float = 50.0
@@ -78,8 +77,8 @@ class _Places(dict):
         return sorted({i for t in filter(None, map(self.__getitem__, set((text or "").split()))) for i in t})
 
 
-def _mined(sample: DataFrame, settings: Settings) -> list[tuple[str, int, int]]:
-    """Features by how far their toxic rows exceed (or miss) chance: (feature, toxic rows, clean rows)."""
+def _mined(labelled: DataFrame, share: float, settings: Settings) -> tuple[list[tuple[str, int, int, float]], float]:
+    """Features by how far their toxic rows exceed (or miss) chance, (feature, toxic rows, clean rows, z), and the z that chance hardly reaches."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, seen = _Features(settings.stem), (Counter(), Counter())
@@ -99,13 +98,11 @@ def _mined(sample: DataFrame, settings: Settings) -> list[tuple[str, int, int]]:
                     yield from out()
         yield from out()
 
-    totals = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = totals.get(1, 0) / max(sum(totals.values()), 1)
-    found = sample.select("text", "toxic").mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = labelled.select("text", "toxic").mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     rows = F.col("toxic") + F.col("clean")
-    found = found.where(rows >= settings.min_rows).withColumn("z", F.abs((F.col("toxic") - rows * share) / F.sqrt(rows * share * (1 - share) + 1)))
-    found = found.where(F.col("z") >= settings.min_z)
-    return [(r.feature, r.toxic, r.clean) for r in found.orderBy(F.desc("z"), "feature").limit(settings.features).collect()]
+    found = written(found.where(rows >= settings.min_rows).withColumn("z", F.abs((F.col("toxic") - rows * share) / F.sqrt(rows * share * (1 - share) + 1))), "features")
+    beyond_chance = max(settings.min_z, float(np.sqrt(2 * np.log(max(found.count(), 1)))))
+    return [(r.feature, r.toxic, r.clean, r.z) for r in found.where(F.col("z") >= settings.min_z).orderBy(F.desc("z"), "feature").collect()], beyond_chance
 
 
 def _places_of(table: DataFrame, features: list[str], stem: int, keep: str) -> DataFrame:
@@ -120,65 +117,82 @@ def _places_of(table: DataFrame, features: list[str], stem: int, keep: str) -> D
     return table.select(keep, "text").mapInArrow(run, f"{keep} {kind}, places array<int>")
 
 
-def _log_odds(fires: np.ndarray, prior: float, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def _weights(prior: float, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log odds of a text on which no voter fires, and what each that fires adds."""
     silent = weight * (np.log(1 - a) - np.log(1 - b))
-    return np.log(prior / (1 - prior)) + silent.sum() + fires @ (weight * (np.log(a) - np.log(b)) - silent)
+    return float(np.log(prior / (1 - prior)) + silent.sum()), weight * (np.log(a) - np.log(b)) - silent
+
+
+def _probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of the lists of the first column, the row of each entry, and the entries."""
+    cut = batch.column(0).offsets.to_numpy()
+    return cut - cut[0], np.repeat(np.arange(batch.num_rows), np.diff(cut)), batch.column(0).values.to_numpy(zero_copy_only=False)[cut[0]:cut[-1]]
 
 
 def label_model(patterns: DataFrame, prior: float, a: np.ndarray, b: np.ndarray, rounds: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """prior, firing rates on toxic and clean texts, and weights of voters, by EM over vote patterns (places, n)."""
+    """prior, firing rates on toxic and clean texts, and weights of voters, by EM over vote patterns (places, n, gold: log odds that a known label adds)."""
     n_voters, weight = len(a), np.ones(len(a))
     for turn in range(rounds):
-        now, last = (prior, a, b, weight), turn == rounds - 2
+        base, more = _weights(prior, a, b, weight)
+
+        def shares(batch: pa.RecordBatch, base=base, more=more):
+            cut, owner, flat = _flat(batch)
+            p, n = _probability(base + np.bincount(owner, weights=more[flat], minlength=batch.num_rows) + batch.column(2).to_numpy()), batch.column(1).to_numpy()
+            return cut, owner, flat, (n * (1 - p), n * p)
 
-        def add(batches: Iterator[pa.RecordBatch], now=now, last=last) -> Iterator[pa.RecordBatch]:
+        def add(batches: Iterator[pa.RecordBatch], shares=shares) -> Iterator[pa.RecordBatch]:
             sums = np.zeros((2, n_voters + 1))
-            pairs = np.zeros((2, n_voters, n_voters)) if last else np.zeros(0)
             for batch in batches:
-                lists = batch.column(0)
-                fires = np.zeros((batch.num_rows, n_voters))
-                cut = lists.offsets.to_numpy()
-                flat = lists.values.to_numpy(zero_copy_only=False)[cut[0]:cut[-1]]
-                fires[np.repeat(np.arange(batch.num_rows), np.diff(cut)), flat] = 1
-                p = 1 / (1 + np.exp(-np.clip(_log_odds(fires, *now), -30, 30)))
-                n = batch.column(1).to_numpy()
-                for k, w in enumerate((n * (1 - p), n * p)):
+                _, owner, flat, both = shares(batch)
+                for k, w in enumerate(both):
                     sums[k, 0] += w.sum()
-                    sums[k, 1:] += w @ fires
-                    if last:
-                        pairs[k] += (fires * w[:, None]).T @ fires
-            yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tobytes()], pa.binary()), "pairs": pa.array([pairs.tobytes()], pa.binary())})
-
-        parts = patterns.mapInArrow(add, "sums binary, pairs binary").collect()
-        sums = sum(np.frombuffer(r.sums).reshape(2, -1) for r in parts)
+                    sums[k, 1:] += np.bincount(flat, weights=w[owner], minlength=n_voters)
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tobytes()], pa.binary())})
+
+        def pair(batches: Iterator[pa.RecordBatch], shares=shares) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1000):
+                    batch = whole.slice(at, 1000)
+                    cut, _, flat, both = shares(batch)
+                    sizes = np.diff(cut)
+                    codes = [np.repeat(x, len(x)) * n_voters + np.tile(x, len(x)) for x in (flat[i:j].astype(np.int64) for i, j in zip(cut[:-1], cut[1:], strict=True))]
+                    code, place = np.unique(np.concatenate(codes), return_inverse=True)
+                    clean, toxic = (np.bincount(place, weights=np.repeat(w, sizes**2), minlength=len(code)) for w in both)
+                    yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(clean), pa.array(toxic)], names=["code", "clean", "toxic"])
+
+        sums = sum(np.frombuffer(r.sums).reshape(2, -1) for r in patterns.mapInArrow(add, "sums binary").collect())
         prior = float(np.clip(sums[1, 0] / max(sums[:, 0].sum(), 1e-9), 1e-4, 0.9))
         b, a = ((sums[k, 1:] + 0.01) / (sums[k, 0] + 1) for k in (0, 1))
         a = np.clip(np.maximum(a, b), 1e-6, 1 - 1e-6)  # a voter never argues for clean texts by firing
         b = np.clip(b, 1e-6, 1 - 1e-6)
-        if last:
-            pairs = sum(np.frombuffer(r.pairs).reshape(2, n_voters, n_voters) for r in parts)
-            rho = np.zeros((n_voters, n_voters))
+        if turn == rounds - 2:
+            pairs = patterns.mapInArrow(pair, "code long, clean double, toxic double").groupBy("code").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+            pairs = pairs.where(F.col("code") % n_voters != F.floor(F.col("code") / n_voters)).toArrow()
+            i, j = np.divmod(pairs["code"].to_numpy(), n_voters)
+            rho = np.zeros(len(i))
             for k, rate in enumerate((b, a)):
-                both = pairs[k] / max(sums[k, 0], 1e-9)
-                spread = np.sqrt(np.outer(rate * (1 - rate), rate * (1 - rate)))
-                rho = np.maximum(rho, (both - np.outer(rate, rate)) / np.maximum(spread, 1e-9))
-            np.fill_diagonal(rho, 0)
-            weight = 1 / (1 + np.where(rho > 0.2, rho, 0).sum(1))
+                spread = np.sqrt(rate * (1 - rate))
+                both = pairs[("clean", "toxic")[k]].to_numpy() / max(sums[k, 0], 1e-9)
+                rho = np.maximum(rho, (both - rate[i] * rate[j]) / np.maximum(spread[i] * spread[j], 1e-9))
+            weight = 1 / (1 + np.bincount(i, weights=np.where(rho > 0.2, rho, 0), minlength=n_voters))
     return prior, a, b, weight
 
 
-def fit_linear(rows: list[list[int]], target: np.ndarray, n_features: int, steps: int, penalty: float) -> tuple[float, np.ndarray]:
-    """Bias and weights of a logistic regression over binary features, by Adagrad on all rows."""
+def fit_linear(rows: list[list[int]], target: np.ndarray, start: tuple[float, np.ndarray], steps: int, penalty: float) -> tuple[float, np.ndarray]:
+    """Bias and weights of a logistic regression over binary features, by Adagrad on all rows, from `start` and drawn to its weights."""
+    n_features = len(start[1])
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     flat = np.fromiter((i for r in rows for i in r), dtype=np.int64)
-    w, total = np.zeros(n_features + 1), np.full(n_features + 1, 1e-8)
-    share = float(np.clip(target.mean(), 1e-4, 1 - 1e-4))
-    w[-1] = np.log(share / (1 - share))
+    w, total = np.append(start[1], start[0]), np.full(n_features + 1, 1e-8)
     for _ in range(steps):
         z = w[-1] + np.bincount(owner, weights=w[flat], minlength=len(rows))
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
+        error = _probability(z) - target
         slope = np.append(np.bincount(flat, weights=error[owner], minlength=n_features), error.sum()) / len(rows)
-        slope[:-1] += penalty * w[:-1]
+        slope[:-1] += penalty * (w[:-1] - start[1])
         total += slope * slope
         w -= 0.5 * slope / np.sqrt(total)
     return float(w[-1]), w[:-1]
@@ -189,42 +203,43 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "d
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("train", F.coalesce(train, F.lit(True)))
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("toxic")).where(F.coalesce(train, F.lit(False)) & F.col("toxic").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(settings.sample_rows)
-    # at most sample_rows ids and labels
-    sample = written(rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")
-    mined = _mined(sample, settings)
-    n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled = rows.join(known, "doc_id").select("text", "toxic")
+    n = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     share = n_toxic / max(n_toxic + n_clean, 1)
+    mined, beyond_chance = _mined(labelled, share, settings) if n_toxic and n_clean else ([], 0.0)
     if not (n_toxic and n_clean and mined):
         return rows.select("doc_id", "train", F.lit(float(share)).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
 
-    features = [f for f, _, _ in mined]
+    features = [x[0] for x in mined]
     lift = lambda x: (x[1] + 0.5) / (n_toxic + 1) * (n_clean + 1) / (x[2] + 0.5)
-    voters = [x for x in mined if lift(x) > 3][:settings.voters]
+    voters = [x for x in mined if lift(x) > 3 and x[3] >= beyond_chance]
     a = np.array([(x[1] + 0.5) / (n_toxic + 1) for x in voters])
     b = np.array([(x[2] + 0.5) / (n_clean + 1) for x in voters])
-    names = [f for f, _, _ in voters]
-    votes = _places_of(rows.where("train").select(F.lit(1).alias("one"), "text"), names, settings.stem, "one")
-    patterns = written(votes.groupBy("places").agg(F.count(F.lit(1)).alias("n")), "patterns")
+    names = [x[0] for x in voters]
+    votes = _places_of(rows.where("train"), names, settings.stem, "doc_id").join(known, "doc_id", "left")
+    gold = F.when(F.col("toxic") == 1, 1.0).when(F.col("toxic") == 0, -1.0).otherwise(0.0) * float(np.log(settings.label_odds))
+    patterns = written(votes.groupBy("places", gold.alias("gold")).agg(F.count(F.lit(1)).alias("n")).select("places", "n", "gold"), "patterns")
     model = label_model(patterns, share, a, b, settings.em_rounds)
 
+    part = settings.sample_rows / max(rows.where("train").count(), 1)
+    drawn = rows.where("train").where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 31)) < int(part * (1 << 31)))
+    sample = written(drawn.join(known, "doc_id", "left").select("text", "toxic"), "sample")
     taken = _places_of(sample, features, settings.stem, "toxic").collect()
-    at = {f: i for i, f in enumerate(names)}
-    voter_of = [at.get(f, -1) for f in features]
-    fires = np.zeros((len(taken), len(names)))
-    for i, r in enumerate(taken):
-        fires[i, [v for v in (voter_of[p] for p in r.places) if v >= 0]] = 1
-    gold = np.where(np.array([r.toxic for r in taken]) == 1, 1, -1) * np.log(settings.label_odds)
-    posterior = 1 / (1 + np.exp(-np.clip(_log_odds(fires, *model) + gold, -30, 30)))
-    bias, weights = fit_linear([r.places for r in taken], posterior, len(features), settings.steps, settings.penalty)
+    base, more = _weights(*model)
+    at = {f: i for i, f in enumerate(features)}
+    start = np.zeros(len(features))
+    start[[at[f] for f in names]] = more
+    gold = np.array([0 if r.toxic is None else 1 if r.toxic else -1 for r in taken]) * np.log(settings.label_odds)
+    posterior = _probability(np.array([base + start[r.places].sum() for r in taken]) + gold)
+    bias, weights = fit_linear([r.places for r in taken], posterior, (base, start), settings.steps, settings.penalty) if taken else (base, start)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = _Places(features, settings.stem)
         for batch in batches:
             z = np.array([bias + weights[places.of(t)].sum() for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names=["doc_id", "train", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(_probability(z), pa.float64())], names=["doc_id", "train", "score"])
 
     scored = rows.select("doc_id", "text", "train").mapInArrow(run, f"doc_id {kind}, train boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
