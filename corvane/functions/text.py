@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,19 +58,21 @@ def word_chunks(text: Column, limit: int = 900, overlap: int = 180) -> Column:
     """Chunks of words (cut at blanks only) up to limit characters, each starting with trailing words of the one before up to overlap."""
     if overlap >= limit:
         raise ValueError("overlap must be below limit")
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    size = lambda ws: F.aggregate(ws, F.lit(0), lambda s, w: s + F.length(w) + 1)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now"))
-
-    def tail(ws: Column) -> Column:
-        n = F.size(ws)
-        fits = F.filter(F.sequence(F.lit(0), n), lambda k: size(F.slice(ws, k + 1, n - k)) <= overlap)
-        return F.slice(ws, F.array_min(fits) + 1, n)
-
-    def step(acc: Column, w: Column) -> Column:
-        full = (size(acc["now"]) + F.length(w) + 1 > limit) & (F.size(acc["now"]) > 0)
-        done = F.when(full, F.concat(acc["done"], F.array(F.array_join(acc["now"], " ")))).otherwise(acc["done"])
-        now = F.when(full, F.concat(tail(acc["now"]), F.array(w))).otherwise(F.concat(acc["now"], F.array(w)))
-        return F.struct(done.alias("done"), now.alias("now"))
-
-    return F.aggregate(words, start, step, lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(F.array_join(a["now"], " ")))).otherwise(a["done"]))
+
+    def of(words: list[str]) -> list[str]:
+        done, start, size = [], 0, 0  # the chunk is words[start:i], size its characters with a blank after each
+        for i, w in enumerate(words):
+            if i > start and size + len(w) + 1 > limit:
+                done.append(" ".join(words[start:i]))
+                low, start, size = start, i, 0
+                while start > low and size + len(words[start - 1]) + 1 <= overlap:
+                    start -= 1
+                    size += len(words[start]) + 1
+            size += len(w) + 1
+        return [*done, " ".join(words[start:])] if words else done
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([of([w for w in t.split(" ") if w]) if isinstance(t, str) else None for t in part], dtype=object)
+
+    return F.pandas_udf(run, "array<string>")(text)

@@ -108,8 +108,7 @@ def chunks(spark, d):
 
 @query("f04_word_chunks")
 def chunked(spark, d):
-    short = table(spark, d, "benchmark").select("item_id", word_chunks(F.col("text"), 90, 20).alias("c"))
-    return short.select("item_id", F.posexplode("c").alias("chunk", "body"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(word_chunks(F.col("text"), 900, 180)).alias("chunk", "body"))
 
 
 @query("f06_chunk_ids", "SELECT doc_id, substring(md5(source || '::chunk_' || doc_id), 1, 16) AS chunk_id FROM documents")
@@ -141,6 +140,16 @@ def word_jaccard(spark, d):
     return a.join(b, F.col("a") + 1 == F.col("b")).select("a", "b", F.round(jaccard(F.col("wa"), F.col("wb")), 9).alias("jaccard"))
 
 
+@query("u05_word_jaccard_pairs", """WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark)
+SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 9) AS jaccard
+FROM w a JOIN w b ON a.item_id < b.item_id WHERE list_has_any(a.w, b.w)""")
+def word_jaccard_pairs(spark, d):
+    w = table(spark, d, "benchmark").select("item_id", F.array_distinct(ascii_words(F.col("text"))).alias("w")).select("item_id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    a, b = (w.select(F.col("item_id").alias(x), F.col("n").alias(f"n_{x}"), "word") for x in "ab")
+    both = a.join(b, "word").where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("n"))
+    return both.select("a", "b", F.round(F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n")), 9).alias("jaccard"))
+
+
 @query("g24_nearest_prototype", """WITH p AS (SELECT label, min(vec_id) AS p FROM embeddings GROUP BY label), s AS (
  SELECT b.vec_id, p.label AS proto, round(list_cosine_similarity(b.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS sim FROM embeddings b, p JOIN embeddings q ON q.vec_id = p.p)
 SELECT vec_id, proto, sim FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, proto) = 1""")

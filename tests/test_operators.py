@@ -1,6 +1,9 @@
 """Operators outside the optional subpackage, on small literals; and every SQL of the catalog is registered with a query."""
 
 import datetime as dt
+import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -97,3 +100,52 @@ def test_plans_push_filters_down(spark, tmp_path):
     spark.range(100).selectExpr("id", "id % 7 AS g", "repeat('x', 10) AS pad").write.parquet(path)
     plan = spark.read.parquet(path).where("g = 3").select("id")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(g), EqualTo(g,3)]" in plan and "pad" not in plan.split("ReadSchema:")[1].split("\n")[0]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def plain_chunks(text, limit, overlap):
+    size = lambda ws: sum(len(w) + 1 for w in ws)
+    done, now = [], []
+    for w in filter(None, text.split(" ")):
+        if now and size(now) + len(w) + 1 > limit:
+            done.append(" ".join(now))
+            now = next(now[k:] for k in range(len(now) + 1) if size(now[k:]) <= overlap)
+        now = [*now, w]
+    return [*done, " ".join(now)] if now else done
+
+
+def test_word_chunks_of_long_texts(spark):
+    rng = random.Random(1)
+    texts = [" ".join("é" * rng.choice([1, 3, 9, 40]) for _ in range(n)) for n in (1, 5, 60, 300)] + ["a " * 3 + "b" * 40 + " c d", "x\ny  z ", " "]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    for limit, overlap in ((9, 8), (30, 12), (90, 20)):
+        got = [r.c for r in df.select(tx.word_chunks(F.col("text"), limit, overlap).alias("c")).collect()]
+        assert got == [*(plain_chunks(t, limit, overlap) for t in texts), None]
+    began = time.perf_counter()
+    assert spark.createDataFrame([("word " * 400_000,)], "text string").select(F.size(tx.word_chunks(F.col("text")))).first()[0] == 2778
+    assert time.perf_counter() - began < 30
+
+
+def test_all_documents_are_chunked(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    want = sorted((r.doc_id, i, c) for r in docs for i, c in enumerate(plain_chunks(r.text or "", 900, 180)))
+    assert sorted((r.doc_id, r.chunk, r.body) for r in catalog.queries()["f04_word_chunks"](spark, SMALL).collect()) == want
+
+
+def test_whole_tables_are_read(spark):
+    run = lambda name: catalog.queries()[name](spark, SMALL)
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_discount", "l_tax").collect()
+    assert sorted(map(tuple, run("g09_unpivot_all").collect())) == sorted((r[0], r[1], what, r[what]) for r in lines for what in ("l_discount", "l_tax"))
+    events = spark.read.parquet(f"{SMALL}/events.parquet").collect()
+    views = {}
+    for r in events:
+        if r.event_type == "view":
+            views.setdefault(r.user_id, []).append((r.ts, r.value))
+    last = lambda r: max((v for v in views.get(r.user_id, []) if v[0] <= r.ts), default=(None, None))[1]
+    assert sorted(map(str, map(tuple, run("j19_as_of_join_all").collect()))) == sorted(str((r.event_id, last(r))) for r in events if r.event_type != "view")
+    words = [(r.item_id, set(re.findall("[a-z0-9]+", r.text.lower()))) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    want = {(a, b): len(x & y) / len(x | y) for a, x in words for b, y in words if a < b and x & y}
+    got = {(r.a, r.b): r.jaccard for r in run("u05_word_jaccard_pairs").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
