@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +18,16 @@ BLANK_CHARS = " \t\n\x0b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where unset, in local mode only, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = made.get() if made.isDefined() else f"file://{tempfile.mkdtemp(prefix='corvane-')}"
+        if made.isDefined():
+            base = made.get()
+        elif spark.sparkContext.master.startswith("local"):
+            base = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -36,6 +45,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The written tables of one run, by name; a table is deleted once no later step reads it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, new_dir(spark, name)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """What `written` gives, under a name that this run uses once."""
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables whose readers have all been written themselves."""
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 500, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """batch in parts of at most `rows` rows whose texts in `column` have at most `size` bytes; a longer text is alone."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def words(text: Column | str) -> Column:
     """Array of the words of a text; null and blank texts have none."""
     col = F.col(text) if isinstance(text, str) else text
@@ -86,23 +125,22 @@ def components(links: DataFrame) -> DataFrame:
 
     Labels spread by rounds of joins: each node takes the smallest label among its neighbours', then the label
     of its label (pointer jumping), so chains of n links end after about log n rounds. Every round is
-    checkpointed to the shared folder. No component is ever gathered anywhere.
+    written to the shared folder and the one before it deleted. No component is ever gathered anywhere.
     """
-    spark = links.sparkSession
-    shared_dir(spark)
-    both = written(
-        links.where("a <> b").select("a", "b").union(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        "links")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
-        "node", F.least("node", "m").alias("label")).checkpoint()
+    scratch = Scratch(links.sparkSession, "components")
+    links = links.where("a <> b")
+    both = scratch.write(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels-0")
+    turn = 0
     while True:
+        turn += 1
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("a"), "left").select(
-            "node", "label", F.least("label", "near").alias("next"))
+        step = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("node").alias("j_node"), F.col("label").alias("j_label"))
-        step = step.join(jump, F.col("next") == F.col("j_node"), "left").select(
-            "node", "label", F.least("next", "j_label").alias("next")).checkpoint()
-        moved = step.where("next < label").limit(1).count()
+        step = step.join(jump, F.col("next") == F.col("j_node"), "left").select("node", "label", F.least("next", "j_label").alias("next"))
+        step = scratch.write(step, f"labels-{turn}")
+        scratch.drop(f"labels-{turn - 1}")
         labels = step.select("node", F.col("next").alias("label"))
-        if not moved:
+        if step.where("next < label").isEmpty():
+            scratch.drop("links")
             return labels.select("node", F.col("label").alias("component"))

@@ -4,20 +4,22 @@ Documents with equal shingle sets are one class. A class with n shingles must sh
 partner, so of its p + l - 1 smallest hashes, where p = n - T + 1, at least l are shared (both sides order by hash).
 That makes a T-occurrence problem: lists of these signature hashes, and pairs that occur on l of them.
 
+Shingles are ordered by how common they are, then by hash, so signatures hold the rare ones and passages that many
+documents share make few candidates. How common a shingle is comes from a sample of the texts (`one_in`); it decides
+the order alone. Any order that all classes share gives the same links.
+
 - Lists with one member are dropped. A list is short up to `long_list` members, long beyond.
 - Short lists are merged: their pairs of fitting sizes are counted. A class with L long lists needs l - L of the
   short ones at least, so long lists are never expanded; pairs that reach that, if both have long lists, are probed by
-  binary search over the whole signatures for l occurrences, and what remains is checked on the whole shingle sets.
-- Classes with so many long lists that short ones prove nothing (groups of very many near copies) meet, whole sets and
-  all, in blocks by long list. As a link shares l lists, the l - 1 longest of a class need no block: the shortest
-  list that two classes share is never among them. Blocks are cut into tiles of bounded size. Inside a tile the same
-  search runs class by class: the longest lists are skipped, the others merged, the skipped ones probed; a pair already
-  connected isn't checked again, so a tile gives at most one link per class.
-- Before that, each such class meets others on its `picks` long lists of smallest hash, in one tile of each. This is
-  linear work that connects most of a group; blocks whose classes are connected by then can tell nothing new and are
-  left out. All others follow in full, so no link between unconnected classes is lost. Blocks of up to a quarter tile
-  that overlap, directly or over others, are one tile if their classes fit in it, which spares a class from being sent
-  once for each of its lists.
+  binary search over the whole signatures for l occurrences.
+- Classes with so many long lists that short ones prove nothing meet by long list. As a link shares l lists, the
+  l - 1 longest of a class need not meet: the shortest list that two classes share is never among them.
+- What candidates connect is an area. The classes of an area that fits a tile (`tile` classes and `tile_shingles`
+  shingles) meet there with their whole sets, which moves each set once. Inside a tile the same search runs class by class: the
+  longest lists are skipped, the others merged, the skipped ones probed; a pair already connected isn't checked again.
+- Areas beyond a tile take two steps. First each class is checked against its best candidate, and meets others on
+  `picks` of its long lists in one tile of each: linear work that connects most of a group. Then all candidate pairs and
+  lists whose classes are not connected by then follow in full, lists in tiles by pairs of chunks, so no link is lost.
 
 Hashes have 64 bits, set digests 128. The result has one row per row of docs. Null, empty and blank texts have no
 shingles and link with nothing; texts shorter than a shingle are one shingle, unlike any full one. Repeated rows are in
@@ -36,8 +38,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import components, free_name, written
+from corvane.llm.common import Scratch, components, free_name, slices, written
 
+#: Shingles are told apart as common or not by their first 24 bits.
+_SLOT = np.uint64(40)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -104,17 +108,62 @@ def _digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def _signatures(width: int, num: int, den: int):
+def _common_slots(width: int):
+    """(slot, n, low, high) of the sampled texts: how many have a shingle of the slot, least and greatest of their digests."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 36
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for part in slices(whole, 0):
+                sets = shingle_sets(part.column(0).cast(pa.binary()).to_pylist(), width)
+                slots = np.concatenate([np.unique(s >> _SLOT) for s in sets]).astype(np.int64)
+                marks = np.repeat([int.from_bytes(_digest(s)[:7], "little") for s in sets], [len(np.unique(s >> _SLOT)) for s in sets]).astype(np.int64)
+                order = np.lexsort((marks, slots))
+                slots, marks = slots[order], marks[order]
+                first = np.flatnonzero(np.append(True, slots[1:] != slots[:-1])) if len(slots) else np.empty(0, dtype=np.int64)
+                ends = np.append(first[1:], len(slots))
+                yield pa.RecordBatch.from_arrays([pa.array(slots[first]), pa.array(ends - first), pa.array(marks[first]), pa.array(marks[ends - 1] if len(first) else first)], names=["slot", "n", "low", "high"])
+
+    return run
+
+
+def common_levels(rows: DataFrame, width: int, one_in: int, most: int = 4_000_000) -> np.ndarray:
+    """How common the shingles of each slot of hashes are, in powers of two, 0 for all but the `most` commonest.
+
+    A texts' sample, one in `one_in` by hash, is counted in Spark; what comes here has a fixed size however large the corpus is.
+    """
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text")
+    found = sample.mapInArrow(_common_slots(width), "slot long, n long, low long, high long").groupBy("slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = written(found.where("n > 1 AND low < high").select(F.col("slot").cast("int"), F.least(F.floor(F.log2("n")), F.lit(60)).cast("byte").alias("level")), "common")
+    counts = {r.level: r.n for r in found.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    floor, total = 61, 0
+    while floor > 1 and total + counts.get(floor - 1, 0) <= most:
+        floor -= 1
+        total += counts.get(floor, 0)
+    kept = found.where(F.col("level") >= floor).toArrow()
+    levels = np.zeros(1 << (64 - int(_SLOT)), dtype=np.uint8)
+    levels[kept.column("slot").to_numpy()] = kept.column("level").to_numpy()
+    return levels
+
+
+def _signatures(width: int, num: int, den: int, levels):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, level_of = TaskContext.get().partitionId() << 36, levels.value
+        for whole in batches:
+            for batch in slices(whole, 1):
                 sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), width)
-                signs = [s[:_prefix(len(s), num, den) + _least(len(s), num, den) - 1].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
+                sizes = np.array([len(s) for s in sets], dtype=np.int64)
+                common = level_of[np.concatenate(sets) >> _SLOT]
+                signs, at = [], 0
+                for s, n in zip(sets, sizes.tolist(), strict=True):
+                    if n:
+                        take = _prefix(n, num, den) + _least(n, num, den) - 1
+                        mine = common[at:at + n]
+                        s = np.sort(s[np.argsort(mine, kind="stable")[:take]]) if mine.any() else s[:take]
+                    signs.append(s.view(np.int64))
+                    at += n
                 cuts = np.concatenate(([0], np.cumsum([len(s) for s in signs]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(range(row, row + len(sets)), pa.int64()), batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(range(row, row + len(sets)), pa.int64()), batch.column(0), pa.array(sizes),
                     pa.array([_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(signs)))],
                     names=["row", "doc_id", "n", "digest", "sign"])
                 row += len(sets)
@@ -125,35 +174,35 @@ def _signatures(width: int, num: int, den: int):
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                sets = shingle_sets(whole.column(0).slice(at, 500).cast(pa.binary()).to_pylist(), width)
+            for part in slices(whole, 0):
+                sets = shingle_sets(part.column(0).cast(pa.binary()).to_pylist(), width)
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "shingles"])
 
     return run
 
 
 def _list_pairs(num: int, den: int):
-    """Pairs of each short list whose sizes allow a link; rows are lists of (n, node) by size."""
+    """Pairs (a, b, n_a, n_b) of each short list whose sizes allow a link; rows are lists of (n, node) by size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(0)
             cuts, flat = lists.offsets.to_numpy(), lists.values
             n, node = flat.field("n").to_numpy(), flat.field("node").to_numpy()
-            first, second = [], []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                sizes = n[a:b]
-                # partners further up whose size is at most the largest that can link
-                ends = np.searchsorted(sizes * num, sizes * den, side="right")
-                for i in range(b - a - 1):
-                    if ends[i] > i + 1:
-                        second.append(node[a + i + 1:a + ends[i]])
-                        first.append(np.full(len(second[-1]), node[a + i]))
-            if first:
-                x, y = np.concatenate(first), np.concatenate(second)
-                low, high = np.minimum(x, y), np.maximum(x, y)
-                for at in range(0, len(low), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(low[at:at + 50_000]), pa.array(high[at:at + 50_000])], names=["a", "b"])
+            # partners further up in the same list whose size is at most the largest that can link
+            own_end = np.repeat(cuts[1:], np.diff(cuts)) - cuts[0]
+            n, node = n[cuts[0]:cuts[-1]], node[cuts[0]:cuts[-1]]
+            at = np.arange(len(n))
+            counts = own_end - at - 1
+            for low in range(0, len(n), 20_000):
+                some, c = at[low:low + 20_000], counts[low:low + 20_000]
+                x = np.repeat(some, c)
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
+                fit = n[y] * num <= n[x] * den
+                x, y = x[fit], y[fit]
+                swap = node[x] > node[y]
+                a, b = np.where(swap, y, x), np.where(swap, x, y)
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(n[a]), pa.array(n[b])], names=["a", "b", "n_a", "n_b"])
 
     return run
 
@@ -170,7 +219,7 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _probe(num: int, den: int):
-    """Pairs that occur together on enough lists; arguments are signatures and sizes."""
+    """Pairs that occur together on enough lists, with their times; columns are nodes, sizes and signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +231,7 @@ def _probe(num: int, den: int):
             (ca, va), (cb, vb) = sides
             least = np.minimum(_least(na, num, den), _least(nb, num, den))
             keep = [i for i in range(len(a)) if _shared(va[ca[i]:ca[i + 1]], vb[cb[i]:cb[i + 1]]) >= least[i]]
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), batch.column(6).take(pa.array(keep, pa.int64()))], names=["a", "b", "times"])
 
     return run
 
@@ -277,92 +326,134 @@ def joined_components(reached: DataFrame, more: DataFrame) -> DataFrame:
     return changed.union(single)
 
 
-def jaccard_groups(docs: DataFrame, width: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text", long_list: int = 32, tile: int = 1000, picks: int = 4) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest id reachable by links) of each row; links have Jaccard >= num / den."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = written(rows.mapInArrow(_signatures(width, num, den), f"row long, doc_id {kind}, n long, digest binary, sign array<long>"), "signatures")
-    classes = written(signed.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sign").alias("sign")), "classes")
-
-    postings = classes.select("node", "n", F.posexplode("sign").alias("pos", "h"))
-    sizes = written(postings.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "lists")
-    shared = written(postings.join(sizes, "h"), "postings")
-    long_counts = shared.where(F.col("df") > long_list).groupBy("node").agg(F.count(F.lit(1)).alias("longs"))
+def _candidates(classes: DataFrame, num: int, den: int, long_list: int, picks: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b, times) and the places of classes on long lists (h, node, n, picked, kept) that together cover all links."""
+    postings = classes.select("node", "n", F.explode("sign").alias("h"))
+    sizes = scratch.write(postings.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "lists")
+    shared = scratch.write(postings.join(sizes, "h").select("h", "node", "n", "df"), "postings")
+    scratch.drop("lists")
+    long = shared.where(F.col("df") > long_list)
+    long_counts = scratch.write(long.groupBy("node").agg(F.count(F.lit(1)).alias("longs")), "long_counts")
 
     def prefix(n: Column) -> Column:
         return n - F.ceil(n * num / F.lit(den)) + 1
 
-    short = shared.where(F.col("df") <= long_list).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("x")).select("x")
-    pairs = short.mapInArrow(_list_pairs(num, den), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
-    info = classes.select("node", "n", "sign").join(long_counts, "node", "left").withColumn("longs", F.coalesce("longs", F.lit(0))).withColumn("least", (1 + F.floor(prefix(F.col("n")) / 4)).cast("long"))
-    side = lambda s, *cols: info.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", *cols)])
-    merged = pairs.join(side("a", "longs", "least"), F.col("a") == F.col("node_a")).join(side("b", "longs", "least"), F.col("b") == F.col("node_b"))
-    merged = merged.where(F.col("times") >= F.least("least_a", "least_b") - F.least("longs_a", "longs_b"))
-    merged = written(merged.select("a", "b", F.least("longs_a", "longs_b").alias("longs")), "merged")
-    # where one side has no long list, the count on short ones is exact and no signature needs to travel
-    unsure = merged.where("longs > 0").join(side("a", "n", "sign"), F.col("a") == F.col("node_a")).join(side("b", "n", "sign"), F.col("b") == F.col("node_b"))
-    found = unsure.select("a", "b", "n_a", "n_b", "sign_a", "sign_b").mapInArrow(_probe(num, den), "a long, b long")
-    probed = written(merged.where("longs = 0").select("a", "b").union(found), "probed")
+    def least(n: Column) -> Column:
+        return (1 + F.floor(prefix(n) / 4)).cast("long")
 
-    smallest = F.ceil(F.col("n") * num / F.lit(den))
-    dense = info.withColumn("low", F.least(F.col("least"), (1 + F.floor(prefix(smallest) / 4)).cast("long"))).where("longs >= low")
-    dense = dense.select("node", (F.col("longs") - F.col("low") + 1).alias("kept"))
+    lists = shared.where(F.col("df") <= long_list).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("x")).select("x")
+    pairs = lists.mapInArrow(_list_pairs(num, den), "a long, b long, n_a long, n_b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    side = lambda s: long_counts.select(F.col("node").alias(f"node_{s}"), F.col("longs").alias(f"longs_{s}"))
+    merged = pairs.join(side("a"), F.col("a") == F.col("node_a"), "left").join(side("b"), F.col("b") == F.col("node_b"), "left")
+    longs = F.least(F.coalesce("longs_a", F.lit(0)), F.coalesce("longs_b", F.lit(0)))
+    merged = merged.where(F.col("times") >= F.least(least(F.col("n_a")), least(F.col("n_b"))) - longs)
+    merged = scratch.write(merged.select("a", "b", "times", "n_a", "n_b", longs.alias("longs")), "merged")
+    # where one side has no long list, the count on short ones is exact and no signature needs to travel
+    sign = lambda s: classes.select(F.col("node").alias(f"node_{s}"), F.col("sign").alias(f"sign_{s}"))
+    unsure = merged.where("longs > 0").join(sign("a"), F.col("a") == F.col("node_a")).join(sign("b"), F.col("b") == F.col("node_b"))
+    probed = unsure.select("a", "b", "n_a", "n_b", "sign_a", "sign_b", "times").mapInArrow(_probe(num, den), "a long, b long, times long")
+    probed = scratch.write(merged.where("longs = 0").select("a", "b", "times").union(probed), "probed")
+    scratch.drop("merged")
+
+    low = F.least(least(F.col("n")), least(F.ceil(F.col("n") * num / F.lit(den))))
+    dense = long.join(long_counts, "node").withColumn("low", low).where("longs >= low")
     shortest, smallest_hash = Window.partitionBy("node").orderBy("df", "h"), Window.partitionBy("node").orderBy("h")
-    dense = shared.where(F.col("df") > long_list).select("h", "node", "df").join(dense, "node")
-    dense = dense.withColumn("picked", F.row_number().over(smallest_hash) <= picks).withColumn("kept", F.row_number().over(shortest) <= F.col("kept"))
-    dense = written(dense.where("picked or kept").select("h", "node", "picked", "kept"), "dense")
+    dense = dense.withColumn("picked", F.row_number().over(smallest_hash) <= picks).withColumn("kept", F.row_number().over(shortest) <= F.col("longs") - F.col("low") + 1)
+    dense = scratch.write(dense.where("picked OR kept").select("h", "node", "n", "picked", "kept"), "dense")
+    scratch.drop("postings", "long_counts")
+    return probed, dense
 
-    def chunked(what: str) -> DataFrame:
-        some = dense.where(what).select("h", "node")
-        counts = some.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1").withColumn("chunks", F.ceil(F.col("members") / tile).cast("int"))
-        return some.join(counts, "h").withColumn("chunk", F.pmod(F.xxhash64("node", "h"), F.col("chunks")).cast("int"))
 
-    wanted = probed.select(F.col("a").alias("node")).union(probed.select("b")).union(dense.select("node")).distinct()
-    wanted = written(classes.join(wanted, "node").select("node", "first_id", "digest"), "wanted")
+def jaccard_groups(docs: DataFrame, width: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text", long_list: int = 32, tile: int = 1000, tile_shingles: int = 2_000_000, picks: int = 4, one_in: int = 32) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest id reachable by links) of each row; links have Jaccard >= num / den."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "jaccard")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    levels = spark.sparkContext.broadcast(common_levels(rows, width, one_in))
+    signed = scratch.write(rows.mapInArrow(_signatures(width, num, den, levels), f"row long, doc_id {kind}, n long, digest binary, sign array<long>"), "signatures")
+    classes = scratch.write(signed.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sign").alias("sign")), "classes")
+    probed, dense = _candidates(classes, num, den, long_list, picks, scratch)
+
+    hubs = dense.where("kept").groupBy("h").agg(F.min("node").alias("b"))
+    spread = dense.where("kept").join(hubs, "h").select(F.col("node").alias("a"), "b")
+    areas = scratch.write(components(probed.select("a", "b").union(spread)), "areas")
+    wanted = scratch.write(areas.join(classes.select("node", "first_id", "digest", "n"), "node").withColumnRenamed("component", "area"), "wanted")
     firsts = wanted.select("first_id").distinct()
     texts = rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    sets = texts.select("text").mapInArrow(_full_sets(width), "digest binary, shingles binary").join(wanted, "digest")
-    sets = written(sets.dropDuplicates(["digest"]).select("node", "shingles"), "sets")
-    set_of = lambda s: sets.select(F.col("node").alias(f"node_{s}"), F.col("shingles").alias(f"set_{s}"))
-    links = probed.join(set_of("a"), F.col("a") == F.col("node_a")).join(set_of("b"), F.col("b") == F.col("node_b")).select("a", "b", "set_a", "set_b").mapInArrow(_check(num, den), "a long, b long")
-
-    meet = lambda tiles: tiles.join(sets, "node").groupBy("merged", "h", "i", "j").applyInArrow(_tiles(num, den), "a long, b long")
-    first = chunked("picked").select(F.lit(False).alias("merged"), "h", F.col("chunk").alias("i"), F.col("chunk").alias("j"), "node", F.col("node").alias("known"))
-    links = written(links.union(meet(first)), "first_links")
-    reached = written(components(links), "first_components")
-
-    blocks = chunked("kept").join(reached, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
-    blocks = written(blocks, "blocks")
-    open_blocks = blocks.groupBy("h").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low < high").select("h")
-    blocks = written(blocks.join(open_blocks, "h"), "open_blocks")
-    local = blocks.where(F.col("members") <= tile // 4)
-    overlaps = local.join(local.groupBy("h").agg(F.min("node").alias("b")), "h").select(F.col("node").alias("a"), "b")
-    overlaps = written(components(overlaps).withColumnRenamed("component", "area"), "areas")
-    fitting = overlaps.join(overlaps.groupBy("area").count().where(F.col("count") <= tile), "area", "left_semi")
-    merged = local.join(fitting, "node").select(F.lit(True).alias("merged"), F.col("area").alias("h"), F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "known").distinct()
-    others = blocks.join(fitting.withColumn("fits", F.lit(True)), "node", "left").where((F.col("members") > tile // 4) | F.col("fits").isNull())
-    others = others.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    others = others.select(F.lit(False).alias("merged"), "h", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "known")
-    tiled = merged.unionByName(others)
-    more = written(meet(tiled), "jaccard_links")
-    if not more.isEmpty():
-        reached = written(joined_components(reached, more), "components")
-
-    named = classes.select("digest", "node", "first_id").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sets = texts.select("text").mapInArrow(_full_sets(width), "digest binary, shingles binary").join(wanted.select("digest", "node"), "digest")
+    sets = scratch.write(sets.dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    fits = wanted.groupBy("area").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
+    fits = scratch.write(fits.select("area", ((F.col("members") <= tile) & (F.col("total") <= tile_shingles)).alias("fits")), "fits")
+    placed = scratch.write(wanted.join(fits, "area").select("node", "area", "fits"), "placed")
+
+    def meet(tiles: DataFrame, *by: str) -> DataFrame:
+        return tiles.join(sets, "node").groupBy(*by).applyInArrow(_tiles(num, den), "a long, b long")
+
+    near = scratch.write(meet(placed.where("fits").select("area", "node", F.col("node").alias("known")), "area"), "near_links")
+    reached = scratch.write(near.select(F.col("b").alias("node"), F.col("a").alias("component")).union(near.select("a", "a")).distinct(), "near")
+    far = placed.where("NOT fits").select("node")
+    if not far.isEmpty():
+        reached = reached.unionByName(_far_components(probed.join(far.withColumnRenamed("node", "a"), "a"), dense.join(far, "node"), sets, meet, num, den, tile, tile_shingles, scratch))
+
+    named = scratch.write(classes.select("digest", "node", "first_id").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
     ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(ids, "component").select("digest", "component_id")
-    return signed.select("doc_id", "n", "digest").join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = signed.select("doc_id", "n", "digest").join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = scratch.write(out, "groups")
+    scratch.drop("signatures", "classes", "probed", "dense", "areas", "wanted", "sets", "fits", "placed", "near_links", "near", "far", "far_more", "named")
+    return out
+
+
+def _far_components(probed: DataFrame, dense: DataFrame, sets: DataFrame, meet, num: int, den: int, tile: int, tile_shingles: int, scratch: Scratch) -> DataFrame:
+    """(node, component) of the classes in areas beyond a tile, in two steps: most links of a group by linear work, then all between what is left."""
+    set_of = lambda s: sets.select(F.col("node").alias(f"node_{s}"), F.col("shingles").alias(f"set_{s}"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(set_of("a"), F.col("a") == F.col("node_a")).join(set_of("b"), F.col("b") == F.col("node_b"))
+        return both.select("a", "b", "set_a", "set_b").mapInArrow(_check(num, den), "a long, b long")
+
+    def chunked(some: DataFrame) -> DataFrame:
+        counts = some.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")).where("members > 1")
+        counts = counts.select("h", F.greatest(F.ceil(F.col("members") / tile), F.ceil(F.col("total") / tile_shingles)).cast("int").alias("chunks"))
+        return some.join(counts, "h").withColumn("chunk", F.pmod(F.xxhash64("node", "h"), F.col("chunks")).cast("int"))
+
+    ends = probed.select("a", "b", "times").union(probed.select("b", "a", "times")).toDF("node", "other", "times")
+    best = ends.groupBy("node").agg(F.max(F.struct("times", "other")).alias("x")).select(F.least("node", "x.other").alias("a"), F.greatest("node", "x.other").alias("b")).distinct()
+    first = chunked(dense.where("picked")).select("h", "chunk", "node", F.col("node").alias("known"))
+    links = scratch.write(checked(best).union(meet(first, "h", "chunk")), "far_first")
+    reached = scratch.write(components(links), "far")
+    scratch.drop("far_first")
+
+    known = lambda s: reached.select(F.col("node").alias(f"k_{s}"), F.col("component").alias(f"component_{s}"))
+    rest = probed.join(known("a"), F.col("a") == F.col("k_a"), "left").join(known("b"), F.col("b") == F.col("k_b"), "left")
+    rest = rest.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
+    blocks = chunked(dense.where("kept")).join(reached, "node", "left").withColumn("known", F.coalesce("component", "node"))
+    blocks = scratch.write(blocks.select("h", "node", "known", "chunk", "chunks"), "blocks")
+    unconnected = blocks.groupBy("h").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low < high").select("h")
+    others = blocks.join(unconnected, "h").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    others = others.select("h", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "known")
+    more = scratch.write(checked(rest).union(meet(others, "h", "i", "j")), "far_more")
+    scratch.drop("blocks")
+    return reached if more.isEmpty() else joined_components(reached, more)
 
 
 def first_of_groups(docs: DataFrame, width: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of linked rows, texts without shingles all kept.
 
-    Rows, not ids, are grouped and chosen, so repeated rows and repeated or null ids leave one row each group. It is the row with
-    the smallest id, null ids last; rows that tie are chosen among by a hash of all their columns.
+    Rows are told apart by 128 bits of hashes of all their columns (of types that hash: no maps), not by id, so repeated or null ids
+    leave one row each group. It is the row with the smallest id, null ids last; rows that tie are chosen among by that hash. Of rows
+    alike in all columns one stays, unless they have no shingles.
     """
-    row, mark, held, group = (free_name(docs, n) for n in ("row_key", "row_mark", "row_held", "row_group"))
-    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    groups = jaccard_groups(keyed, width, num, den, doc_id=row, text=text).select(F.col("doc_id").alias(held), F.col("component_id").alias(group))
-    ranked = keyed.select(row, F.col(doc_id).alias("id"), F.xxhash64(*docs.columns).alias(mark)).join(groups, F.col(row) == F.col(held))
-    first = ranked.groupBy(group).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", mark, row)).alias("first"))
-    return keyed.join(first.select(F.col(f"first.{row}").alias(held)), F.col(row) == F.col(held), "left_semi").drop(row)
+    mark = free_name(docs, "row_mark")
+    keyed = docs.withColumn(mark, F.concat(F.hex(F.xxhash64(*docs.columns)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *docs.columns))))
+    groups = jaccard_groups(keyed, width, num, den, doc_id=mark, text=text)
+    ids = keyed.select(F.col(mark).alias("row_of"), F.col(doc_id).alias("id")).distinct()
+    ranked = written(groups.where("n_shingles > 0").select(F.col("doc_id").alias("row_of"), F.col("component_id").alias("group")).groupBy("row_of", "group").agg(F.count(F.lit(1)).alias("copies")).join(ids, "row_of"), "ranked")
+    first = ranked.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_of")).alias("first")).select(F.col("first.row_of").alias("first_of"))
+    judged = ranked.join(first, F.col("row_of") == F.col("first_of"), "left")
+    # few rows are neither: a group's others, and firsts that are there more than once
+    marked = written(judged.where("first_of IS NULL OR copies > 1").select("row_of", F.col("first_of").isNotNull().alias("repeated")), "others")
+    alone = keyed.join(marked, F.col(mark) == F.col("row_of"), "left_anti")
+    repeated = keyed.join(marked.where("repeated"), F.col(mark) == F.col("row_of"), "left_semi").dropDuplicates([mark])
+    return alone.unionByName(repeated).drop(mark)

@@ -49,11 +49,11 @@ def corpus(seed, families=12, most=30):
     return [(i, " ".join(w)) for i, w in enumerate(rows)] + [(1000, None), (1001, ""), (1002, " \t\n"), (1003, "One  two"), (1004, "one two"), (1005, "two one"), (None, "one two"), (1003, "one two three"), (None, "lonely words here now"), (7, rows[3][0] + " x")]
 
 
-@pytest.mark.parametrize(("width", "num", "den", "long_list", "tile"), [(3, 90, 100, 32, 1000), (3, 90, 100, 4, 7), (5, 80, 100, 3, 5)])
-def test_against_all_pairs(spark, width, num, den, long_list, tile):
+@pytest.mark.parametrize(("width", "num", "den", "long_list", "tile", "one_in"), [(3, 90, 100, 32, 1000, 32), (3, 90, 100, 4, 7, 1), (5, 80, 100, 3, 5, 2), (5, 80, 100, 2, 5, 1000)])
+def test_against_all_pairs(spark, width, num, den, long_list, tile, one_in):
     rows = corpus(width + long_list)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("h", F.lit(2))
-    got = jj.jaccard_groups(df, width, num, den, long_list=long_list, tile=tile).collect()
+    got = jj.jaccard_groups(df, width, num, den, long_list=long_list, tile=tile, one_in=one_in).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == plain(rows, width, num, den)
 
 
