@@ -123,24 +123,29 @@ def running_total(df: DataFrame, by: list[str], order: list[str], value: str, ou
 def components(links: DataFrame) -> DataFrame:
     """(node, component): for each node that links (a, b) name, the smallest node it reaches.
 
-    Labels spread by rounds of joins: each node takes the smallest label among its neighbours', then the label
-    of its label (pointer jumping), so chains of n links end after about log n rounds. Every round is
-    written to the shared folder and the one before it deleted. No component is ever gathered anywhere.
+    By contraction: every node points to its smallest neighbour, pointers are doubled until they reach the roots, and
+    links are drawn between roots, where those inside a tree vanish; so the links shrink from round to round.
+    Steps are written to the shared folder and deleted once read. No component is ever gathered anywhere.
     """
     scratch = Scratch(links.sparkSession, "components")
-    links = links.where("a <> b")
-    both = scratch.write(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels-0")
-    turn = 0
-    while True:
+    links = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges, turn = scratch.write(links.distinct(), "edges-0"), 0
+    labels = scratch.write(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node")), "labels-0")
+    while not edges.isEmpty():
+        ends = edges.union(edges.select("b", "a")).toDF("node", "other")
+        tops, jumps = scratch.write(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("top")), f"tops-{turn}-0"), 0
+        while True:
+            jumps += 1
+            above = tops.select(F.col("node").alias("u_node"), F.col("top").alias("u_top"))
+            raised = scratch.write(tops.join(above, F.col("top") == F.col("u_node")).select("node", F.col("u_top").alias("top"), (F.col("top") != F.col("u_top")).alias("moved")), f"tops-{turn}-{jumps}")
+            scratch.drop(f"tops-{turn}-{jumps - 1}")
+            tops = raised.select("node", "top")
+            if raised.where("moved").isEmpty():
+                break
         turn += 1
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("j_node"), F.col("label").alias("j_label"))
-        step = step.join(jump, F.col("next") == F.col("j_node"), "left").select("node", "label", F.least("next", "j_label").alias("next"))
-        step = scratch.write(step, f"labels-{turn}")
-        scratch.drop(f"labels-{turn - 1}")
-        labels = step.select("node", F.col("next").alias("label"))
-        if step.where("next < label").isEmpty():
-            scratch.drop("links")
-            return labels.select("node", F.col("label").alias("component"))
+        of = lambda s: tops.select(F.col("node").alias(f"node_{s}"), F.col("top").alias(f"top_{s}"))
+        labels = scratch.write(labels.join(of("c"), F.col("component") == F.col("node_c"), "left").select("node", F.coalesce("top_c", "component").alias("component")), f"labels-{turn}")
+        edges = edges.join(of("a"), F.col("a") == F.col("node_a")).join(of("b"), F.col("b") == F.col("node_b")).where("top_a <> top_b")
+        edges = scratch.write(edges.select(F.least("top_a", "top_b").alias("a"), F.greatest("top_a", "top_b").alias("b")).distinct(), f"edges-{turn}")
+        scratch.drop(f"labels-{turn - 1}", f"edges-{turn - 1}", f"tops-{turn - 1}-{jumps}")
+    return labels

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import jaccard_join as jj
+from corvane.llm.common import components
 
 
 def plain(rows, width, num, den):
@@ -76,3 +77,19 @@ def test_tiles_connect_as_all_links_do():
 
 def test_empty_table(spark):
     assert jj.jaccard_groups(spark.createDataFrame([], "doc_id long, text string"), 3, 90, 100).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    chain = [(i, i + 1) for i in range(100, 140)]
+    star = [(7, i) for i in range(200, 260)]
+    some = [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    links = [*chain, *star, *some, (5, 5), (9, 8), (8, 9), (9, 8)]
+    label = {x: x for a, b in links if a != b for x in (a, b)}
+    for _ in range(200):
+        for a, b in links:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == label
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
