@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import written
+from corvane.llm.common import slices, written
 from corvane.llm.files import committed, opened
 
 FILE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("start", pa.int64()), ("tokens", pa.list_(pa.field("element", pa.int32())))])
@@ -32,11 +33,11 @@ _ENCODERS: dict[tuple[str, int], "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """A tokenizer of the tokenizers library with the ids of words it has met kept by word.
+    """A tokenizer of the tokenizers library with the ids of words it has met kept by word, in one array.
 
     For tokenizers that drop white space and never look across it (their normalizer and pre-tokenizer work on each
-    word alone), the ids of a text are those of its words in a row. Words are kept up to max_words; beyond that,
-    new ones are kept for a batch only.
+    word alone), the ids of a text are those of its words in a row. Arrow splits texts and numbers their distinct words, so Python
+    meets each word once a batch. Words are kept up to max_words; beyond that, new ones are kept for a batch only.
     """
 
     def __init__(self, path: str, max_words: int):
@@ -44,48 +45,60 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
-        self.max_words, self.known, self.stems = max_words, {}, {"": b""}
-
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word; many words go in one call, which tells the word of each id."""
-        out = {}
-        plain = [w for w in words if "<|" not in w]
-        for at in range(0, len(plain), 500):
-            some = plain[at:at + 500]
-            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            data = np.array(e.ids, dtype="<i4").tobytes()
-            ends = 4 * np.cumsum(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(some)))
-            out |= {w: data[a:b] for w, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
-        for w in words:
-            if "<|" in w:
-                out[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<i4").tobytes()
-        return out
-
-    def batch(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each UTF-8 text."""
-        known, split = self.known, [t.split() for t in texts]
-        new = set().union(*split).difference(known) if split else set()
+        self.max_words, self.known = max_words, {}
+        self.ids, self.used, self.ends = np.empty(1 << 16, dtype=np.int32), 0, np.zeros(1 << 16, dtype=np.int64)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row, and how many each has; many words go in one call, which tells the word of each id."""
+        ids, counts = [np.empty(0, dtype=np.int32)], []
+        for at in range(0, len(words), 500):
+            some = words[at:at + 500]
+            if any("<|" in w for w in some):  # may be a special token, which is not split inside lists of words
+                each = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype=np.int32) for w in some]
+                ids += each
+                counts += [len(x) for x in each]
+            else:
+                e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+                ids.append(np.array(e.ids, dtype=np.int32))
+                counts += np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(some)).tolist()
+        return np.concatenate(ids), np.array(counts, dtype=np.int64)
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Number of each word; the ids of word k are ids[ends[k - 1]:ends[k]]."""
+        known = self.known
+        new = [w for w in words if w not in known]
         if new:
-            parts = {}
-            for raw in new:
-                word = raw.decode()
-                if self.lowers and raw.isascii() and "<|" not in word:
-                    word = word.lower()
-                stem = word.rstrip(".,")  # between a letter and these two every word boundary rule cuts
-                parts[raw] = (stem, word[len(stem):]) if stem and stem[-1].isalpha() and "<|" not in word else (word, "")
-            stems = self.stems
-            ids = self._encode(sorted({p for pair in parts.values() for p in pair if p not in stems}))
-            for raw, (stem, tail) in parts.items():
-                known[raw] = (stems[stem] if stem in stems else ids[stem]) + (stems[tail] if tail in stems else ids[tail])
-            if len(stems) < self.max_words:
-                stems |= ids
-        out = [b"".join(map(known.__getitem__, w)) for w in split]
+            ids, counts = self._encode(new)
+            n, end = len(known), self.used + len(ids)
+            if end > len(self.ids):
+                self.ids = np.concatenate((self.ids[:self.used], np.empty(end, dtype=np.int32)))
+            if n + len(new) > len(self.ends):
+                self.ends = np.concatenate((self.ends[:n], np.zeros(n + len(new), dtype=np.int64)))
+            self.ids[self.used:end] = ids
+            self.ends[n:n + len(new)] = self.used + np.cumsum(counts)
+            known.update(zip(new, range(n, n + len(new)), strict=True))
+            self.used = end
+        out = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
         if len(known) > self.max_words:
-            for raw in new:
-                del known[raw]
+            for w in new:
+                del known[w]
+            self.used -= len(ids)
         return out
 
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        cuts = lists.offsets.to_numpy()
+        coded = lists.values.slice(cuts[0], cuts[-1] - cuts[0]).dictionary_encode()
+        numbers = self._numbers(coded.dictionary.to_pylist())
+        ends = self.ends[numbers]
+        starts = np.where(numbers > 0, self.ends[numbers - 1], 0)
+        at = coded.indices.to_numpy()
+        sizes = (ends - starts)[at]
+        before = np.append(0, np.cumsum(sizes))
+        ids = self.ids[np.arange(before[-1]) + np.repeat(starts[at] - before[:-1], sizes)]
+        return ids, np.diff(before[cuts - cuts[0]])
+
 
 def encoder(path: str, max_words: int = 400_000) -> WordEncoder:
     """The encoder of this worker process; it outlives a task."""
@@ -97,8 +110,6 @@ def encoder(path: str, max_words: int = 400_000) -> WordEncoder:
 def _writer(out_dir: str, tokenizer: str, end_id: int, row_group_tokens: int, page_bytes: int):
     import pyarrow.parquet as pq
 
-    end = np.array([end_id], dtype="<i4").tobytes()
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         path, enc = f"{out_dir}/part-{part:06d}.parquet", encoder(tokenizer)
@@ -106,27 +117,31 @@ def _writer(out_dir: str, tokenizer: str, end_id: int, row_group_tokens: int, pa
         held: list[tuple] = []
         total = in_group = 0
         stream = writer = None
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            if not ids:
-                continue
-            if writer is None:
-                stream = committed(path)
-                writer = pq.ParquetWriter(
-                    stream.__enter__(), FILE_SCHEMA, compression="zstd", compression_level=1, use_dictionary=False,
-                    column_encoding={c: "DELTA_BINARY_PACKED" for c in ("doc_id", "n_tokens", "start", "tokens.list.element")},
-                    write_page_index=True, data_page_size=page_bytes, write_statistics=["doc_id", "n_tokens", "start"])
-            for at in range(0, len(texts), 256):
-                for i, data in zip(ids[at:at + 256], enc.batch(texts[at:at + 256]), strict=True):
-                    n = len(data) // 4 + 1
-                    held.append((i, n, total, data))
-                    total, in_group = total + n, in_group + n
+        for whole in batches:
+            for batch in slices(whole, 1, 2000, 4 << 20):
+                if writer is None:
+                    stream = committed(path)
+                    writer = pq.ParquetWriter(
+                        stream.__enter__(), FILE_SCHEMA, compression="zstd", compression_level=1, use_dictionary=False,
+                        column_encoding={c: "DELTA_BINARY_PACKED" for c in ("doc_id", "n_tokens", "start", "tokens.list.element")},
+                        write_page_index=True, data_page_size=page_bytes, write_statistics=["doc_id", "n_tokens", "start"])
+                ids, counts = enc.batch(batch.column(1))
+                ends = np.cumsum(counts + 1)
+                data = np.full(int(ends[-1]), end_id, dtype=np.int32)
+                inside = np.ones(len(data), dtype=bool)
+                inside[ends - 1] = False
+                data[inside] = ids
+                at = done = 0
+                while at < len(ends):
+                    to = min(len(ends), int(np.searchsorted(ends, done + row_group_tokens - in_group)) + 1)
+                    size = int(ends[to - 1]) - done
+                    held.append((batch.column(0).slice(at, to - at), counts[at:to] + 1, data[done:done + size]))
+                    at, done, in_group = to, done + size, in_group + size
                     if in_group >= row_group_tokens:
-                        rows.append(_row_group(writer, held, end) | {"row_group": len(rows)})
-                        held, in_group = [], 0
+                        rows.append(_row_group(writer, held, total) | {"row_group": len(rows)})
+                        held, total, in_group = [], total + in_group, 0
         if held:
-            rows.append(_row_group(writer, held, end) | {"row_group": len(rows)})
+            rows.append(_row_group(writer, held, total) | {"row_group": len(rows)})
         if writer is not None:
             writer.close()
             stream.__exit__(None, None, None)
@@ -140,14 +155,14 @@ def _writer(out_dir: str, tokenizer: str, end_id: int, row_group_tokens: int, pa
     return write
 
 
-def _row_group(writer, held: list[tuple], end: bytes) -> dict:
-    ids, counts, starts, data = zip(*held, strict=True)
-    values = np.frombuffer(end.join(data) + end, dtype="<i4")
-    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+def _row_group(writer, held: list[tuple], start: int) -> dict:
+    ids = pa.concat_arrays([x for x, _, _ in held])
+    counts, values = (np.concatenate([x[k] for x in held]) for k in (1, 2))
+    offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
     tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), type=FILE_SCHEMA.field("tokens").type)
-    writer.write_table(pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(starts, pa.int64()), tokens], schema=FILE_SCHEMA), row_group_size=len(ids))
-    known = [i for i in ids if i is not None]
-    return {"first_id": known[0] if known else None, "last_id": known[-1] if known else None, "n_docs": len(ids), "n_tokens": int(offsets[-1])}
+    writer.write_table(pa.Table.from_arrays([ids, pa.array(counts), pa.array(start + offsets[:-1].astype(np.int64)), tokens], schema=FILE_SCHEMA), row_group_size=len(ids))
+    known = ids.drop_null()
+    return {"first_id": known[0].as_py() if len(known) else None, "last_id": known[-1].as_py() if len(known) else None, "n_docs": len(ids), "n_tokens": int(offsets[-1])}
 
 
 def write_tokens(docs: DataFrame, out_dir: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, row_group_tokens: int = 1_000_000, page_bytes: int = 128 * 1024) -> DataFrame:
@@ -194,6 +209,19 @@ def read_rows(manifest: DataFrame, first_id: int | None = None, last_id: int | N
     return out if last_id is None else out.where(F.col("doc_id") <= last_id)
 
 
+def read_pages(manifest: DataFrame, first_id: int, last_id: int, columns: tuple[str, ...] = ("doc_id", "n_tokens", "tokens")) -> DataFrame:
+    """Columns of the documents first_id..last_id through Spark's own Parquet reader, which skips pages by the files' page indexes.
+
+    Only files whose ids meet the range are opened: their paths, one a file, come to the driver.
+    """
+    spark = manifest.sparkSession
+    hit = manifest.where((F.col("last_id") >= first_id) & (F.col("first_id") <= last_id)).select("path").distinct()
+    paths = [r.path for r in hit.collect()]
+    schema = "doc_id long, n_tokens long, start long, tokens array<int>"
+    rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return rows.where(F.col("doc_id").between(first_id, last_id)).select(*columns)
+
+
 def checksums(rows: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32, the crc32 of each document's ids as 4-byte little-endian numbers."""
     return rows.select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))

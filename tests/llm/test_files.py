@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,10 +33,22 @@ def test_token_files_match_the_library(spark, tmp_path):
     ordered = sorted(got, key=lambda r: r.start)
     assert [r.start for r in ordered] == [0, *np.cumsum([r.n_tokens for r in ordered])[:-1].tolist()]
     assert [r.doc_id for r in ordered] == [None, 1, 2, 2, 3, 4, 5, 7, 9, 9]
+    pages = token_files.read_pages(manifest, 3, 5)
+    assert sorted((r.doc_id, r.tokens) for r in pages.collect()) == sorted((i, ids[i, x]) for i, x in TEXTS if i in (3, 4, 5))
+    assert token_files.read_pages(manifest, 100, 200).count() == 0
     part = token_files.read_rows(manifest, 3, 5, tokens=False)
     assert sorted(r.doc_id for r in part.collect()) == [3, 4, 5] and "tokens" not in part.columns
 
 
+def test_words_beyond_the_kept_ones():
+    enc = token_files.WordEncoder(TOKENIZER, 3)
+    for _ in range(2):
+        for texts in (["one two three four five", "one"], ["six one seven", None, " two\t six "]):
+            ids, counts = enc.batch(pa.array(texts))
+            want = [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+            assert ids.tolist() == sum(want, []) and counts.tolist() == [len(x) for x in want]
+
+
 def test_token_files_of_an_empty_table(spark, tmp_path):
     manifest = token_files.write_tokens(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/t", TOKENIZER)
     assert token_files.read_rows(manifest).count() == 0

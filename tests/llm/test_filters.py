@@ -92,6 +92,28 @@ def test_bands_find_what_the_lemma_promises():
             assert index.hits(inside)
 
 
+def test_leaks_against_full_edit_distance(spark):
+    rng = random.Random(21)
+    items = [(i, " ".join(rng.choices(WORDS, k=rng.choice([2, 3, 4, 8, 16, 30])))) for i in range(8)] + [(8, "exactly10c"), (9, "short")]
+    docs = []
+    for i in range(60):
+        t = list(items[i % 9][1])
+        for _ in range(rng.choice([0, 1, 2, 4, 7, 12])):
+            t[rng.randrange(len(t))] = rng.choice(["", "x", "Q", "ab"])
+        docs.append((i, " ".join(rng.choices(WORDS, k=rng.randint(0, 9))) + " " + "".join(t) + " " + " ".join(rng.choices(WORDS, k=rng.randint(0, 9)))))
+    docs += [docs[0], docs[0], (99, items[4][1] + " filler" * 60_000 + " " + items[5][1])]
+    limits, want = de.Limits(), set()
+    for d, t in docs:
+        flat = de.normalised(t)
+        for item, text in items:
+            for s in de.segments(de.normalised(text), limits):
+                budget = min(len(s) * limits.edit_percent // 100, (len(s) - de.Q) // de.Q)
+                if s in flat or (len(flat) < 2000 and edit_distance_inside(s, flat) <= budget):
+                    want.add((d, item))
+    got = de.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), limits=limits).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.item_id) for r in got} == want and len(want) > 20
+
+
 @pytest.fixture(scope="module")
 def toxic_rows():
     rng = np.random.default_rng(7)
