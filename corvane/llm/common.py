@@ -103,21 +103,21 @@ def running_total(df: DataFrame, by: list[str], order: list[str], value: str, ou
     more than one part, however large a group is. Rows that tie in `order` must be alike in `value`, or their
     order among themselves is not fixed.
     """
-    part, base = free_name(df, "part_id"), free_name(df, "part_base")
+    part, base, of_part = (free_name(df, n) for n in ("part_id", "part_base", "part_of"))
+    groups = [free_name(df, f"part_by_{i}") for i in range(len(by))]
     keys = [F.col(c).asc_nulls_last() for c in [*by, *order]]
     parts = written(df.repartitionByRange(*keys).withColumn(part, F.spark_partition_id()), "ranges")
     sums = parts.groupBy(part, *by).agg(F.sum(value).alias(base))
     before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn(base, F.coalesce(F.sum(base).over(before), F.lit(0))).select(
-        F.col(part).alias("o_part"), base, *[F.col(c).alias(f"o_{i}") for i, c in enumerate(by)])
-    on = F.col(part) == F.col("o_part")
-    for i, c in enumerate(by):
-        on = on & F.col(c).eqNullSafe(F.col(f"o_{i}"))
+        F.col(part).alias(of_part), base, *[F.col(c).alias(g) for g, c in zip(groups, by, strict=True)])
+    on = F.col(part) == F.col(of_part)
+    for g, c in zip(groups, by, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(g))
     inside = Window.partitionBy(part, *by).orderBy(*[F.col(c).asc_nulls_last() for c in order]).rowsBetween(
         Window.unboundedPreceding, 0)
     joined = parts.join(offsets, on, "left")
-    return joined.withColumn(out, F.sum(value).over(inside) + F.col(base)).drop(
-        part, base, "o_part", *[f"o_{i}" for i in range(len(by))])
+    return joined.withColumn(out, F.sum(value).over(inside) + F.col(base)).drop(part, base, of_part, *groups)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -38,15 +38,15 @@ def lines_of(text: Column, cut: str = "\n") -> Column:
 
 def drop_boilerplate(pages: DataFrame, lines: Column, host: Column, max_ratio: float = 0.3, min_pages: int = 3) -> DataFrame:
     """pages with host, lines (the kept ones, in order) and n_lines (before)."""
-    names = {n: free_name(pages, n) for n in ("host", "lines", "n_lines")}
+    names = {n: free_name(pages, n) for n in ("host", "lines", "n_lines", "site_host", "site_common")}
     base = pages.withColumn(names["host"], host).withColumn(names["lines"], lines)
     h, ls = F.col(names["host"]), F.col(names["lines"])
-    slim = base.select(h.alias("b_host"), F.transform(F.array_distinct(ls), lambda x: F.xxhash64(x)).alias("b_lines"))
-    totals = slim.groupBy("b_host").agg(F.count(F.lit(1)).alias("b_pages")).withColumnRenamed("b_host", "t_host")
-    counts = slim.select("b_host", F.explode("b_lines").alias("b_line")).groupBy("b_host", "b_line").agg(F.count(F.lit(1)).alias("b_n")).where(F.col("b_n") >= min_pages)
-    common = counts.join(totals, F.col("b_host").eqNullSafe(F.col("t_host"))).where(F.col("b_n") > max_ratio * F.col("b_pages"))
+    slim = base.select(h.alias("host"), F.transform(F.array_distinct(ls), lambda x: F.xxhash64(x)).alias("lines"))
+    totals = slim.groupBy(F.col("host").alias("t_host")).agg(F.count(F.lit(1)).alias("pages"))
+    counts = slim.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    common = counts.join(totals, F.col("host").eqNullSafe(F.col("t_host"))).where(F.col("n") > max_ratio * F.col("pages"))
     # written, so that Spark knows its size: it is sent to tasks where small, else the join is one that Spark can split
-    common = written(common.groupBy("b_host").agg(F.collect_list("b_line").alias("b_common")), "boilerplate")
-    out = base.join(common, h.eqNullSafe(F.col("b_host")), "left")
-    kept = F.when(F.col("b_common").isNull(), ls).otherwise(F.filter(ls, lambda x: ~F.array_contains(F.col("b_common"), F.xxhash64(x))))
-    return out.withColumn(names["n_lines"], F.size(ls).cast("long")).withColumn(names["lines"], kept).drop("b_host", "b_common")
+    common = written(common.groupBy(F.col("host").alias(names["site_host"])).agg(F.collect_list("line").alias(names["site_common"])), "boilerplate")
+    out, drop = base.join(common, h.eqNullSafe(F.col(names["site_host"])), "left"), F.col(names["site_common"])
+    kept = F.when(drop.isNull(), ls).otherwise(F.filter(ls, lambda x: ~F.array_contains(drop, F.xxhash64(x))))
+    return out.withColumn(names["n_lines"], F.size(ls).cast("long")).withColumn(names["lines"], kept).drop(names["site_host"], names["site_common"])

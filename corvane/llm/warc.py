@@ -38,8 +38,8 @@ MANIFEST = "path string, n_records long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def _record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [VERSION, f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:x-page:{'null' if page_id is None else page_id}>", f"WARC-Date: {date}"]
     if url is not None:
@@ -62,16 +62,10 @@ def _dictionary(samples: list[bytes], size: int) -> zstandard.ZstdCompressionDic
 
 def _write(out_dir: str, date: str, sample_records: int, dict_bytes: int, level: int):
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
-        first: set[tuple] = set()
         for batch in batches:
-            for page_id, url, html, refers, n_same in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), batch.column(3), batch.column(4))), strict=True):
-                payload = html or b""
-                sha = hashlib.sha1(payload).digest()
-                revisit = refers is not None and refers != page_id
-                if n_same is not None and n_same > 1 and not revisit:
-                    revisit = (page_id, sha) in first
-                    first.add((page_id, sha))
-                yield _record(page_id, url, payload, base64.b32encode(sha).decode(), refers if refers is not None else page_id, revisit, date)
+            columns = [batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), *(batch.column(k) for k in range(3, 7))]
+            for page_id, url, html, size, sha, refers_to, revisit in zip(*(c.to_pylist() for c in columns), strict=True):
+                yield _record(page_id, url, html or b"", size, base64.b32encode(bytes.fromhex(sha)).decode(), refers_to, revisit, date)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = f"{out_dir}/part-{TaskContext.get().partitionId():06d}.warc.zst"
@@ -96,15 +90,30 @@ def _write(out_dir: str, date: str, sample_records: int, dict_bytes: int, level:
 def write_archives(pages: DataFrame, out_dir: str, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z", min_payload_bytes: int = 0, sample_records: int = 200, dict_bytes: int = 16 * 1024, level: int = 3) -> DataFrame:
     """Writes archives of all pages under out_dir (a URI in the shared folder); gives the manifest, already computed.
 
-    Ids and digests alone are grouped and joined by digest; the pages themselves move once, by id, so a payload that a
-    third of them share loads no task more than another.
+    Only (page_id, digest) are grouped and joined, so a payload that a third of the pages share loads no task more than
+    another, and a revisit's payload goes no further. Rows that repeat a response's id and payload are numbered in a written table,
+    without payloads; the least number is the response.
     """
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
-    same = rows.where(F.octet_length("html") >= min_payload_bytes).groupBy("sha", "page_id").agg(F.count(F.lit(1)).alias("n_same"))
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    rows = rows.withColumn("sha", F.sha1("html")).withColumn("size", F.octet_length("html").cast("long"))
+    same = rows.where(F.col("size") >= min_payload_bytes).groupBy("sha", "page_id").agg(F.count(F.lit(1)).alias("n_same"))
     firsts = same.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.sum("n_same").alias("n")).where("n > 1").select("sha", "refers_to")
-    plan = same.join(firsts, "sha").select(F.col("page_id").alias("p_id"), F.col("sha").alias("p_sha"), "refers_to", "n_same")
-    joined = rows.join(plan, F.col("page_id").eqNullSafe(F.col("p_id")) & (F.col("sha") == F.col("p_sha")), "left")
-    return written(joined.select("page_id", "url", "html", "refers_to", "n_same").mapInArrow(_write(out_dir, date, sample_records, dict_bytes, level), MANIFEST), "archives")
+    plan = same.join(firsts, "sha").select(F.col("page_id").alias("p_id"), F.col("sha").alias("p_sha"), "refers_to", (F.col("page_id").eqNullSafe(F.col("refers_to"))).alias("own"), "n_same")
+    plan = written(plan, "repeats")
+    rows = rows.join(plan, F.col("page_id").eqNullSafe(F.col("p_id")) & (F.col("sha") == F.col("p_sha")), "left")
+    revisit = F.coalesce(~F.col("own"), F.lit(False))
+    fields = ["page_id", "url", "html", "size", "sha", "refers_to", "revisit"]
+    out = rows.withColumn("revisit", revisit).withColumn("html", F.when(~revisit, F.col("html")))
+    if not plan.where("own AND n_same > 1").isEmpty():
+        repeated = F.coalesce(F.col("own") & (F.col("n_same") > 1), F.lit(False))
+        odd = out.where(repeated)
+        numbered = written(odd.select("page_id", "sha", "url", "size", "refers_to", F.monotonically_increasing_id().alias("nth")), "numbered")
+        least = numbered.groupBy(F.col("page_id").alias("l_id"), F.col("sha").alias("l_sha")).agg(F.min(F.struct("nth", "url")).alias("least"))
+        of = lambda df: df.join(least, F.col("page_id").eqNullSafe(F.col("l_id")) & (F.col("sha") == F.col("l_sha")))
+        response = of(odd.groupBy("page_id", "sha", "size", "refers_to").agg(F.first("html").alias("html"))).select("page_id", F.col("least.url").alias("url"), "html", "size", "sha", "refers_to", F.lit(False).alias("revisit"))
+        others = of(numbered).where("nth <> least.nth").select("page_id", "url", F.lit(None).cast("string").alias("html"), "size", "sha", "refers_to", F.lit(True).alias("revisit"))
+        out = out.where(~repeated).select(*fields).unionByName(response).unionByName(others)
+    return written(out.select(*fields).mapInArrow(_write(out_dir, date, sample_records, dict_bytes, level), MANIFEST), "archives")
 
 
 def _frames(stream, path: str, chunk: int = 1 << 20) -> Iterator[bytes]:

@@ -68,6 +68,15 @@ def test_archives_come_back(spark, tmp_path):
     assert kinds == [("2", "response", None), ("2", "revisit", 2), ("4", "revisit", 2), ("5", "response", None), ("8", "response", None), ("9", "revisit", 8), ("None", "response", None)]
 
 
+@pytest.mark.parametrize("parts", [1, 4, 9])
+def test_one_response_of_repeated_rows(spark, tmp_path, parts):
+    rows = [(1, "u", "same")] * 6 + [(2, "u", "same"), (1, "u", "other"), (None, "u", "same"), (None, "v", "null only"), (None, "w", "null only"), (3, "u", "x" * 10), (3, "v", "x" * 10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    got = sorted((str(r.page_id), r.record_type, str(r.refers_to), r.payload_bytes) for r in warc.read_archives(warc.write_archives(pages, f"file://{tmp_path}/w")).collect())
+    assert got == sorted([("1", "response", "None", 4), ("1", "response", "None", 5), ("2", "revisit", "1", 4), ("None", "revisit", "1", 4), ("None", "response", "None", 9), ("None", "revisit", "None", 9), ("3", "response", "None", 10), ("3", "revisit", "3", 10), *[("1", "revisit", "1", 4)] * 5])
+    assert warc.read_archives(warc.write_archives(pages.limit(0), f"file://{tmp_path}/none")).count() == 0
+
+
 def test_archives_with_a_dictionary_and_damage(spark, tmp_path):
     pages = spark.range(400).selectExpr("id AS page_id", "'http://h/' AS url", "concat('<html><body><p>', repeat(concat('words that many pages share ', id % 7), 40), id, '</p></body></html>') AS html")
     manifest = warc.write_archives(pages.repartition(1), f"file://{tmp_path}/w", dict_bytes=4096)
@@ -126,7 +135,19 @@ def test_mixing_meets_budgets(spark):
     for s in want:
         assert got[s] == round(want[s]) and want[s] <= 2 * whole[s]
     assert mixing.mix(docs.limit(0)).count() == 0
-    assert mixing.mixed_documents(docs.drop("size"), size=n_words("text")).columns == ["doc_id", "source", "text"]
+
+
+def test_mixed_texts_meet_budgets_and_clashing_columns_stay(spark):
+    rows = [(i % 40, ["a", "b", None][i % 3], " x\ty  z " * (i % 9), 5) for i in range(100)] + [(1, "a", "same words", 1)] * 5 + [(None, "b", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, taken int")
+    for name in ("mix_times", "mix_once", "t_size", "o_part", "o_0", "part_id", "mix_row", "mix_held", "row", "words"):
+        docs = docs.withColumn(name, F.lit(7))
+    want = {(r.source, round(r.target)) for r in mixing.mix(docs.drop("taken")).collect()}
+    for parts in (1, 5):
+        out = mixing.mixed_documents(docs.repartition(parts))
+        assert out.columns == docs.columns and out.where("mix_times <> 7 OR row <> 7").isEmpty()
+        assert {(r.source, r.n) for r in out.groupBy("source").agg(F.sum(n_words("text")).alias("n")).collect()} == want
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
 def test_running_total_over_a_hot_group(spark):
@@ -150,6 +171,12 @@ def test_line_dedup_by_host(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, text string").withColumn("host", F.lit("clash"))
     out = line_dedup.drop_boilerplate(df, line_dedup.lines_of(F.col("text")), line_dedup.host_of(F.col("url"))).collect()
     got = {r.page_id: (r._host, r.lines, r.n_lines) for r in out}
+    hot = spark.range(3000).selectExpr("id AS page_id", "if(id < 2000, 'http://hot/', concat('http://h', id, '/')) AS url", "concat('menu\nown ', id % 1500) AS text").withColumns({c: F.lit(1) for c in ("b_host", "b_common", "t_host", "n_lines")})
+    hot = hot.unionAll(hot.limit(10))
+    kept = line_dedup.drop_boilerplate(hot, line_dedup.lines_of(F.col("text")), line_dedup.host_of(F.col("url")))
+    assert kept.count() == 3010 and set(hot.columns) < set(kept.columns) and kept.where("b_common <> 1 OR n_lines <> 1").isEmpty()
+    assert kept.where("array_contains(lines, 'menu')").count() == 1000
+    assert line_dedup.drop_boilerplate(hot.limit(0), line_dedup.lines_of(F.col("text")), line_dedup.host_of(F.col("url"))).count() == 0
     assert got[3] == ("h.x", ["own 3"], 3) and got[20] == ("other", ["menu", "alone"], 2) and got[21] == (None, [], 0) and got[22][1] == []
 
 

@@ -1,7 +1,6 @@
 """The pipeline against plain Python over a small fixture."""
 
 import hashlib
-import math
 import random
 import zlib
 
@@ -68,9 +67,10 @@ def times(docs):
     for s in names:
         epochs, rest = divmod(int(target[s] + 0.5), total[s])
         for d in sorted((d for d in docs if d[3] == s), key=lambda d: hashlib.md5(f"mix:{d[0]}".encode()).hexdigest()):
-            size = len(d[1].split())
-            out[d[0]] = epochs + math.ceil(max(0, min(size, rest)) / size)
-            rest -= size
+            words = d[1].split()
+            last = max(0, min(len(words), rest))
+            out[d[0]] = [d[1]] * (epochs + (last == len(words))) + [" ".join(words[:last])] * (0 < last < len(words))
+            rest -= len(words)
     return out
 
 
@@ -83,8 +83,8 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     assert len(left) == 30
     tokenizer, taken, want, start = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), times(left), [], 0
     for d in left:
-        ids = [*tokenizer.encode(d[1], add_special_tokens=False).ids, 1]
-        for _ in range(taken[d[0]]):
+        for text in sorted(taken[d[0]]):
+            ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
             want.append((d[0], start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
             start += len(ids)
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
