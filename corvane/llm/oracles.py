@@ -18,12 +18,20 @@ cov AS (SELECT r, sum(coalesce(g, 8))::BIGINT AS n FROM gap GROUP BY r),
 m AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
-         len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+         len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+         len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words, len(list_distinct(w)) AS n_distinct_words,
+         len(regexp_extract_all(text, '[0-9]')) AS n_digits, len(regexp_extract_all(text, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(text, '\p{{Ll}}')) AS n_lower,
+         len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09]*[-*\x{{2022}}]'))) AS n_bullet_lines,
+         len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|\x{{2026}})[\x20\x09\x0D]*\z'))) AS n_ellipsis_lines,
+         len(regexp_extract_all(text, 'https?://')) AS n_urls, len(regexp_extract_all(text, '[\x{{FFFD}}\x00-\x08]')) AS n_unreadable
   FROM d LEFT JOIN cov USING (r)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (n_symbols > 0.3 * n_words
-         OR n_dup_lines > 0.6 * n_lines OR word_chars < 1.5 * n_words OR word_chars > 25.0 * n_words) AS kept
+         OR n_dup_lines > 0.6 * n_lines OR word_chars < 1.5 * n_words OR word_chars > 25.0 * n_words
+         OR n_letter_words < 0.5 * n_words OR n_digits > 0.4 * word_chars OR n_upper > 0.6 * (n_upper + n_lower)
+         OR (n_lines > 2 AND n_bullet_lines > 0.9 * n_lines) OR (n_lines > 2 AND n_ellipsis_lines > 0.5 * n_lines)
+         OR n_urls > 0.2 * n_words OR n_unreadable > 0.05 * word_chars OR n_distinct_words < 0.02 * n_words) AS kept
 FROM f
 """
 

@@ -1,9 +1,13 @@
 """Quality rules as a short-circuit cascade whose order comes from costs and selectivities measured on a sample.
 
 Every rule is a Column of Spark built-ins over measures of the text; a document is rejected by the first rule that
-fires. The verdict does not depend on the order, which only decides how much work is spared: rules run by falling
-rejection rate per second, as measured on a bounded sample. The cascade is one CASE whose branches compute the
-measures that they read, so a document that a cheap rule rejects never pays for a dear one.
+fires. Whether a document is kept does not depend on the order, which only decides how much work is spared: rules run by falling
+rejection rate per second, as measured on a bounded random sample. The cascade is one CASE whose branches compute the
+measures that they read, so a document that a cheap rule rejects never pays for a dear one. `with_verdicts` gives the
+base measures of every document, as its readers want them, and so computes these first; all others are computed inside the cascade.
+
+Costs are rounded to powers of two and ties keep the order of the rules, so small differences between runs don't change
+the order; where it does change, `rejected_by` may name another of the rules that a document breaks.
 
 Null and empty texts have no words and are rejected by `too_few_words`. Columns of the input pass through; an output
 whose name is taken gets underscores in front. Repeated rows get equal verdicts; an empty table gives no rows.
@@ -11,6 +15,7 @@ whose name is taken gets underscores in front. Repeated rows get equal verdicts;
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
@@ -42,6 +47,14 @@ class Limits:
     max_dup_line_share: float = 0.6
     min_mean_word_chars: float = 1.5
     max_mean_word_chars: float = 25.0
+    min_letter_words: float = 0.5
+    max_digit_share: float = 0.4
+    max_upper_share: float = 0.6
+    max_bullet_lines: float = 0.9
+    max_ellipsis_lines: float = 0.5
+    max_urls_per_word: float = 0.2
+    max_unreadable_share: float = 0.05
+    min_distinct_share: float = 0.02
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -91,15 +104,29 @@ def full_lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
 
+#: The measures that `with_verdicts` gives.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
+
+
 def measures(w: Column, text: Column) -> dict[str, Column]:
     """All measures of the built-in rules, as Columns over the words w and the text (not null)."""
+    times = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
     return {
         "n_words": F.size(w).cast("long"),
         "word_chars": F.length(F.array_join(w, "")).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+        "n_symbols": times(SYMBOLS),
         "n_dup_lines": _let(full_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_lines": F.size(full_lines(text)).cast("long"),
         "n_repeat_words": repeat_words(w),
+        "n_letter_words": F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))).cast("long"),
+        "n_digits": times(r"[0-9]"),
+        "n_upper": times(r"\p{Lu}"),
+        "n_lower": times(r"\p{Ll}"),
+        "n_bullet_lines": F.size(F.filter(full_lines(text), lambda x: x.rlike(r"^[\x20\x09]*[-*\u2022]"))).cast("long"),
+        "n_ellipsis_lines": F.size(F.filter(full_lines(text), lambda x: x.rlike(r"(\.\.\.|\u2026)[\x20\x09\x0D]*\z"))).cast("long"),
+        "n_urls": times(r"https?://"),
+        "n_unreadable": times(r"[\uFFFD\x00-\x08]"),
+        "n_distinct_words": F.size(F.array_distinct(w)).cast("long"),
     }
 
 
@@ -112,6 +139,14 @@ def built_in_rules(limits: Limits = Limits()) -> list[Rule]:
         Rule("symbols", lambda m: m["n_symbols"] > x.max_symbols_per_word * m["n_words"]),
         Rule("repeated_lines", lambda m: m["n_dup_lines"] > x.max_dup_line_share * m["n_lines"]),
         Rule("word_length", lambda m: (m["word_chars"] < x.min_mean_word_chars * m["n_words"]) | (m["word_chars"] > x.max_mean_word_chars * m["n_words"])),
+        Rule("few_letter_words", lambda m: m["n_letter_words"] < x.min_letter_words * m["n_words"]),
+        Rule("digits", lambda m: m["n_digits"] > x.max_digit_share * m["word_chars"]),
+        Rule("upper_case", lambda m: m["n_upper"] > x.max_upper_share * (m["n_upper"] + m["n_lower"])),
+        Rule("bullet_lines", lambda m: (m["n_lines"] > 2) & (m["n_bullet_lines"] > x.max_bullet_lines * m["n_lines"])),
+        Rule("ellipsis_lines", lambda m: (m["n_lines"] > 2) & (m["n_ellipsis_lines"] > x.max_ellipsis_lines * m["n_lines"])),
+        Rule("urls", lambda m: m["n_urls"] > x.max_urls_per_word * m["n_words"]),
+        Rule("unreadable", lambda m: m["n_unreadable"] > x.max_unreadable_share * m["word_chars"]),
+        Rule("few_distinct_words", lambda m: m["n_distinct_words"] < x.min_distinct_share * m["n_words"]),
     ]
 
 
@@ -122,28 +157,31 @@ def _over_text(text: str, body: Callable[[Mapping[str, Column]], Column]) -> Col
 
 
 def measured_order(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = 200) -> list[Rule]:
-    """rules by falling rejections per second on at most sample_rows documents; ties keep their order.
+    """rules by falling rejections per second on some sample_rows documents; ties keep their order.
 
-    Each rule runs alone over the sample, so only the measures that it reads are computed; its time beyond that
+    Each rule runs alone over the sample, so only the measures that it reads are computed; its shorter time of two beyond that
     of reading the sample is its cost. The sample decides the order only, never a verdict.
     """
-    sample = docs.select(text).limit(sample_rows).persist()
+    total = docs.count()
+    sample = docs.select(text).sample(min(1.0, 2 * sample_rows / max(total, 1)), seed=5).limit(sample_rows).persist()
     try:
         total = sample.count()
         if not total:
             return list(rules)
 
         def run(agg: Column) -> tuple[int, float]:
-            began = time.perf_counter()
-            n = sample.agg(agg.alias("n")).first()["n"]
-            return n or 0, time.perf_counter() - began
+            took, n = [], 0
+            for _ in range(2):
+                began = time.perf_counter()
+                n = sample.agg(agg.alias("n")).first()["n"]
+                took.append(time.perf_counter() - began)
+            return n or 0, min(took)
 
-        run(F.sum(F.length(text)))
         bare = run(F.sum(F.length(text)))[1]
         gain = {}
         for rule in rules:
             rejected, took = run(F.count_if(_over_text(text, rule.reject)))
-            gain[rule.name] = rejected / total / max(took - bare, 1e-3)
+            gain[rule.name] = rejected / total / 2.0 ** round(math.log2(max(took - bare, 4e-3)))
         return sorted(rules, key=lambda r: -gain[r.name])
     finally:
         sample.unpersist()
@@ -157,13 +195,17 @@ def _cascade(order: list[Rule], m: Mapping[str, Column]) -> Column:
 
 
 def with_verdicts(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
-    """docs with `measures` (a struct, computed for every document) and `rejected_by` (the first rule that fires, else null)."""
+    """docs with `measures` (a struct of the base ones, computed for every document) and `rejected_by` (the first rule that fires, else null)."""
     rules = rules or built_in_rules()
     order = measured_order(docs, rules, text)
-    m, by = free_name(docs, "measures"), free_name(docs, "rejected_by")
-    names = list(measures(F.array(), F.lit("")))
-    out = docs.withColumn(m, _over_text(text, lambda x: F.struct(*[x[n].alias(n) for n in names])))
-    return out.withColumn(by, _cascade(order, {n: F.col(m)[n] for n in names}))
+    m, by, both = (free_name(docs, n) for n in ("measures", "rejected_by", "judged"))
+    t = F.coalesce(F.col(text), F.lit(""))
+
+    def judged(w: Column) -> Column:
+        own = measures(w, t)
+        return _let(F.struct(*[own[n].alias(n) for n in BASE]), lambda b: F.struct(b.alias("measures"), _cascade(order, own | {n: b[n] for n in BASE}).alias("rejected_by")))
+
+    return docs.withColumn(both, _let(words(t), judged)).withColumns({m: F.col(both)["measures"], by: F.col(both)["rejected_by"]}).drop(both)
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
