@@ -1,12 +1,14 @@
 """Toxicity by weak supervision: a generative label model over lexicon and pattern voters, then a linear classifier.
 
-Voters are mined from a sample of labelled rows (sample_rows at most, taken by the hash of their id): words and word
-beginnings that toxic rows have far more often than chance. A voter fires on a text that holds its word or beginning.
-The label model gives each voter the rates at which it fires on toxic and on clean texts, fitted by EM over the votes of all training
-documents, labelled or not; votes are grouped by pattern, and every step sums over patterns in tasks. Voters that
-fire together more than their rates explain are discounted by those correlations. Where a label is known it is one
-more, strong voter. A logistic regression over the mined features of the sample, fitted to the posterior labels,
-then scores every text whole.
+Voters are mined over all labelled training rows: words, word beginnings, phrases of two words and fixed patterns whose share of toxic
+rows is far from chance, more or less; at most `voters` of them, the surest. A voter fires on a text that holds its feature and else
+abstains; one that is rarer in toxic rows votes clean. The label model has the share of toxic labels, for each voter the rates at
+which it fires on toxic and on clean texts, and for each pair of voters their correlation in either class. EM fits the rates and correlations over the
+votes of all training documents; votes are grouped by pattern, and every step sums over patterns in tasks. A voter counts in a
+posterior by what its correlations leave of it, in every round. Where a label is known it is one more, strong voter.
+
+A logistic regression over the mined features is fitted to posteriors: of at most sample_rows labelled rows and as many
+without labels, taken by the hash of their ids. It then scores every text whole.
 
 Labels are only read where `train` holds; ids, languages and sources are no inputs. Null and empty texts get the score of a
 text without any feature. Labels that are null are ignored; a row with several labels counts as toxic if any says
@@ -16,6 +18,7 @@ equal ids are scored each. Other columns are left out. An empty table gives no r
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import written
+from corvane.llm.common import slices, written
 
+#: Patterns that are features of a text wherever they match.
+PATTERNS = {"re:marks": re.compile(r"[!?]{2,}"), "re:capitals": re.compile(r"\b[A-Z]{4,}\s+[A-Z]{4,}\b"), "re:masked": re.compile(r"\b[A-Za-z][*@#$]{1,4}[A-Za-z]{1,6}\b"), "re:stretched": re.compile(r"([A-Za-z])\1{3,}")}
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_~`/\\…«»“”‘’"
 
 
@@ -38,8 +43,10 @@ class Settings:
     min_rows: int = 3
     stem: int = 6
     voters: int = 128
-    features: int = 1000
+    features: int = 2000
     min_z: float = 3.0
+    voter_z: float = 5.0
+    voter_lift: float = 3.0
     em_rounds: int = 6
     label_odds: float = 50.0
     steps: int = 150
@@ -61,28 +68,50 @@ class _Features(dict):
         return out
 
 
-class _Places(dict):
-    """Places of a raw word's features in a fixed list of them."""
-
-    def __init__(self, features: list[str], stem: int):
-        super().__init__()
-        self.names, self.at = _Features(stem), {f: i for i, f in enumerate(features)}
-
-    def __missing__(self, raw: str) -> tuple[int, ...]:
-        out = tuple(self.at[f] for f in self.names[raw] if f in self.at)
-        if len(self) < 200_000:
-            self[raw] = out
-        return out
-
-    def of(self, text: str | None) -> list[int]:
-        return sorted({i for t in filter(None, map(self.__getitem__, set((text or "").split()))) for i in t})
-
-
-def _mined(sample: DataFrame, settings: Settings) -> list[tuple[str, int, int]]:
-    """Features by how far their toxic rows exceed (or miss) chance: (feature, toxic rows, clean rows)."""
+class _Texts:
+    """The features of texts, and their places in a fixed list of them if one is given."""
+
+    def __init__(self, stem: int, features: list[str] = ()):
+        self.names, self.at, self.of_word = _Features(stem), {f: i for i, f in enumerate(features)}, {}
+        self.phrases = [(*f.split(" "), i) for f, i in self.at.items() if " " in f]
+
+    def features(self, text: str) -> set[str]:
+        raw = text.split()
+        out = {f for w in set(raw) for f in self.names[w]}
+        plain = [n[0] if (n := self.names[w]) else "" for w in raw]
+        out |= {f"{a} {b}" for a, b in set(zip(plain, plain[1:])) if a and b}  # noqa: B905
+        return out | {n for n, p in PATTERNS.items() if p.search(text)}
+
+    def places(self, text: str | None) -> list[int]:
+        """Sorted places of the text's features; a phrase is looked for only in texts that hold both of its words."""
+        if not text:
+            return []
+        words, found, of_word = set(raw := text.split()), set(), self.of_word
+        for w in words:
+            if (own := of_word.get(w)) is None:
+                own = tuple(self.at[f] for f in self.names[w] if f in self.at)
+                if len(of_word) < 200_000:
+                    of_word[w] = own
+            found.update(own)
+        if self.phrases:
+            plain = None
+            for a, b, i in self.phrases:
+                if self.at.get(a, -1) in found and self.at.get(b, -1) in found:
+                    plain = plain or [n[0] if (n := self.names[w]) else "" for w in raw]
+                    if any(x == a and y == b for x, y in zip(plain, plain[1:])):  # noqa: B905
+                        found.add(i)
+        found.update(self.at[n] for n, p in PATTERNS.items() if n in self.at and p.search(text))
+        return sorted(found)
+
+
+def _mined(labelled: DataFrame, settings: Settings) -> tuple[list[tuple[str, int, int]], int, int]:
+    """Features by how far their toxic rows exceed (or miss) chance, (feature, toxic rows, clean rows), and the numbers of rows.
+
+    A phrase is a feature only if both of its words are. All rows are counted; the surest `features` are kept.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, seen = _Features(settings.stem), (Counter(), Counter())
+        texts, seen = _Texts(settings.stem), (Counter(), Counter())
 
         def out() -> Iterator[pa.RecordBatch]:
             keys = list(seen[0].keys() | seen[1].keys())
@@ -92,20 +121,27 @@ def _mined(sample: DataFrame, settings: Settings) -> list[tuple[str, int, int]]:
             seen[0].clear()
             seen[1].clear()
 
-        for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[label].update({f for w in set((text or "").split()) for f in names[w]})
-                if len(seen[0]) + len(seen[1]) > 500_000:
-                    yield from out()
+        for whole in batches:
+            for batch in slices(whole, 0):
+                for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    seen[label][""] += 1
+                    seen[label].update(texts.features(text or ""))
+                    if len(seen[0]) + len(seen[1]) > 500_000:
+                        yield from out()
         yield from out()
 
-    totals = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = totals.get(1, 0) / max(sum(totals.values()), 1)
-    found = sample.select("text", "toxic").mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = labelled.select("text", "toxic").mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = written(found.where(F.col("toxic") + F.col("clean") >= settings.min_rows), "features")
+    totals = found.where("feature = ''").first()
+    if totals is None:
+        return [], 0, 0
+    n_toxic, n_clean = totals.toxic, totals.clean
+    share = n_toxic / (n_toxic + n_clean)
     rows = F.col("toxic") + F.col("clean")
-    found = found.where(rows >= settings.min_rows).withColumn("z", F.abs((F.col("toxic") - rows * share) / F.sqrt(rows * share * (1 - share) + 1)))
-    found = found.where(F.col("z") >= settings.min_z)
-    return [(r.feature, r.toxic, r.clean) for r in found.orderBy(F.desc("z"), "feature").limit(settings.features).collect()]
+    found = found.where("feature <> ''").withColumn("z", F.abs((F.col("toxic") - rows * share) / F.sqrt(rows * share * (1 - share) + 1)))
+    best = [(r.feature, r.toxic, r.clean) for r in found.where(F.col("z") >= settings.min_z).orderBy(F.desc("z"), "feature").limit(settings.features).collect()]
+    single = {f for f, _, _ in best if " " not in f}
+    return [x for x in best if " " not in x[0] or set(x[0].split(" ")) <= single], n_toxic, n_clean
 
 
 def _places_of(table: DataFrame, features: list[str], stem: int, keep: str) -> DataFrame:
@@ -113,71 +149,82 @@ def _places_of(table: DataFrame, features: list[str], stem: int, keep: str) -> D
     kind = table.schema[keep].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = _Places(features, stem)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([at.of(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=[keep, "places"])
+        texts = _Texts(stem, features)
+        for whole in batches:
+            for batch in slices(whole, 1):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([texts.places(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=[keep, "places"])
 
     return table.select(keep, "text").mapInArrow(run, f"{keep} {kind}, places array<int>")
 
 
 def _log_odds(fires: np.ndarray, prior: float, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    silent = weight * (np.log(1 - a) - np.log(1 - b))
-    return np.log(prior / (1 - prior)) + silent.sum() + fires @ (weight * (np.log(a) - np.log(b)) - silent)
+    """Log-odds of toxic; a voter that doesn't fire abstains, which tells nothing."""
+    return np.log(prior / (1 - prior)) + fires @ (weight * (np.log(a) - np.log(b)))
+
+
+def _fires(lists: pa.ListArray, n_voters: int) -> np.ndarray:
+    cut = lists.offsets.to_numpy()
+    fires = np.zeros((len(lists), n_voters))
+    fires[np.repeat(np.arange(len(lists)), np.diff(cut)), lists.values.to_numpy(zero_copy_only=False)[cut[0]:cut[-1]]] = 1
+    return fires
+
+
+def posteriors(lists: pa.ListArray, known: np.ndarray, model: tuple, label_odds: float) -> np.ndarray:
+    """Probability of toxic given votes and, where known is 1 or 0 and not -1, the label."""
+    prior, a, b, weight = model
+    gold = np.where(known < 0, 0, np.where(known == 1, 1, -1)) * np.log(label_odds)
+    return 1 / (1 + np.exp(-np.clip(_log_odds(_fires(lists, len(a)), prior, a, b, weight) + gold, -30, 30)))
+
 
+def label_model(patterns: DataFrame, prior: float, a: np.ndarray, b: np.ndarray, rounds: int, label_odds: float, strong: float = 0.5) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """prior, firing rates on toxic and clean texts, and weights of voters, by EM over vote patterns (places, known, n).
 
-def label_model(patterns: DataFrame, prior: float, a: np.ndarray, b: np.ndarray, rounds: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """prior, firing rates on toxic and clean texts, and weights of voters, by EM over vote patterns (places, n)."""
+    Each round sums, under the posteriors so far, how often voters and pairs of voters fire in either class. What pairs fire
+    together beyond their rates is their correlation there; a voter's weight is 1 / (1 + its correlations above `strong`, of the
+    stronger class). The prior stays the share of toxic labels, as abstaining voters say nothing about it.
+    """
     n_voters, weight = len(a), np.ones(len(a))
-    for turn in range(rounds):
-        now, last = (prior, a, b, weight), turn == rounds - 2
+    for _ in range(rounds):
+        now = (prior, a, b, weight)
 
-        def add(batches: Iterator[pa.RecordBatch], now=now, last=last) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((2, n_voters + 1))
-            pairs = np.zeros((2, n_voters, n_voters)) if last else np.zeros(0)
+        def add(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            sums, pairs = np.zeros((2, n_voters + 1)), np.zeros((2, n_voters, n_voters))
             for batch in batches:
-                lists = batch.column(0)
-                fires = np.zeros((batch.num_rows, n_voters))
-                cut = lists.offsets.to_numpy()
-                flat = lists.values.to_numpy(zero_copy_only=False)[cut[0]:cut[-1]]
-                fires[np.repeat(np.arange(batch.num_rows), np.diff(cut)), flat] = 1
-                p = 1 / (1 + np.exp(-np.clip(_log_odds(fires, *now), -30, 30)))
-                n = batch.column(1).to_numpy()
-                for k, w in enumerate((n * (1 - p), n * p)):
-                    sums[k, 0] += w.sum()
-                    sums[k, 1:] += w @ fires
-                    if last:
+                for at in range(0, batch.num_rows, 5000):
+                    some = batch.slice(at, 5000)
+                    p, n, fires = posteriors(some.column(0), some.column(1).to_numpy(), now, label_odds), some.column(2).to_numpy(), _fires(some.column(0), n_voters)
+                    for k, w in enumerate((n * (1 - p), n * p)):
+                        sums[k, 0] += w.sum()
+                        sums[k, 1:] += w @ fires
                         pairs[k] += (fires * w[:, None]).T @ fires
-            yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tobytes()], pa.binary()), "pairs": pa.array([pairs.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tobytes()], pa.binary()), "pairs": pa.array([pairs.astype(np.float32).tobytes()], pa.binary())})
 
-        parts = patterns.mapInArrow(add, "sums binary, pairs binary").collect()
+        # patterns are few; their sums come here from 32 tasks at most
+        parts = patterns.coalesce(32).mapInArrow(add, "sums binary, pairs binary").collect()
         sums = sum(np.frombuffer(r.sums).reshape(2, -1) for r in parts)
-        prior = float(np.clip(sums[1, 0] / max(sums[:, 0].sum(), 1e-9), 1e-4, 0.9))
-        b, a = ((sums[k, 1:] + 0.01) / (sums[k, 0] + 1) for k in (0, 1))
-        a = np.clip(np.maximum(a, b), 1e-6, 1 - 1e-6)  # a voter never argues for clean texts by firing
-        b = np.clip(b, 1e-6, 1 - 1e-6)
-        if last:
-            pairs = sum(np.frombuffer(r.pairs).reshape(2, n_voters, n_voters) for r in parts)
-            rho = np.zeros((n_voters, n_voters))
-            for k, rate in enumerate((b, a)):
-                both = pairs[k] / max(sums[k, 0], 1e-9)
-                spread = np.sqrt(np.outer(rate * (1 - rate), rate * (1 - rate)))
-                rho = np.maximum(rho, (both - np.outer(rate, rate)) / np.maximum(spread, 1e-9))
-            np.fill_diagonal(rho, 0)
-            weight = 1 / (1 + np.where(rho > 0.2, rho, 0).sum(1))
+        pairs = sum(np.frombuffer(r.pairs, dtype=np.float32).reshape(2, n_voters, n_voters).astype(float) for r in parts)
+        b, a = (np.clip((sums[k, 1:] + 0.01) / (sums[k, 0] + 1), 1e-6, 1 - 1e-6) for k in (0, 1))
+        rho = np.zeros((n_voters, n_voters))
+        for k, rate in enumerate((b, a)):
+            both = pairs[k] / max(sums[k, 0], 1e-9)
+            spread = np.sqrt(np.outer(rate * (1 - rate), rate * (1 - rate)))
+            rho = np.maximum(rho, (both - np.outer(rate, rate)) / np.maximum(spread, 1e-9))
+        np.fill_diagonal(rho, 0)
+        weight = 1 / (1 + np.where(rho > strong, rho, 0).sum(1))
     return prior, a, b, weight
 
 
-def fit_linear(rows: list[list[int]], target: np.ndarray, n_features: int, steps: int, penalty: float) -> tuple[float, np.ndarray]:
+def fit_linear(lists: pa.ListArray, target: np.ndarray, n_features: int, steps: int, penalty: float) -> tuple[float, np.ndarray]:
     """Bias and weights of a logistic regression over binary features, by Adagrad on all rows."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    flat = np.fromiter((i for r in rows for i in r), dtype=np.int64)
+    cut = lists.offsets.to_numpy()
+    owner, flat = np.repeat(np.arange(len(lists)), np.diff(cut)), lists.values.to_numpy(zero_copy_only=False)[cut[0]:cut[-1]]
     w, total = np.zeros(n_features + 1), np.full(n_features + 1, 1e-8)
     share = float(np.clip(target.mean(), 1e-4, 1 - 1e-4))
     w[-1] = np.log(share / (1 - share))
     for _ in range(steps):
-        z = w[-1] + np.bincount(owner, weights=w[flat], minlength=len(rows))
+        z = w[-1] + np.bincount(owner, weights=w[flat], minlength=len(lists))
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-        slope = np.append(np.bincount(flat, weights=error[owner], minlength=n_features), error.sum()) / len(rows)
+        slope = np.append(np.bincount(flat, weights=error[owner], minlength=n_features), error.sum()) / len(lists)
         slope[:-1] += penalty * w[:-1]
         total += slope * slope
         w -= 0.5 * slope / np.sqrt(total)
@@ -188,43 +235,47 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "d
     """doc_id, train, score and predicted of every row of docs; labels (doc_id, label) count only where train, a Column over the id, holds."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("train", F.coalesce(train, F.lit(True)))
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("toxic")).where(F.coalesce(train, F.lit(False)) & F.col("toxic").isin(0, 1))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(settings.sample_rows)
-    # at most sample_rows ids and labels
-    sample = written(rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")
-    mined = _mined(sample, settings)
-    n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
+    known = written(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "known")
+    labelled = rows.join(known, "doc_id").select("text", "toxic")
+    mined, n_toxic, n_clean = _mined(labelled, settings)
     share = n_toxic / max(n_toxic + n_clean, 1)
     if not (n_toxic and n_clean and mined):
         return rows.select("doc_id", "train", F.lit(float(share)).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
 
     features = [f for f, _, _ in mined]
     lift = lambda x: (x[1] + 0.5) / (n_toxic + 1) * (n_clean + 1) / (x[2] + 0.5)
-    voters = [x for x in mined if lift(x) > 3][:settings.voters]
+    sure = lambda x: abs(x[1] - (x[1] + x[2]) * share) >= settings.voter_z * ((x[1] + x[2]) * share * (1 - share) + 1) ** 0.5
+    voters = [x for x in mined if sure(x) and not 1 / settings.voter_lift < lift(x) < settings.voter_lift][:settings.voters]
+    voters = voters or mined[:settings.voters]
     a = np.array([(x[1] + 0.5) / (n_toxic + 1) for x in voters])
     b = np.array([(x[2] + 0.5) / (n_clean + 1) for x in voters])
     names = [f for f, _, _ in voters]
-    votes = _places_of(rows.where("train").select(F.lit(1).alias("one"), "text"), names, settings.stem, "one")
-    patterns = written(votes.groupBy("places").agg(F.count(F.lit(1)).alias("n")), "patterns")
-    model = label_model(patterns, share, a, b, settings.em_rounds)
-
-    taken = _places_of(sample, features, settings.stem, "toxic").collect()
-    at = {f: i for i, f in enumerate(names)}
-    voter_of = [at.get(f, -1) for f in features]
-    fires = np.zeros((len(taken), len(names)))
-    for i, r in enumerate(taken):
-        fires[i, [v for v in (voter_of[p] for p in r.places) if v >= 0]] = 1
-    gold = np.where(np.array([r.toxic for r in taken]) == 1, 1, -1) * np.log(settings.label_odds)
-    posterior = 1 / (1 + np.exp(-np.clip(_log_odds(fires, *model) + gold, -30, 30)))
-    bias, weights = fit_linear([r.places for r in taken], posterior, len(features), settings.steps, settings.penalty)
+    marked = rows.where("train").join(known, "doc_id", "left").withColumn("known", F.coalesce("toxic", F.lit(-1)))
+    votes = _places_of(marked, names, settings.stem, "known")
+    patterns = written(votes.groupBy("places", "known").agg(F.count(F.lit(1)).alias("n")).select("places", "known", "n"), "patterns")
+    model = label_model(patterns, share, a, b, settings.em_rounds, settings.label_odds)
+
+    some = lambda df: df.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(settings.sample_rows)
+    others = rows.where("train AND doc_id IS NOT NULL").select("doc_id").join(known, "doc_id", "left_anti").distinct().withColumn("toxic", F.lit(-1))
+    # ids and labels of at most twice sample_rows rows
+    chosen = written(some(known).unionByName(some(others)), "chosen")
+    fitted = _places_of(rows.join(F.broadcast(chosen), "doc_id"), features, settings.stem, "toxic").toArrow().combine_chunks()
+    lists, labels_of = fitted.column("places").combine_chunks(), fitted.column("toxic").to_numpy()
+    cut, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    voter_of = np.full(len(features), -1)
+    voter_of[[features.index(f) for f in names]] = np.arange(len(names))
+    votes_of = voter_of[flat[cut[0]:cut[-1]]]
+    kept = np.append(0, np.cumsum(votes_of >= 0))[cut - cut[0]]
+    target = posteriors(pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), pa.array(votes_of[votes_of >= 0].astype(np.int32))), labels_of, model, settings.label_odds)
+    bias, weights = fit_linear(lists, target, len(features), settings.steps, settings.penalty)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = _Places(features, settings.stem)
-        for batch in batches:
-            z = np.array([bias + weights[places.of(t)].sum() for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names=["doc_id", "train", "score"])
+        texts = _Texts(settings.stem, features)
+        for whole in batches:
+            for batch in slices(whole, 1):
+                z = np.array([bias + weights[texts.places(t)].sum() for t in batch.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names=["doc_id", "train", "score"])
 
     scored = rows.select("doc_id", "text", "train").mapInArrow(run, f"doc_id {kind}, train boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

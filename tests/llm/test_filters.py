@@ -149,3 +149,45 @@ def test_toxicity_without_labels(spark, toxic_rows):
     marks = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in tx.toxicity(docs, marks, F.lit(True)).collect()} == {0.0}
     assert tx.toxicity(docs.limit(0), marks, F.lit(True)).count() == 0
+
+
+def test_classifier_from_votes_alone(spark, toxic_rows):
+    """With labels of no weight in the posteriors, what voters say of all texts still trains a classifier."""
+    rows, labels = toxic_rows
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, x string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    train = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+    got = tx.toxicity(docs, marks, train, settings=tx.Settings(label_odds=1.0)).collect()
+    held = [r for r in got if r.doc_id is not None and r.doc_id < 1500 and not r.train]
+    assert sum(r.predicted == int(r.doc_id % 6 == 0) for r in held) >= 0.95 * len(held)
+
+
+def test_label_model_is_em(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(300):
+        toxic = rng.random() < 0.3
+        votes = sorted(v for v in range(4) if rng.random() < ((0.7, 0.6, 0.05, 0.5) if toxic else (0.1, 0.05, 0.4, 0.5))[v])
+        if 0 in votes:
+            votes = sorted({*votes, 4})  # a voter that always follows another
+        rows.append((votes, rng.choice([-1, -1, int(toxic)]), rng.randint(1, 3)))
+    a, b = np.array([0.5, 0.5, 0.1, 0.5, 0.5]), np.array([0.1, 0.1, 0.4, 0.5, 0.1])
+    got = tx.label_model(spark.createDataFrame(rows, "places array<int>, known int, n long").repartition(3), 0.3, a, b, 4, 50.0)
+    w = [1.0] * 5
+    for _ in range(4):
+        total, fired, both = [0.0, 0.0], [[0.0] * 5, [0.0] * 5], [[[0.0] * 5 for _ in range(5)] for _ in range(2)]
+        for votes, known, n in rows:
+            z = np.log(0.3 / 0.7) + sum(w[v] * np.log(a[v] / b[v]) for v in votes) + {-1: 0, 0: -1, 1: 1}[known] * np.log(50)
+            p = 1 / (1 + np.exp(-z))
+            for k, q in enumerate((n * (1 - p), n * p)):
+                total[k] += q
+                for v in votes:
+                    fired[k][v] += q
+                    for u in votes:
+                        both[k][v][u] += q
+        b, a = ([(fired[k][v] + 0.01) / (total[k] + 1) for v in range(5)] for k in (0, 1))
+        w = []
+        for v in range(5):
+            rho = [max((both[k][v][u] / total[k] - r[v] * r[u]) / (r[v] * (1 - r[v]) * r[u] * (1 - r[u])) ** 0.5 for k, r in ((0, b), (1, a))) for u in range(5) if u != v]
+            w.append(1 / (1 + sum(x for x in rho if x > 0.5)))
+    assert np.allclose(got[1], a, atol=1e-4) and np.allclose(got[2], b, atol=1e-4) and np.allclose(got[3], w, atol=1e-3)
+    assert w[0] < 0.6 and w[4] < 0.6 and w[3] == 1 and a[2] < b[2]
