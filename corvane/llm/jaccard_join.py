@@ -48,7 +48,7 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049B
 class _Hashes(dict):
     """64-bit hash of a word, kept for up to `most` words."""
 
-    most = 300_000
+    most = 200_000
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
@@ -153,19 +153,23 @@ def _signatures(width: int, num: int, den: int, levels):
                 sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), width)
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 common = level_of[np.concatenate(sets) >> _SLOT]
-                signs, at = [], 0
+                signs, at = ([], []), 0
                 for s, n in zip(sets, sizes.tolist(), strict=True):
-                    if n:
-                        take = _prefix(n, num, den) + _least(n, num, den) - 1
-                        mine = common[at:at + n]
-                        s = np.sort(s[np.argsort(mine, kind="stable")[:take]]) if mine.any() else s[:take]
-                    signs.append(s.view(np.int64))
+                    take = _prefix(n, num, den) + _least(n, num, den) - 1 if n else 0
+                    mine = common[at:at + n]
+                    if mine.any():
+                        rare, other = s[mine == 0][:take], mine > 0
+                        shared = s[other][np.argsort(mine[other], kind="stable")[:take - len(rare)]]
+                    else:
+                        rare, shared = s[:take], s[:0]
+                    signs[0].append(rare.view(np.int64))
+                    signs[1].append(shared.view(np.int64))
                     at += n
-                cuts = np.concatenate(([0], np.cumsum([len(s) for s in signs]))).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in side])).astype(np.int32)), pa.array(np.concatenate(side))) for side in signs]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(range(row, row + len(sets)), pa.int64()), batch.column(0), pa.array(sizes),
-                    pa.array([_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(signs)))],
-                    names=["row", "doc_id", "n", "digest", "sign"])
+                    pa.array([_digest(s) for s in sets], pa.binary()), *lists],
+                    names=["row", "doc_id", "n", "digest", "rare", "common"])
                 row += len(sets)
 
     return run
@@ -230,7 +234,7 @@ def _probe(num: int, den: int):
                 sides.append((lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)))
             (ca, va), (cb, vb) = sides
             least = np.minimum(_least(na, num, den), _least(nb, num, den))
-            keep = [i for i in range(len(a)) if _shared(va[ca[i]:ca[i + 1]], vb[cb[i]:cb[i + 1]]) >= least[i]]
+            keep = [i for i in range(len(a)) if _shared(np.sort(va[ca[i]:ca[i + 1]]), np.sort(vb[cb[i]:cb[i + 1]])) >= least[i]]
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), batch.column(6).take(pa.array(keep, pa.int64()))], names=["a", "b", "times"])
 
     return run
@@ -241,12 +245,20 @@ def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return both * den >= num * (len(x) + len(y) - both)
 
 
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    """The sets of a binary column, in place."""
+    column = column.cast(pa.binary())
+    cut = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
+    return [data[a:b].view(np.uint64) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
 def _check(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = [i for i in range(len(a)) if _linked(np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64), num, den)]
+            x, y = _sets(batch.column(2)), _sets(batch.column(3))
+            keep = [i for i in range(len(a)) if _linked(x[i], y[i], num, den)]
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     return run
@@ -307,7 +319,7 @@ def tile_links(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int, kn
 
 def _tiles(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        sets = [s for chunk in table.column("shingles").chunks for s in _sets(chunk)]
         found = tile_links(table.column("node").to_numpy(), sets, num, den, table.column("known").to_numpy())
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
@@ -328,9 +340,12 @@ def joined_components(reached: DataFrame, more: DataFrame) -> DataFrame:
 
 def _candidates(classes: DataFrame, num: int, den: int, long_list: int, picks: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a, b, times) and the places of classes on long lists (h, node, n, picked, kept) that together cover all links."""
-    postings = classes.select("node", "n", F.explode("sign").alias("h"))
-    sizes = scratch.write(postings.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "lists")
-    shared = scratch.write(postings.join(sizes, "h").select("h", "node", "n", "df"), "postings")
+    # lists of shingles that the sample has once at most are short: one shuffle brings them together. Others can be of any length, and
+    # are counted before they meet their counts in a join that Spark can split.
+    rare, common = (classes.select("node", "n", F.explode(c).alias("h")) for c in ("rare", "common"))
+    sizes = scratch.write(common.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "lists")
+    rare = rare.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("df > 1").select("h", "node", "n", "df")
+    shared = scratch.write(rare.union(common.join(sizes, "h").select("h", "node", "n", "df")), "postings")
     scratch.drop("lists")
     long = shared.where(F.col("df") > long_list)
     long_counts = scratch.write(long.groupBy("node").agg(F.count(F.lit(1)).alias("longs")), "long_counts")
@@ -349,7 +364,7 @@ def _candidates(classes: DataFrame, num: int, den: int, long_list: int, picks: i
     merged = merged.where(F.col("times") >= F.least(least(F.col("n_a")), least(F.col("n_b"))) - longs)
     merged = scratch.write(merged.select("a", "b", "times", "n_a", "n_b", longs.alias("longs")), "merged")
     # where one side has no long list, the count on short ones is exact and no signature needs to travel
-    sign = lambda s: classes.select(F.col("node").alias(f"node_{s}"), F.col("sign").alias(f"sign_{s}"))
+    sign = lambda s: classes.select(F.col("node").alias(f"node_{s}"), F.concat("rare", "common").alias(f"sign_{s}"))
     unsure = merged.where("longs > 0").join(sign("a"), F.col("a") == F.col("node_a")).join(sign("b"), F.col("b") == F.col("node_b"))
     probed = unsure.select("a", "b", "n_a", "n_b", "sign_a", "sign_b", "times").mapInArrow(_probe(num, den), "a long, b long, times long")
     probed = scratch.write(merged.where("longs = 0").select("a", "b", "times").union(probed), "probed")
@@ -364,15 +379,15 @@ def _candidates(classes: DataFrame, num: int, den: int, long_list: int, picks: i
     return probed, dense
 
 
-def jaccard_groups(docs: DataFrame, width: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text", long_list: int = 32, tile: int = 1000, tile_shingles: int = 2_000_000, picks: int = 4, one_in: int = 32) -> DataFrame:
+def jaccard_groups(docs: DataFrame, width: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text", long_list: int = 32, tile: int = 1000, tile_shingles: int = 500_000, picks: int = 4, one_in: int = 32) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links) of each row; links have Jaccard >= num / den."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     levels = spark.sparkContext.broadcast(common_levels(rows, width, one_in))
-    signed = scratch.write(rows.mapInArrow(_signatures(width, num, den, levels), f"row long, doc_id {kind}, n long, digest binary, sign array<long>"), "signatures")
-    classes = scratch.write(signed.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sign").alias("sign")), "classes")
+    signed = scratch.write(rows.mapInArrow(_signatures(width, num, den, levels), f"row long, doc_id {kind}, n long, digest binary, rare array<long>, common array<long>"), "signatures")
+    classes = scratch.write(signed.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("common").alias("common")), "classes")
     probed, dense = _candidates(classes, num, den, long_list, picks, scratch)
 
     hubs = dense.where("kept").groupBy("h").agg(F.min("node").alias("b"))
