@@ -8,14 +8,19 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What counts as a secret, applied in this order.
+# What counts as a secret, applied in this order.
 SECRET_PATTERNS = (
-    r"(?i)\b(?:api|secret|access)[_-]?key\s*[:=]\s*\S+",
-    r"(?i)\bpassword\s*[:=]\s*\S+",
-    r"\bsk-[A-Za-z0-9]{16,}\b",
+    r"github_pat_[A-Za-z0-9_]+",
+    r"\bgh[pousr]_[A-Za-z0-9]{20,}",
+    r"\bsk-(?:ant-|proj-)?[A-Za-z0-9_-]{16,}",
+    r"\bAIza[0-9A-Za-z_\-]{20,}",
+    r"Bearer\s+[A-Za-z0-9._\-]+",
     r"\bAKIA[0-9A-Z]{16}\b",
-    r"\bghp_[A-Za-z0-9]{20,}\b",
+    r"\bxox[baprs]-[A-Za-z0-9-]{10,}",
     r"\b\d{3}-\d{2}-\d{4}\b",
+    r"\b\d{13,16}\b",
+    r"\b[A-Fa-f0-9]{40,}\b",
+    r"\b[A-Za-z0-9+/]{50,}={0,2}\b",
 )
 
 

@@ -24,21 +24,37 @@ def where_tree(tree: dict) -> Column:
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
+def free_name(wanted: str, *frames: DataFrame) -> str:
+    """wanted, or with underscores before it until no column of the frames has that name (case ignored)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by order; ties must be broken by the order itself."""
-    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_nth = 1").drop("_nth")
+    nth = free_name("_nth", df)
+    return df.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(nth) == 1).drop(nth)
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """target with the rows of source put in place of those with the same keys."""
-    return target.join(source, keys, "left_anti").unionByName(source)
+    """target with the rows of source put in place of those with the same keys; null keys are equal. A key that source repeats fails the query."""
+    named = {k: free_name(f"key_{i}", target) for i, k in enumerate(keys)}
+    taken = source.select(*[F.col(k).alias(v) for k, v in named.items()])
+    same = reduce(lambda a, b: a & b, [target[k].eqNullSafe(F.col(v)) for k, v in named.items()])
+    times = free_name("times", source)
+    once = source.withColumn(times, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    once = once.where(F.when(F.col(times) > 1, F.raise_error(F.lit("source has a key more than once")).cast("boolean")).otherwise(True)).drop(times)
+    return target.join(taken, same, "left_anti").unionByName(once)
 
 
 def islands(df: DataFrame, key: str, day: str) -> DataFrame:
     """Runs of consecutive days of each key: key, first_day, last_day, days."""
     days = df.select(key, day).distinct()
-    anchor = F.date_sub(F.col(day), F.row_number().over(Window.partitionBy(key).orderBy(day)))
-    return days.withColumn("_a", anchor).groupBy(key, "_a").agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count(F.lit(1)).alias("days")).drop("_a")
+    anchor = free_name("anchor", days)
+    start = F.date_sub(F.col(day), F.row_number().over(Window.partitionBy(key).orderBy(day)))
+    return days.withColumn(anchor, start).groupBy(key, anchor).agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count(F.lit(1)).alias("days")).drop(anchor)
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
@@ -67,16 +83,19 @@ def expect(df: DataFrame, rules: dict[str, Column], action: str = "drop") -> Dat
 
 
 def scd2(changes: DataFrame, key: str, seq: str, tracked: list[str]) -> DataFrame:
-    """Versions of each key: a row whenever a tracked column changes, with valid_from, valid_to and is_current."""
+    """Versions of each key: a row whenever a tracked column changes (null is a value), with valid_from, valid_to and is_current."""
     w = Window.partitionBy(key).orderBy(seq)
-    mark = F.xxhash64(*tracked)
-    opened = changes.withColumn("_m", mark).withColumn("_p", F.lag("_m").over(w)).where("_p IS NULL OR _m <> _p").drop("_m", "_p")
+    now = F.struct(*tracked)
+    opened_by = free_name("opened", changes)
+    # a struct is never null itself, so the first row of a key differs from what is before it
+    opened = changes.withColumn(opened_by, ~now.eqNullSafe(F.lag(now).over(w))).where(F.col(opened_by)).drop(opened_by)
     out = opened.withColumn("valid_to", F.lead(seq).over(w)).withColumnRenamed(seq, "valid_from")
     return out.withColumn("is_current", F.col("valid_to").isNull())
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread: int, salt_by: str) -> DataFrame:
     """Inner join with left's keys dealt over `spread` salts (by a hash of salt_by) and right repeated for each."""
-    a = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(spread)).cast("int"))
-    b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    return a.join(b, [key, "_salt"]).drop("_salt")
+    salt = free_name("salt", left, right)
+    a = left.withColumn(salt, F.pmod(F.xxhash64(salt_by), F.lit(spread)).cast("int"))
+    b = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return a.join(b, [key, salt]).drop(salt)

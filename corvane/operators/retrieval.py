@@ -2,34 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import cosine, tokens
+from corvane.functions.text import tokens
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score) of documents that share a term with a query.
 
     idf is ln((N - df + 0.5) / (df + 0.5)), negatives replaced by a quarter of the mean idf of all terms; query terms
-    count once; a document without terms counts as one of a single term of its own. Only terms of queries reach the
-    join with documents, and postings are counted before they move.
+    count once; a document without terms counts as one of a single term of its own. Documents are told apart by their ids: rows that share
+    an id and a length are one document's. Only terms of queries are counted by document and joined.
     """
     if k1 <= 0 or not 0 <= b <= 1:
         raise ValueError("k1 must be positive and b between 0 and 1")
-    toks = docs.select(F.col(doc_id).alias("d"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    toks = toks.withColumn("t", F.when(F.size("t") == 0, F.array(F.lit("__empty__"))).otherwise(F.col("t"))).withColumn("dl", F.size("t"))
-    tf = toks.select("d", "dl", F.explode("t").alias("term")).groupBy("term", "d", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    stats = toks.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(stats)
+    t = tokens(F.coalesce(F.col(text), F.lit("")))
+    toks = docs.select(F.col(doc_id).alias("d"), F.when(F.size(t) == 0, F.array(F.lit("__empty__"))).otherwise(t).alias("t")).withColumn("dl", F.size("t"))
+    # one pass gives df of all terms and, under a null term, the number of documents and their lengths
+    seen = toks.select("dl", F.explode(F.array_append(F.array_distinct("t"), F.lit(None))).alias("term"))
+    seen = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("length"))
+    stats = seen.where("term IS NULL").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
+    df = seen.where("term IS NOT NULL").crossJoin(stats)  # one row beside all
     df = df.withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = df.agg(F.avg("raw").alias("mean_idf"))
-    idf = df.crossJoin(mean).select("term", "avgdl", F.when(F.col("raw") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
     terms = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    asked = terms.select("term").distinct()
+    idf = df.join(asked, "term", "left_semi").crossJoin(mean).select("term", "avgdl", F.when(F.col("raw") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    # terms that no query asks for go before counts are taken
+    tf = toks.select("d", "dl", F.explode("t").alias("term")).join(asked, "term", "left_semi").groupBy("term", "d", "dl").agg(F.count(F.lit(1)).alias("tf"))
     hits = tf.join(terms, "term").join(idf, "term")
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("q", "d").agg(F.sum(weight).alias("score")).withColumnsRenamed({"q": query_id, "d": doc_id})
@@ -37,14 +43,72 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str,
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group by order, with their 0-based rank."""
-    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).where(F.col(rank) < k)
+    first = df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
+    return first.withColumn(rank, F.col(rank) - 1)
 
 
-def vector_top_k(base: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, vec_id, similarity, rank) of the k nearest by cosine; queries are a small stated set, broadcast by size."""
-    pairs = base.select(F.col(vec_id), F.col(vector).alias("v")).crossJoin(queries.select(F.col(query_id), F.col(vector).alias("qv")))
-    scored = pairs.select(query_id, vec_id, F.round(cosine(F.col("v"), F.col("qv")), 6).alias("similarity"))
-    return top_k(scored, [query_id], [F.desc("similarity"), F.col(vec_id)], k)
+def _scored(base: DataFrame, queries: DataFrame, pick: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], vec_id: str, query_id: str, vector: str, block_bytes: int) -> DataFrame:
+    """(query_id, vec_id, similarity) of the pairs that `pick` takes of a matrix of cosines (rows by queries, 6 digits) and its row ids.
+
+    Queries are a stated set. They are read in blocks of at most block_bytes, each sent to tasks and met by one scan of base.
+    """
+    spark = base.sparkSession
+    id_type = queries.select(query_id).limit(0).toArrow().schema.field(0).type
+    kinds = base.schema[vec_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+
+    def unit(v: np.ndarray) -> np.ndarray:
+        return v / np.where((norm := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1, norm)
+
+    def scan(ids: list, vectors: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast((pa.array(ids, id_type), unit(vectors)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, block = sent.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2000):
+                    batch = whole.slice(at, 2000)
+                    lists = batch.column(1)
+                    rows = unit(lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1))
+                    sim = np.round(rows @ block.T, 6) + 0.0
+                    r, q = pick(sim, batch.column(0).to_numpy(zero_copy_only=False))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(0).take(pa.array(r)), pa.array(sim[r, q])], names=["q", "v", "s"])
+
+        rows = base.where(F.col(vector).isNotNull()).select(F.col(vec_id), F.col(vector)).mapInArrow(run, f"q {kinds[1]}, v {kinds[0]}, s double")
+        return rows.toDF(query_id, vec_id, "similarity")
+
+    out, ids, held, size = None, [], [], 0
+    for row in queries.where(F.col(vector).isNotNull()).select(query_id, vector).toLocalIterator():
+        ids.append(row[0])
+        held.append(row[1])
+        size += 8 * len(row[1])
+        if size >= block_bytes:
+            some = scan(ids, np.array(held, dtype=np.float64))
+            out, ids, held, size = some if out is None else out.unionByName(some), [], [], 0
+    if ids:
+        some = scan(ids, np.array(held, dtype=np.float64))
+        out = some if out is None else out.unionByName(some)
+    return out if out is not None else spark.createDataFrame([], f"`{query_id}` {kinds[1]}, `{vec_id}` {kinds[0]}, similarity double")
+
+
+def vector_top_k(base: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", query_id: str = "query_id", vector: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
+    """(query_id, vec_id, similarity, rank) of the k nearest by cosine, ties by id; of each batch only k a query go on. Null vectors are left out."""
+
+    def nearest(sim: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((np.broadcast_to(ids[:, None], sim.shape), -sim), axis=0)[:k]
+        return order.ravel(), np.tile(np.arange(sim.shape[1]), len(order))
+
+    return top_k(_scored(base, queries, nearest, vec_id, query_id, vector, block_bytes), [query_id], [F.desc("similarity"), F.col(vec_id)], k)
+
+
+def vectors_within(base: DataFrame, queries: DataFrame, least: float, vec_id: str = "vec_id", query_id: str = "query_id", vector: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
+    """(query_id, vec_id, similarity) of all pairs with a cosine of `least` or more; no other pair leaves a task."""
+    return _scored(base, queries, lambda sim, ids: np.nonzero(sim >= least), vec_id, query_id, vector, block_bytes)
+
+
+def nearest_query(base: DataFrame, queries: DataFrame, vec_id: str = "vec_id", query_id: str = "query_id", vector: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
+    """(query_id, vec_id, similarity): for each vector of base the query it is nearest to, the smaller id where tied."""
+    best = _scored(base, queries.orderBy(query_id), lambda sim, ids: (np.arange(len(sim)), sim.argmax(axis=1)), vec_id, query_id, vector, block_bytes)
+    return best.groupBy(vec_id).agg(F.min(F.struct((-F.col("similarity")).alias("s"), query_id)).alias("x")).select(f"x.{query_id}", vec_id, (-F.col("x.s")).alias("similarity"))
 
 
 def rrf(ranked: DataFrame, query_id: str, doc_id: str, rank: str = "rank", constant: int = 60) -> DataFrame:
@@ -52,6 +116,17 @@ def rrf(ranked: DataFrame, query_id: str, doc_id: str, rank: str = "rank", const
     return ranked.groupBy(query_id, doc_id).agg(F.sum(1.0 / (constant + F.col(rank))).alias("rrf"), F.count(F.lit(1)).alias("appearances"))
 
 
+def hybrid(semantic: DataFrame, lexical: DataFrame, query_id: str, doc_id: str, k: int, constant: int = 60) -> DataFrame:
+    """The k best by rank fusion of two ranked lists (0-based `rank`): rrf, semantic_rank and bm25_rank (null where a list lacks the document), original_rank.
+
+    Equal sums go by the semantic rank, then the lexical one, then the id.
+    """
+    both = semantic.select(query_id, doc_id, "rank", F.lit("s").alias("list")).unionByName(lexical.select(query_id, doc_id, "rank", F.lit("b").alias("list")))
+    of = lambda x: F.max(F.when(F.col("list") == x, F.col("rank")))
+    fused = both.groupBy(query_id, doc_id).agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 9).alias("rrf"), of("s").alias("semantic_rank"), of("b").alias("bm25_rank"))
+    return top_k(fused, [query_id], [F.desc("rrf"), F.asc_nulls_last("semantic_rank"), F.asc_nulls_last("bm25_rank"), F.col(doc_id)], k, "original_rank")
+
+
 def mmr(candidates: DataFrame, query_id: str, doc_id: str, similarity: str, vector: str, k: int, weight: float = 0.5) -> DataFrame:
     """Maximal marginal relevance over each query's candidates, of which the caller keeps a bounded number."""
     if not 0 <= weight <= 1:

@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Imports every module of this package that registers queries."""
-    from corvane.plans import events, relational, retrieval, streams  # noqa: F401
+    from corvane.plans import events, everyday, relational, retrieval, streams  # noqa: F401

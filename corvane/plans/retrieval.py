@@ -68,9 +68,8 @@ def distance_score(spark, d):
 @query("p10_similarity_filter", _VEC + "SELECT query_id, count(*)::BIGINT AS kept FROM s WHERE similarity >= 0.3 GROUP BY query_id")
 def similarity_filter(spark, d):
     base = table(spark, d, "embeddings")
-    n = 1 << 30
-    near = R.vector_top_k(base, base.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), n)
-    return near.where("similarity >= 0.3").groupBy("query_id").agg(F.count(F.lit(1)).alias("kept"))
+    near = R.vectors_within(base, base.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 0.3)
+    return near.groupBy("query_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query("c02_rrf_fusion", _BM25 + """, l AS (SELECT item_id AS query_id, doc_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1) AS rank FROM r QUALIFY rank < 10
@@ -156,6 +155,37 @@ SELECT vec_id, proto, sim FROM s QUALIFY row_number() OVER (PARTITION BY vec_id
 def nearest_prototype(spark, d):
     base = table(spark, d, "embeddings")
     protos = base.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).withColumnRenamed("label", "proto")
-    best = R.vector_top_k(base, protos.withColumnRenamed("proto", "query_id"), 1 << 30)
-    best = R.top_k(best.drop("rank"), ["vec_id"], [F.desc("similarity"), F.col("query_id")], 1)
+    best = R.nearest_query(base, protos.withColumnRenamed("proto", "query_id"))
     return best.select("vec_id", F.col("query_id").alias("proto"), F.col("similarity").alias("sim"))
+
+
+_HYBRID = _BM25 + """, ve AS (SELECT doc_id, [n_chars / 1000.0, doc_id % 7, doc_id % 11 - 5, length(lang)]::DOUBLE[] AS v FROM documents), vq AS (SELECT item_id, [length(text) / 1000.0, item_id % 7, item_id % 11 - 5, 2]::DOUBLE[] AS v FROM benchmark),
+vs AS (SELECT item_id, doc_id, round(list_cosine_similarity(ve.v, vq.v), 6) AS similarity FROM ve, vq),
+vl AS (SELECT item_id, doc_id, 's' AS list, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) - 1 AS rank FROM vs QUALIFY rank < 20
+ UNION ALL SELECT item_id, doc_id, 'b', row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 FROM r QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20),
+vf AS (SELECT item_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf, max(rank) FILTER (WHERE list = 's')::INT AS semantic_rank, max(rank) FILTER (WHERE list = 'b')::INT AS bm25_rank FROM vl GROUP BY 1, 2),
+h AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, semantic_rank NULLS LAST, bm25_rank NULLS LAST, doc_id) - 1)::INT AS original_rank FROM vf QUALIFY original_rank < 10)
+"""
+
+
+def _hybrid(spark, d):
+    """Documents by a vector list and a BM25 list, fused; the vectors stand in for a model's, as the tables hold none for texts."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    vec = lambda size, i, tail: F.array(*[x.cast("double") for x in (size / 1000.0, i % 7, i % 11 - 5, tail)]).alias("embedding")
+    base = docs.select("doc_id", vec(F.col("n_chars"), F.col("doc_id"), F.length("lang")))
+    asked = items.select("item_id", vec(F.length("text"), F.col("item_id"), F.lit(2)))
+    semantic = R.vector_top_k(base, asked, 20, vec_id="doc_id", query_id="item_id").select("item_id", "doc_id", "rank", F.lit("s").alias("list"))
+    lexical = R.top_k(_bm25(spark, d), ["item_id"], [F.desc("score"), F.col("doc_id")], 20).select("item_id", "doc_id", "rank", F.lit("b").alias("list"))
+    return R.hybrid(semantic, lexical, "item_id", "doc_id", 10)
+
+
+@query("c02_hybrid_search", _HYBRID + "SELECT * FROM h")
+def hybrid_search(spark, d):
+    return _hybrid(spark, d)
+
+
+@query("c04_three_stage", _HYBRID + "SELECT item_id, doc_id, original_rank, (row_number() OVER (PARTITION BY item_id ORDER BY n_chars, doc_id) - 1)::INT AS rank FROM h JOIN documents USING (doc_id) QUALIFY rank < 5")
+def three_stage(spark, d):
+    """Hybrid search, then a reranker (here by text length) over its bounded hits; original_rank stays."""
+    hits = _hybrid(spark, d).join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return R.top_k(hits, ["item_id"], [F.col("n_chars"), F.col("doc_id")], 5).select("item_id", "doc_id", "original_rank", "rank")
