@@ -12,7 +12,7 @@ P(class | class) is smoothed by the classes' own probabilities; P(w | class) is
 bundled word takes the add-one share of its bundle. Both terms sum to 1 over known words and one unknown word
 per bundle, so the score is the log of a probability.
 
-The counts_kept most frequent words have their counts sent to tasks (a bound on entries, whatever the corpus); the
+The most frequent words, counts_kept at most, have their counts sent to tasks (a bound on entries, whatever the corpus); the
 counts of all others come by a join on the word, from all texts. Null and empty texts have just the end; repeated rows
 and equal ids are scored each. A null id counts as a training row. With no training text every score is that
 of the uniform model. Other columns are left out.
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import written
+from corvane.llm.common import slices, written
 
 
 @dataclass(frozen=True)
@@ -92,6 +92,25 @@ def word_counts(texts: DataFrame, bundles: int, flush: int = 400_000) -> DataFra
     return texts.mapInArrow(count, "word binary, bundle int, n long").groupBy("word", "bundle").agg(F.sum("n").alias("n"))
 
 
+def _most_frequent(vocabulary: DataFrame, most: int, least: int) -> list:
+    """(word, n) of words by falling count: all above the smallest count that at most `most` words have or exceed.
+
+    Counts of counts come first, so only words that are kept leave their tasks. Where that keeps fewer than `least` (very many words of
+    one count) the first `most` in order are taken.
+    """
+    capped = vocabulary.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).collect()
+    floor, total = 10_001, 0
+    for r in sorted(capped, key=lambda r: -r.n):
+        total += r.words
+        if total > most:
+            break
+        floor = r.n
+    kept = vocabulary.where(F.col("n") >= floor).select("word", "n").collect()
+    if len(kept) < least and total > len(kept):
+        return vocabulary.orderBy(F.desc("n"), "word").limit(most).select("word", "n").collect()
+    return sorted(kept, key=lambda r: (-r.n, bytes(r.word)))
+
+
 def _sequence(docs: list[list[bytes]], lookup: _Lookup, item_of: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of all words (the end: -1), items of all tokens, and each text's first token."""
     sizes = np.array([len(d) + 1 for d in docs])
@@ -125,8 +144,8 @@ def bigram_counts(texts: DataFrame, kept, settings: Settings, end: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array((c // span).astype(np.int32)), pa.array((c % span).astype(np.int32)), pa.array(n[at:at + 100_000])], names=["first", "second", "n"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                docs = _split(batch.column(0).slice(at, 2000))
+            for some in slices(batch, 0, 2000, 4 << 20):
+                docs = _split(some.column(0))
                 _, items, starts = _sequence(docs, lookup, item_of, end)
                 before = np.concatenate(([end], items[:-1]))
                 held.append(np.unique(before.astype(np.int64) * span + items, return_counts=True))
@@ -256,7 +275,7 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     per_bundle = vocabulary.groupBy("bundle").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     total = sum(r.n for r in per_bundle) + ends
     distinct = sum(r.v for r in per_bundle) + (ends > 0)
-    top = vocabulary.orderBy(F.desc("n"), "word").limit(settings.counts_kept).select("word", "n").collect()
+    top = _most_frequent(vocabulary, settings.counts_kept, settings.head_items)
     kept = [bytes(r.word) for r in top]
     kept_n = np.array([r.n for r in top], dtype=float)
     head, end = min(settings.head_items, len(kept)), settings.head_items + settings.bundles
@@ -294,8 +313,7 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
         lookup, n_kept = _Lookup(kept_words.value, settings.bundles), len(kept_words.value)
         row = TaskContext.get().partitionId() << 36
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in slices(whole, 1, 1000, 4 << 20):
                 docs_words = _split(batch.column(1))
                 places, items, starts = _sequence(docs_words, lookup, items_at, end)
                 c = class_of[items]
