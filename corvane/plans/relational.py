@@ -166,9 +166,9 @@ def pivot(s, d):
     return out.select("o_orderstatus", F.coalesce("1-URGENT", F.lit(0)).alias("urgent"), F.coalesce("5-LOW", F.lit(0)).alias("low"))
 
 
-@query("g09_unpivot", "SELECT l_orderkey, l_linenumber, what, val FROM (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem WHERE l_orderkey < 500) UNPIVOT (val FOR what IN (l_discount, l_tax))")
+@query("g09_unpivot", "SELECT l_orderkey, l_linenumber, what, val FROM (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem) UNPIVOT (val FOR what IN (l_discount, l_tax))")
 def unpivot(s, d):
-    return t(s, d, "lineitem").where("l_orderkey < 500").unpivot(["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"], "what", "val")
+    return t(s, d, "lineitem").unpivot(["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"], "what", "val")
 
 
 @query("g09_unpivot_all", "SELECT l_orderkey, l_linenumber, what, val FROM (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem) UNPIVOT (val FOR what IN (l_discount, l_tax))")
