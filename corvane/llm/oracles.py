@@ -29,7 +29,7 @@ f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (n_symbols > 0.3 * n_words
          OR n_dup_lines > 0.6 * n_lines OR word_chars < 1.5 * n_words OR word_chars > 25.0 * n_words
-         OR n_letter_words < 0.5 * n_words OR n_digits > 0.4 * word_chars OR n_upper > 0.6 * (n_upper + n_lower)
+         OR n_letter_words < 0.5 * n_words OR n_digits > 0.6 * word_chars OR n_upper > 0.6 * (n_upper + n_lower)
          OR (n_lines > 2 AND n_bullet_lines > 0.9 * n_lines) OR (n_lines > 2 AND n_ellipsis_lines > 0.5 * n_lines)
          OR n_urls > 0.2 * n_words OR n_unreadable > 0.05 * word_chars OR n_distinct_words < 0.02 * n_words) AS kept
 FROM f

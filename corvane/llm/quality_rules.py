@@ -48,7 +48,7 @@ class Limits:
     min_mean_word_chars: float = 1.5
     max_mean_word_chars: float = 25.0
     min_letter_words: float = 0.5
-    max_digit_share: float = 0.4
+    max_digit_share: float = 0.6
     max_upper_share: float = 0.6
     max_bullet_lines: float = 0.9
     max_ellipsis_lines: float = 0.5
