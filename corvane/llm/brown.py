@@ -1,7 +1,7 @@
 """Language-model scoring by Brown class bigrams, with classes from exchange clustering over the whole corpus.
 
-Words are items: each of the head_items most frequent words is one, and all others fall into one of `bundles` by
-their last three bytes; the end of a text is an item with a class of its own. Exchange clustering gives each item a
+Words are items: each of the head_items most frequent words is one (all whose counts are kept, unless fewer are asked for), and
+all others fall into one of `bundles` by their last three bytes; the end of a text is an item with a class of its own. Exchange clustering gives each item a
 class: in every round, tasks find for a third of the items the class that gains most in the likelihood of the class
 bigrams (exactly, for a single move), and the driver, which holds one class per item and the classes' bigram counts
 only, makes the moves. What is counted from the corpus is counted over all training texts.
@@ -39,7 +39,7 @@ from corvane.llm.common import slices, written
 class Settings:
     """Sizes of the model; none depends on the corpus."""
 
-    head_items: int = 6000
+    head_items: int = 150_000
     bundles: int = 1500
     classes: int = 64
     rounds: int = 9
@@ -184,7 +184,7 @@ def best_move(g: np.ndarray, own: int, right: np.ndarray, left: np.ndarray, self
     right and left: the item's counts with the class after and before it (its own pairs included); self_n: those
     with itself.
     """
-    base = g.astype(float)
+    base = g.astype(float)  # a copy
     base[own] -= right
     base[:, own] -= left
     base[own, own] += self_n
@@ -192,10 +192,10 @@ def best_move(g: np.ndarray, own: int, right: np.ndarray, left: np.ndarray, self
     r[own] -= self_n
     s[own] -= self_n
     rows, cols = base.sum(1) + s, base.sum(0) + r  # with what the item adds to them whatever its class
-    f = _xlogx(base)
-    k = np.arange(len(g))
-    diagonal = base[k, k]
-    gain = (_xlogx(base + r) - f).sum(1) + (_xlogx(base + s[:, None]) - f).sum(0)
+    diagonal = base.diagonal()
+    # only classes that the item stands beside change a term
+    after, before = base[:, r > 0], base[s > 0]
+    gain = (_xlogx(after + r[r > 0]) - _xlogx(after)).sum(1) + (_xlogx(before + s[s > 0, None]) - _xlogx(before)).sum(0)
     gain += -(_xlogx(diagonal + r) - _xlogx(diagonal)) - (_xlogx(diagonal + s) - _xlogx(diagonal)) + _xlogx(diagonal + r + s + self_n) - _xlogx(diagonal)
     n_right, n_left = r.sum() + self_n, s.sum() + self_n
     gain -= _xlogx(rows + n_right) - _xlogx(rows) + _xlogx(cols + n_left) - _xlogx(cols)
@@ -218,39 +218,41 @@ def exchange(bigrams: DataFrame, counts: np.ndarray, settings: Settings, end: in
     classes[order] = np.arange(end) % settings.classes
     classes[end] = settings.classes
 
-    def vectors(batch: pa.RecordBatch, now: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
-        flat = lambda a: (a.offsets.to_numpy(), a.values.to_numpy(zero_copy_only=False))
-        items = batch.column(0).to_pylist()
-        sides = [flat(batch.column(i)) for i in (1, 2, 3, 4)]
-        for i, item in enumerate(items):
-            (o, n), (bo, bn) = ((values[cut[i]:cut[i + 1]] for cut, values in sides[at:at + 2]) for at in (0, 2))
-            yield item, np.bincount(now[o], weights=n, minlength=k), np.bincount(now[bo], weights=bn, minlength=k), float(n[o == item].sum())
+    flat = lambda a: (a.offsets.to_numpy(), a.values.to_numpy(zero_copy_only=False))
 
     def class_bigrams(now: np.ndarray) -> np.ndarray:
+        now = now.astype(np.int16)
+
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g = np.zeros((k, k))
+            g = np.zeros(k * k)
             for batch in batches:
-                for item, right, _, _ in vectors(batch, now):
-                    g[now[item]] += right
+                (cut, others), (_, n) = flat(batch.column(1)), flat(batch.column(2))
+                own = np.repeat(now[batch.column(0).to_numpy()].astype(np.int32), np.diff(cut))
+                g += np.bincount(own * k + now[others[cut[0]:cut[-1]]], weights=n[cut[0]:cut[-1]], minlength=k * k)
             yield pa.RecordBatch.from_pydict({"g": pa.array([g.astype(np.int64).tobytes()], pa.binary())})
 
-        found = profiles.mapInArrow(add, "g binary").collect()
+        found = profiles.select("item", "other", "n").mapInArrow(add, "g binary").collect()
         return sum((np.frombuffer(r.g, dtype=np.int64).reshape(k, k) for r in found), np.zeros((k, k), dtype=np.int64))
 
     def moves(now: np.ndarray, g: np.ndarray, turn: int) -> list[tuple[int, int]]:
+        now = now.astype(np.int16)
+
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            inner = g[:, :].astype(float)
+            inner = g.astype(float)
             for batch in batches:
                 out = []
-                for item, right, left, self_n in vectors(batch, now):
-                    if item != end and item % 3 == turn % 3:
-                        to, gain = best_move(inner, int(now[item]), right, left, self_n)
-                        if gain > 1e-6 and to != settings.classes:
-                            out.append((item, to))
+                (o_cut, others), (n_cut, n), (b_cut, b_others), (b_n_cut, b_n) = (flat(batch.column(i)) for i in (1, 2, 3, 4))
+                for i, item in enumerate(batch.column(0).to_pylist()):
+                    o, o_n = others[o_cut[i]:o_cut[i + 1]], n[n_cut[i]:n_cut[i + 1]]
+                    left = np.bincount(now[b_others[b_cut[i]:b_cut[i + 1]]], weights=b_n[b_n_cut[i]:b_n_cut[i + 1]], minlength=k)
+                    right = np.bincount(now[o], weights=o_n, minlength=k)
+                    to, gain = best_move(inner, int(now[item]), right, left, float(o_n[o == item].sum()))
+                    if gain > 1e-6 and to != settings.classes:
+                        out.append((item, to))
                 if out:
                     yield pa.RecordBatch.from_pydict({"item": pa.array([x for x, _ in out], pa.int32()), "to": pa.array([x for _, x in out], pa.int32())})
 
-        return [(r.item, r.to) for r in profiles.where(F.pmod("item", F.lit(3)) == turn % 3).mapInArrow(look, "item int, to int").collect()]
+        return [(r.item, r.to) for r in profiles.where((F.col("item") != end) & (F.pmod("item", F.lit(3)) == turn % 3)).mapInArrow(look, "item int, to int").collect()]
 
     g = class_bigrams(classes)
     best = (objective(g), classes, g)
@@ -275,7 +277,7 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     per_bundle = vocabulary.groupBy("bundle").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     total = sum(r.n for r in per_bundle) + ends
     distinct = sum(r.v for r in per_bundle) + (ends > 0)
-    top = _most_frequent(vocabulary, settings.counts_kept, settings.head_items)
+    top = _most_frequent(vocabulary, settings.counts_kept, min(settings.head_items, settings.counts_kept // 25))
     kept = [bytes(r.word) for r in top]
     kept_n = np.array([r.n for r in top], dtype=float)
     head, end = min(settings.head_items, len(kept)), settings.head_items + settings.bundles
