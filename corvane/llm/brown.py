@@ -125,7 +125,7 @@ def _sequence(docs: list[list[bytes]], lookup: _Lookup, item_of: np.ndarray, end
 
 
 def bigram_counts(texts: DataFrame, kept, settings: Settings, end: int) -> DataFrame:
-    """first, second, n over items, counted in tasks first."""
+    """code, n: first * (end + 1) + second over items, counted in tasks first."""
     span = end + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +140,7 @@ def bigram_counts(texts: DataFrame, kept, settings: Settings, end: int) -> DataF
 
         def rows(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(codes), 100_000):
-                c = codes[at:at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array((c // span).astype(np.int32)), pa.array((c % span).astype(np.int32)), pa.array(n[at:at + 100_000])], names=["first", "second", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(codes[at:at + 100_000]), pa.array(n[at:at + 100_000])], names=["code", "n"])
 
         for batch in batches:
             for some in slices(batch, 0, 2000, 4 << 20):
@@ -159,7 +158,7 @@ def bigram_counts(texts: DataFrame, kept, settings: Settings, end: int) -> DataF
         if held:
             yield from rows(*merged())
 
-    return texts.mapInArrow(count, "first int, second int, n long").groupBy("first", "second").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _items(n_kept: int, kept: list[bytes], settings: Settings) -> np.ndarray:
@@ -204,34 +203,40 @@ def best_move(g: np.ndarray, own: int, right: np.ndarray, left: np.ndarray, self
 
 
 def exchange(bigrams: DataFrame, counts: np.ndarray, settings: Settings, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each item and the class bigram counts. bigrams: first, second, n over all item pairs that occur."""
-    k = settings.classes + 1
-    pair = lambda a, b: F.struct(F.col(a).alias("item"), F.struct(F.col(b).alias("other"), F.col("n")).alias("x"))
-    both = bigrams.select(F.explode(F.array(F.struct(pair("first", "second").alias("p"), F.lit(True).alias("after")), F.struct(pair("second", "first").alias("p"), F.lit(False).alias("after")))).alias("e"))
-    both = both.select("e.p.item", "e.after", "e.p.x")
+    """Class of each item and the class bigram counts. bigrams: code, n over all item pairs that occur.
+
+    A profile's entries are numbers: the other item, whether it comes before, and the count in the lowest 43 bits.
+    """
+    k, span = settings.classes + 1, end + 1
+    sides = bigrams.select(F.expr(f"code div {span}").alias("first"), F.expr(f"code % {span}").alias("second"), "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    own, other = F.when(F.col("side") == 0, F.col("first")).otherwise(F.col("second")), F.when(F.col("side") == 0, F.col("second")).otherwise(F.col("first"))
+    entry = F.shiftleft(other * 2 + F.col("side"), 43).bitwiseOR(F.col("n"))
     # at most one entry for each item and side, however large the corpus
-    profiles = written(both.groupBy("item").agg(F.collect_list(F.when(F.col("after"), F.col("x"))).alias("after"), F.collect_list(F.when(~F.col("after"), F.col("x"))).alias("before")).select(
-        "item", "after.other", "after.n", F.col("before.other").alias("b_other"), F.col("before.n").alias("b_n")), "profiles")
+    profiles = written(sides.select(own.cast("int").alias("item"), entry.alias("x")).groupBy("item").agg(F.collect_list("x").alias("x")), "profiles")
 
     order = np.argsort(-counts[:end], kind="stable")
     classes = np.zeros(end + 1, dtype=np.int64)
     classes[order] = np.arange(end) % settings.classes
     classes[end] = settings.classes
 
-    flat = lambda a: (a.offsets.to_numpy(), a.values.to_numpy(zero_copy_only=False))
+    def beside(batch: pa.RecordBatch, now: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where each item's entries start, and their other item, its class (k higher on the side before) and count."""
+        cut, x = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()[batch.column(1).offsets[0].as_py():]
+        others = x >> 44
+        return cut - cut[0], others, now[others] + k * ((x >> 43) & 1), x & ((1 << 43) - 1)
 
     def class_bigrams(now: np.ndarray) -> np.ndarray:
         now = now.astype(np.int16)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g = np.zeros(k * k)
+            g = np.zeros(2 * k * k)
             for batch in batches:
-                (cut, others), (_, n) = flat(batch.column(1)), flat(batch.column(2))
-                own = np.repeat(now[batch.column(0).to_numpy()].astype(np.int32), np.diff(cut))
-                g += np.bincount(own * k + now[others[cut[0]:cut[-1]]], weights=n[cut[0]:cut[-1]], minlength=k * k)
-            yield pa.RecordBatch.from_pydict({"g": pa.array([g.astype(np.int64).tobytes()], pa.binary())})
+                cut, _, near, n = beside(batch, now)
+                own = np.repeat(now[batch.column(0).to_numpy()].astype(np.int64), np.diff(cut))
+                g += np.bincount(own * (2 * k) + near[:cut[-1]], weights=n[:cut[-1]], minlength=2 * k * k)
+            yield pa.RecordBatch.from_pydict({"g": pa.array([g.reshape(k, 2 * k)[:, :k].astype(np.int64).tobytes()], pa.binary())})
 
-        found = profiles.select("item", "other", "n").mapInArrow(add, "g binary").collect()
+        found = profiles.mapInArrow(add, "g binary").collect()
         return sum((np.frombuffer(r.g, dtype=np.int64).reshape(k, k) for r in found), np.zeros((k, k), dtype=np.int64))
 
     def moves(now: np.ndarray, g: np.ndarray, turn: int) -> list[tuple[int, int]]:
@@ -240,13 +245,13 @@ def exchange(bigrams: DataFrame, counts: np.ndarray, settings: Settings, end: in
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inner = g.astype(float)
             for batch in batches:
+                cut, others, near, n = beside(batch, now)
                 out = []
-                (o_cut, others), (n_cut, n), (b_cut, b_others), (b_n_cut, b_n) = (flat(batch.column(i)) for i in (1, 2, 3, 4))
                 for i, item in enumerate(batch.column(0).to_pylist()):
-                    o, o_n = others[o_cut[i]:o_cut[i + 1]], n[n_cut[i]:n_cut[i + 1]]
-                    left = np.bincount(now[b_others[b_cut[i]:b_cut[i + 1]]], weights=b_n[b_n_cut[i]:b_n_cut[i + 1]], minlength=k)
-                    right = np.bincount(now[o], weights=o_n, minlength=k)
-                    to, gain = best_move(inner, int(now[item]), right, left, float(o_n[o == item].sum()))
+                    part = slice(cut[i], cut[i + 1])
+                    counts_near = np.bincount(near[part], weights=n[part], minlength=2 * k)
+                    self_n = float(n[part][(others[part] == item) & (near[part] < k)].sum())
+                    to, gain = best_move(inner, int(now[item]), counts_near[:k], counts_near[k:], self_n)
                     if gain > 1e-6 and to != settings.classes:
                         out.append((item, to))
                 if out:
@@ -291,8 +296,7 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     counts[:head], counts[settings.head_items:end], counts[end] = kept_n[:head], in_bundle, ends
     kept_words = spark.sparkContext.broadcast(kept)
 
-    bigrams = written(bigram_counts(texts, kept_words, settings, end), "bigrams")
-    classes, g = exchange(bigrams, counts, settings, end)
+    classes, g = exchange(bigram_counts(texts, kept_words, settings, end), counts, settings, end)
     size = np.bincount(classes, weights=counts, minlength=settings.classes + 1)
     share = (size + 1) / (size.sum() + len(size))
     moves = (g + settings.class_prior * share) / (g.sum(1, keepdims=True) + settings.class_prior)
