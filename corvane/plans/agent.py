@@ -53,7 +53,7 @@ def word_bigrams(s, d):
 
 # A catalog of parts: the size and price as costs, the name as id. Names with `ring` may be free of charge.
 _FIT = "p_size <= 40 AND p_retailprice <= 1500 AND (p_retailprice > 0 OR contains(lower(p_name), 'ring'))"
-_FRONTIER = "(p_retailprice >= 1050 OR contains(lower(p_name), 'steel'))"
+_FRONTIER = "(p_retailprice >= 980 OR contains(lower(p_name), 'anvil'))"
 _POINTS = "round(10 + 2 * p_size + p_retailprice - CASE WHEN contains(lower(p_name), 'ring') THEN 4 ELSE 0 END - CASE WHEN contains(lower(p_name), 'small') THEN 3 ELSE 0 END, 4)"
 
 
@@ -64,7 +64,7 @@ def _catalog(s, d):
     return t(s, d, "part").where(fit).select("*", F.round(points, 4).alias("points"))
 
 
-_affordable = lambda df: df.where(~((F.col("p_retailprice") >= 1050) | has("p_name", "steel")))
+_affordable = lambda df: df.where(~((F.col("p_retailprice") >= 980) | has("p_name", "anvil")))
 
 
 @query("p14_hard_constraints", f"SELECT p_partkey FROM part WHERE {_FIT}")

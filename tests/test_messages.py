@@ -6,7 +6,7 @@ from corvane.functions import messages as ms
 
 
 def test_corrections_and_scores(spark):
-    rows = [("  Actually, no", True, 0, 0), ("I meant that", True, 0, 0), ("it actually works", False, 0, 0), (None, False, 0, 0), ("", False, 0, 0), ("WHY is it still broken", False, 12, 0), ("thank you, great", False, 0, 11)]
+    rows = [("  Actually, no", True, 0, 0), ("I meant that", True, 0, 0), ("it actually works", False, 0, 0), (None, False, 0, 0), ("", False, 0, 0), ("WHY is it still broken", False, 12, 1), ("thank you, great", False, 0, 11)]
     df = spark.createDataFrame(rows, "text string, corrects boolean, up int, down int")
     got = df.select("*", ms.starts_correction(F.col("text")).alias("c"), ms.keyword_score(F.col("text"), ms.ESCALATION).alias("u"), ms.keyword_score(F.col("text"), ms.DEESCALATION).alias("d")).collect()
     assert all((r.c, r.u, r.d) == (r.corrects, r.up, r.down) for r in got)
