@@ -1,4 +1,4 @@
-"""The queries op1_ ... op10_ over the test tables, and the SQL that checks them where SQL can."""
+"""The queries op1_ ... op13_ over the test tables, and the SQL that checks them where SQL can."""
 
 from __future__ import annotations
 
@@ -105,6 +105,36 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "n_lines", F.size("lines").cast("long").alias("n_kept"), F.md5(F.array_join("lines", "\n")).alias("kept_md5"))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.whitening import whiten
+
+    out = whiten(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=8)
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.common import words
+    from corvane.llm.word_runs import word_runs
+
+    # one document of ten gets a tail that repeats its first p words from word a on
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", (h % 10 == 0).alias("turned"), F.floor(h / 10).cast("long").alias("g"))
+    docs = docs.withColumn("w", F.when(F.col("turned"), words("text"))).withColumn("n", F.size("w"))
+    a = F.when(F.col("n") > 0, (F.col("g") % F.col("n"))).cast("int")
+    docs = docs.withColumn("a", a).withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    told = F.array_join(F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), again), F.lit(1), F.col("n")), " ")
+    docs = docs.select("doc_id", F.when(F.col("n") > 0, told).otherwise(F.col("text")).alias("text"))
+    out = word_runs(docs)
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.neighbours import nearest
+
+    return nearest(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
