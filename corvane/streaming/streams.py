@@ -7,8 +7,6 @@ driver and executors share, so a query that is started again under the same `hom
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,11 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
+from corvane.shared import new_dir
+
 
 def new_home(spark: SparkSession, name: str) -> str:
-    """A new folder for a query's progress, state and results: in spark.checkpoint.dir, or where that is unset (tests) a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.mkdtemp(prefix='corvane-')}"
-    return f"{base.rstrip('/')}/corvane-stream-{name}-{uuid.uuid4().hex}"
+    """A new folder for a query's progress, state and results, in the folder that driver and executors share."""
+    return new_dir(spark, f"stream-{name}")
 
 
 def table_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
