@@ -13,8 +13,10 @@ Columns beyond id and text are left out, whatever their names. A task that is ru
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,9 @@ from corvane.llm.files import committed, opened
 FILE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("start", pa.int64()), ("tokens", pa.list_(pa.field("element", pa.int32())))])
 MANIFEST = "part int, path string, row_group int, first_id long, last_id long, n_docs long, n_tokens long"
 
+#: Letters with ASCII signs after them (no apostrophe, which may belong to letters that follow).
+_SIGNED = re.compile(r"[^\W\d_]+[!-&(-/:-@\[-`{-~]+")
+
 _ENCODERS: dict[tuple[str, int], "WordEncoder"] = {}
 
 
@@ -45,30 +50,56 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ending = self._ends()
         self.max_words, self.known = max_words, {}
         self.ids, self.used, self.ends = np.empty(1 << 16, dtype=np.int32), 0, np.zeros(1 << 16, dtype=np.int64)
 
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words in a row, and how many each has; many words go in one call, which tells the word of each id."""
+    def _ends(self) -> np.ndarray:
+        """Which ids end a piece (a run of letters or of other signs, as the pre-tokenizer cuts them); none for tokenizers that don't mark ends."""
+        vocabulary = self.tokenizer.get_vocab()
+        out = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        out[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        return out
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words in another order, their ids in a row, and how many each has.
+
+        Many words go in one call, as a text. Of words of letters, with or without signs after them, the number of pieces is
+        known, so the ids that end a piece tell where a word ends; if their number doesn't agree, and for other words, it is
+        where an id's characters begin that tells its word.
+        """
+        plain, signed, other = [], [], []
+        for w in words:
+            (plain if w.isalpha() else signed if _SIGNED.fullmatch(w) else other).append(w)
         ids, counts = [np.empty(0, dtype=np.int32)], []
-        for at in range(0, len(words), 500):
-            some = words[at:at + 500]
-            if any("<|" in w for w in some):  # may be a special token, which is not split inside lists of words
-                each = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype=np.int32) for w in some]
-                ids += each
-                counts += [len(x) for x in each]
-            else:
-                e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-                ids.append(np.array(e.ids, dtype=np.int32))
-                counts += np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(some)).tolist()
-        return np.concatenate(ids), np.array(counts, dtype=np.int64)
+        for some, pieces in ((plain, 1), (signed, 2), (other, 0)):
+            for at in range(0, len(some), 500):
+                found, sizes = self._chunk(some[at:at + 500], pieces)
+                ids.append(found)
+                counts.append(sizes)
+        return plain + signed + other, np.concatenate(ids), np.concatenate(counts)
+
+    def _chunk(self, words: list[str], pieces: int) -> tuple[np.ndarray, np.ndarray]:
+        text = " ".join(words)
+        if "<|" in text:  # may be a special token, which ends a word where there is no blank
+            each = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+            return np.array([i for x in each for i in x], dtype=np.int32), np.array([len(x) for x in each])
+        if pieces:
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int32)
+            ends = np.flatnonzero(self.ending[ids])
+            if len(ends) == pieces * len(words) and ends[-1] == len(ids) - 1:
+                return ids, np.diff(ends[pieces - 1::pieces], prepend=-1)
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        first = np.fromiter(map(itemgetter(0), e.offsets), dtype=np.int64, count=len(e.ids))
+        begin = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+        return np.array(e.ids, dtype=np.int32), np.bincount(np.searchsorted(begin, first, side="right"), minlength=len(words))
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         """Number of each word; the ids of word k are ids[ends[k - 1]:ends[k]]."""
         known = self.known
         new = [w for w in words if w not in known]
         if new:
-            ids, counts = self._encode(new)
+            new, ids, counts = self._encode(new)
             n, end = len(known), self.used + len(ids)
             if end > len(self.ids):
                 self.ids = np.concatenate((self.ids[:self.used], np.empty(end, dtype=np.int32)))
@@ -96,7 +127,9 @@ class WordEncoder:
         at = coded.indices.to_numpy()
         sizes = (ends - starts)[at]
         before = np.append(0, np.cumsum(sizes))
-        ids = self.ids[np.arange(before[-1]) + np.repeat(starts[at] - before[:-1], sizes)]
+        where = np.repeat((starts[at] - before[:-1]).astype(np.int32), sizes)  # below 2 ** 31: a batch is some megabytes, or one text
+        where += np.arange(len(where), dtype=np.int32)
+        ids = self.ids.take(where)
         return ids, np.diff(before[cuts - cuts[0]])
 
 
