@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Imports every module of this package that registers queries."""
-    from corvane.plans import agent, events, everyday, knowledge, relational, retrieval, streams  # noqa: F401
+    from corvane.plans import agent, events, everyday, knowledge, relational, retrieval, sequences, streams  # noqa: F401

@@ -55,3 +55,47 @@ def profile(s, d):
 def upsert_log(s, d):
     totals = events(s, d, "user_id", "event_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("newest"))
     return st.upserted(totals, st.new_home(s, "upsert"), ["user_id"])
+
+
+_BOTH = """WITH a AS (SELECT ts FROM events WHERE event_type = 'error'), b AS (SELECT ts FROM events WHERE event_type <> 'error'),
+wm AS (SELECT {0}((SELECT date_trunc('millisecond', max(ts)) - INTERVAL 5 DAY FROM a), (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 HOUR FROM b)) AS w)
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*)::BIGINT AS n FROM (SELECT ts FROM a UNION ALL SELECT ts FROM b) GROUP BY 1 HAVING time_bucket(INTERVAL 1 HOUR, min(ts)) + INTERVAL 1 HOUR <= (SELECT w FROM wm)"""
+
+
+def _under(s, d, which):
+    rows = events(s, d, "ts", "event_type")
+    both = st.union_under_policy(rows.where("event_type = 'error'").select("ts"), rows.where("event_type <> 'error'").select("ts"), "ts", "5 days", "2 hours")
+    counts = both.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
+    with st.policy(s, which):
+        return st.appended(counts, st.new_home(s, f"policy-{which}")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("r08_lowest_watermark", _BOTH.format("least"))
+def lowest_watermark(s, d):
+    return _under(s, d, "min")
+
+
+@query("r08_highest_watermark", _BOTH.format("greatest"))
+def highest_watermark(s, d):
+    return _under(s, d, "max")
+
+
+@query("s23_backfill_and_live", "SELECT event_id, user_id, value FROM events")
+def backfill_and_live(s, d):
+    cut, home = "2024-01-20", st.new_home(s, "backfill")
+    history = s.read.parquet(f"{d}/events.parquet").where(F.col("ts") < cut).select("event_id", "user_id", "value")
+    live = lambda: events(s, d, "event_id", "user_id", "value", "ts").where(F.col("ts") >= cut).drop("ts")
+    st.backfilled(history, live(), home)
+    return st.backfilled(history, live(), home)  # a second run adds nothing
+
+
+@query("w22_debounced_stream", """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t FROM events), r AS MATERIALIZED (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i FROM e),
+p(user_id, i, last, first, n, fired, requested, coalesced) AS (SELECT user_id, 1::BIGINT, t, NULL::BIGINT, 0::BIGINT, t, t, 1::BIGINT FROM r WHERE i = 1
+ UNION ALL SELECT r.user_id, r.i, CASE WHEN r.t - last >= 86400000000 THEN r.t ELSE last END, CASE WHEN r.t - last >= 86400000000 THEN NULL ELSE coalesce(first, r.t) END, CASE WHEN r.t - last >= 86400000000 THEN 0 ELSE n + 1 END,
+ CASE WHEN r.t - last >= 86400000000 THEN r.t END, coalesce(first, r.t), n + 1 FROM p JOIN r ON r.user_id = p.user_id AND r.i = p.i + 1)
+SELECT user_id, fired AS fired_at, requested AS requested_at, coalesced FROM p WHERE fired IS NOT NULL""")
+def debounced_stream(s, d):
+    rows = events(s, d, "user_id", F.unix_micros("ts").alias("at"))
+    home = st.new_home(s, "debounced")
+    st.upserted(st.debounced(rows, "user_id", "at", 86_400_000_000), home, ["user_id", "fired_at"])
+    return s.read.parquet(f"{home}/log").select("user_id", "fired_at", "requested_at", "coalesced")

@@ -8,6 +8,7 @@ driver and executors share, so a query that is started again under the same `hom
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,3 +122,73 @@ def running_profile(stream: DataFrame, key: str, value: str, ts: str) -> DataFra
     out = source.groupBy("key").applyInPandasWithState(
         step, f"key {kind}, n long, total double, last_us long", "n long, total double, last long", "update", GroupStateTimeout.NoTimeout)
     return out.select(F.col("key").alias(key), "n", "total", F.timestamp_micros("last_us").alias("last_ts"))
+
+
+def union_under_policy(a: DataFrame, b: DataFrame, ts: str, late_a: str, late_b: str) -> DataFrame:
+    """Two streams of one schema as one, each with its own allowance for late rows; which of the two watermarks holds is decided where the query starts (`policy`)."""
+    return a.withWatermark(ts, late_a).union(b.withWatermark(ts, late_b))
+
+
+@contextmanager
+def policy(spark: SparkSession, which: str) -> Iterator[None]:
+    """Queries started inside take the lowest ('min': no stream's rows are late for another's sake) or the highest ('max') of their streams' watermarks.
+
+    The setting is part of a query's progress: a query that goes on under the same home keeps its first policy.
+    """
+    if which not in ("min", "max"):
+        raise ValueError("the policy is min or max")
+    name = "spark.sql.streaming.multipleWatermarkPolicy"
+    before = spark.conf.get(name)
+    spark.conf.set(name, which)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def backfilled(history: DataFrame, live: DataFrame, home: str) -> DataFrame:
+    """Rows of a history that is loaded once and of a stream that goes on from there, both in one target under home.
+
+    The history is written under a name of its own, whole or not at all: if a run finds it complete it isn't loaded again, and one that broke off
+    is overwritten. The stream's rows are written exactly once by its progress. So a run that is repeated under the same home adds only what is new.
+    What the history holds must not come through the stream too: cut both at one point.
+    """
+    spark = live.sparkSession
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{home}/history/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        history.select(*live.columns).write.mode("overwrite").parquet(f"{home}/history")
+    rows = appended(live, home)
+    return spark.read.schema(live.schema).parquet(f"{home}/history").unionByName(rows)
+
+
+def debounced(stream: DataFrame, key: str, at: str, width: int, flush_after: str | None = None) -> DataFrame:
+    """(key, fired_at, requested_at, coalesced) in update mode: requests (at: microseconds) of a key fire at once, but not within `width` of the last firing; those in between go with the next that fires.
+
+    With flush_after (an allowance for late requests), requests that wait fire `width` after the last firing once the watermark has passed that, though no request comes.
+    The state of a key is three numbers. Requests that come late count at their own time, as waiting ones if a firing was after them.
+    """
+    source = stream.select(F.col(key).alias("key"), F.col(at).alias("at"), F.timestamp_micros(at).alias("when"))
+    source = source.withWatermark("when", flush_after) if flush_after else source
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, first, n = state.get if state.exists else (None, None, 0)
+        out = []
+        if state.hasTimedOut:
+            out.append((last + width, first, n))
+            last, first, n = last + width, None, 0
+        else:
+            for t in sorted(int(v) for frame in frames for v in frame["at"].dropna()):
+                first, n = t if first is None else min(first, t), n + 1
+                if last is None or t - last >= width:
+                    out.append((t, first, n))
+                    last, first, n = t, None, 0
+        if last is not None:
+            state.update((last, first, n))
+            if flush_after and n:
+                state.setTimeoutTimestamp(max((last + width) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": [k[0]] * len(out), "fired_at": [o[0] for o in out], "requested_at": [o[1] for o in out], "coalesced": [o[2] for o in out]})
+
+    kind = source.schema["key"].dataType.simpleString()
+    timeout = GroupStateTimeout.EventTimeTimeout if flush_after else GroupStateTimeout.NoTimeout
+    out = source.groupBy("key").applyInPandasWithState(step, f"key {kind}, fired_at long, requested_at long, coalesced long", "last long, first long, n long", "append" if flush_after else "update", timeout)
+    return out.withColumnRenamed("key", key)
