@@ -51,17 +51,17 @@ def test_backfill_and_live_add_nothing_twice(spark, tmp_path):
 
 
 def test_debounce_over_batches_and_with_a_flush(spark, tmp_path):
-    us = 1_000_000
-    rows = [(1, 0), (1, 100 * us), (1, 299 * us), (2, 50 * us), (1, 301 * us), (2, 60 * us), (1, 400 * us), (None, 5 * us)]
+    sec = lambda s: (86_400 + s) * 1_000_000
+    rows = [(1, sec(0)), (1, sec(100)), (1, sec(299)), (2, sec(50)), (1, sec(301)), (2, sec(60)), (1, sec(400)), (None, sec(5))]
     path = files(spark, tmp_path / "in", [rows[:4], rows[4:]], "key int, at long")
     stream = lambda: st.table_stream(spark, path)
     home = st.new_home(spark, "debounce")
-    st.upserted(st.debounced(stream(), "key", "at", 300 * us), home, ["key", "fired_at"])
+    st.upserted(st.debounced(stream(), "key", "at", 300_000_000), home, ["key", "fired_at"])
     got = sorted((tuple(r)[:4] for r in spark.read.parquet(f"{home}/log").select("key", "fired_at", "requested_at", "coalesced").collect()), key=repr)
-    want = [(1, 0, 0, 1), (1, 301 * us, 100 * us, 3), (2, 50 * us, 50 * us, 1), (None, 5 * us, 5 * us, 1)]
+    want = [(1, sec(0), sec(0), 1), (1, sec(301), sec(100), 3), (2, sec(50), sec(50), 1), (None, sec(5), sec(5), 1)]
     assert got == sorted(want, key=repr)
     home = st.new_home(spark, "flush")
-    st.appended(st.debounced(stream(), "key", "at", 300 * us, "0 seconds"), home)
-    files(spark, tmp_path / "in", [[(9, 5000 * us)]], "key int, at long")  # moves the watermark on
-    out = st.appended(st.debounced(stream(), "key", "at", 300 * us, "0 seconds"), home).collect()
-    assert sorted((tuple(r) for r in out), key=repr) == sorted([*want, (1, 601 * us, 400 * us, 1), (2, 350 * us, 60 * us, 1), (9, 5000 * us, 5000 * us, 1)], key=repr)
+    st.appended(st.debounced(stream(), "key", "at", 300_000_000, "0 seconds"), home)
+    files(spark, tmp_path / "in", [[(9, sec(5000))]], "key int, at long")  # moves the watermark on
+    out = st.appended(st.debounced(stream(), "key", "at", 300_000_000, "0 seconds"), home).collect()
+    assert sorted((tuple(r) for r in out), key=repr) == sorted([*want, (1, sec(601), sec(400), 1), (2, sec(350), sec(60), 1), (9, sec(5000), sec(5000), 1)], key=repr)
