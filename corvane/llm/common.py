@@ -38,11 +38,21 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corvane-{name}-{uuid.uuid4().hex}"
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    """Writes df and gives the table; the shuffle files behind it go with the write, not once the driver collects its garbage."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table written once in the shared folder: its lineage ends there, so lost executors cost no recomputation."""
-    path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _write(df, new_dir(df.sparkSession, name))
 
 
 class Scratch:
@@ -53,8 +63,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """What `written` gives, under a name that this run uses once."""
-        df.write.parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+        return _write(df, f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
         """Deletes tables whose readers have all been written themselves."""
