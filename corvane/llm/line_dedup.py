@@ -1,7 +1,7 @@
 """Line dedup by site-relative frequency: lines on too large a share of a host's pages are boilerplate of that host.
 
 Each page counts once for each of its distinct lines. A line of a host is dropped from all its pages if more than
-max_ratio of the host's pages have it and at least min_pages do. A page has L lines on average, so a host has at
+max_ratio of the host's pages have it and at least min_pages do (two: a line of one page is no repetition). A page has L lines on average, so a host has at
 most L / max_ratio such lines: the list that meets each page in the join is bounded whatever the host's size. Counts
 are pre-aggregated, and the join on the host is one that Spark splits where a host is hot.
 
@@ -36,7 +36,7 @@ def lines_of(text: Column, cut: str = "\n") -> Column:
     return F.array_remove(F.transform(F.split(F.coalesce(text, F.lit("")), cut), lambda x: F.btrim(x, F.lit(BLANK_ENDS))), "")
 
 
-def drop_boilerplate(pages: DataFrame, lines: Column, host: Column, max_ratio: float = 0.3, min_pages: int = 3) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, lines: Column, host: Column, max_ratio: float = 0.3, min_pages: int = 2) -> DataFrame:
     """pages with host, lines (the kept ones, in order) and n_lines (before)."""
     names = {n: free_name(pages, n) for n in ("host", "lines", "n_lines", "site_host", "site_common")}
     base = pages.withColumn(names["host"], host).withColumn(names["lines"], lines)

@@ -70,7 +70,7 @@ WITH p AS (
 e AS (SELECT r, host, unnest(list_distinct(ls)) AS l FROM p),
 n AS (SELECT host, l, count(*) AS n FROM e GROUP BY host, l),
 h AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
-b AS (SELECT n.host, list(l) AS bad FROM n JOIN h ON n.host IS NOT DISTINCT FROM h.host WHERE n >= 3 AND n > 0.3 * pages GROUP BY n.host),
+b AS (SELECT n.host, list(l) AS bad FROM n JOIN h ON n.host IS NOT DISTINCT FROM h.host WHERE n >= 2 AND n > 0.3 * pages GROUP BY n.host),
 k AS (SELECT page_id, p.host, len(ls)::BIGINT AS n_lines, CASE WHEN bad IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(bad, x)) END AS kept
       FROM p LEFT JOIN b ON p.host IS NOT DISTINCT FROM b.host)
 SELECT page_id, host, n_lines, len(kept)::BIGINT AS n_kept, md5(array_to_string(kept, chr(10))) AS kept_md5 FROM k
