@@ -236,6 +236,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "d
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("train", F.coalesce(train, F.lit(True)))
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("toxic")).where(F.coalesce(train, F.lit(False)) & F.col("toxic").isin(0, 1))
     known = written(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "known")
+    known = written(known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), "known")  # labels of documents that are there
     labelled = rows.join(known, "doc_id").select("text", "toxic")
     mined, n_toxic, n_clean = _mined(labelled, settings)
     share = n_toxic / max(n_toxic + n_clean, 1)
