@@ -43,6 +43,7 @@ class Settings:
     bundles: int = 1500
     classes: int = 64
     rounds: int = 9
+    least_gain: float = 1e-4
     counts_kept: int = 150_000
     mixture: float = 0.9
     class_prior: float = 5.0
@@ -95,12 +96,15 @@ def word_counts(texts: DataFrame, bundles: int, flush: int = 400_000) -> DataFra
 def _most_frequent(vocabulary: DataFrame, most: int, least: int) -> list:
     """(word, n) of words by falling count: all above the smallest count that at most `most` words have or exceed.
 
-    Counts of counts come first, so only words that are kept leave their tasks. Where that keeps fewer than `least` (very many words of
+    Counts of counts come first, so only words that are kept leave their tasks: counts are told apart up to 1024 and then by their
+    ten leading bits, so there are some thousand of them whatever the corpus. Where that keeps fewer than `least` (very many words of
     one count) the first `most` in order are taken.
     """
-    capped = vocabulary.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).collect()
-    floor, total = 10_001, 0
-    for r in sorted(capped, key=lambda r: -r.n):
+    spare = F.greatest(F.floor(F.log2("n")).cast("int") - 10, F.lit(0))
+    rough = F.call_function("shiftleft", F.call_function("shiftright", F.col("n"), spare), spare)
+    counts = vocabulary.groupBy(rough.alias("n")).agg(F.count(F.lit(1)).alias("words")).collect()
+    floor, total = 1 << 62, 0
+    for r in sorted(counts, key=lambda r: -r.n):
         total += r.words
         if total > most:
             break
@@ -260,8 +264,12 @@ def exchange(bigrams: DataFrame, counts: np.ndarray, settings: Settings, end: in
         return [(r.item, r.to) for r in profiles.where((F.col("item") != end) & (F.pmod("item", F.lit(3)) == turn % 3)).mapInArrow(look, "item int, to int").collect()]
 
     g = class_bigrams(classes)
-    best = (objective(g), classes, g)
+    best, last = (objective(g), classes, g), None
     for turn in range(settings.rounds):
+        if turn % 3 == 0:  # all items have been looked at since
+            if last is not None and best[0] - last <= settings.least_gain * abs(last):
+                break
+            last = best[0]
         todo = moves(classes, g, turn)
         classes = classes.copy()
         for item, to in todo:
