@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.shared import written
+
 
 def where_tree(tree: dict) -> Column:
     """A filter tree as a Column: {"$and": [..]}, {"$or": [..]}, {name: value} or {name: {"$gte": value, ...}}."""
@@ -99,3 +101,23 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: int, salt_b
     a = left.withColumn(salt, F.pmod(F.xxhash64(salt_by), F.lit(spread)).cast("int"))
     b = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     return a.join(b, [key, salt]).drop(salt)
+
+
+def exponential_mean(df: DataFrame, key: str, value: str, order: list[str], weight: float, out: str = "ema") -> DataFrame:
+    """(key, out): for each key the mean that moves by `weight` towards each next value, from its first value on; null values are passed over.
+
+    Order must tell a key's rows apart. The mean is a sum of values by powers of 1 - weight, so parts of a key can be summed alone and put together by the number of values after
+    them: rows are range-partitioned by key and order and written, and no task has more than one part, however many rows a key has.
+    """
+    left, rows = 1 - weight, df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("v"))
+    names = [f"o{i}" for i in range(len(order))]
+    parts = written(rows.repartitionByRange("k", *names).withColumn("part", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("part", "k")
+    back = parts.select("k", "part", "v", F.row_number().over(own.orderBy(*names)).alias("i"), F.count(F.lit(1)).over(own).alias("n"))
+    first = F.max(F.when(F.col("i") == 1, F.col("v") * F.pow(F.lit(left), F.col("n") - 1)))
+    sums = back.groupBy("k", "part").agg(F.sum(F.col("v") * weight * F.pow(F.lit(left), F.col("n") - F.col("i"))).alias("s"), first.alias("f"), F.count(F.lit(1)).alias("n"))  # a row for each part of a key
+    after = F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = sums.withColumn("after", after).withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy("part")))
+    # a key's very first value counts in full
+    whole = F.sum((F.col("s") + F.when(F.col("nth") == 1, F.col("f") * left).otherwise(0.0)) * F.pow(F.lit(left), F.col("after")))
+    return told.groupBy("k").agg(whole.alias(out)).withColumnRenamed("k", key)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
+from corvane.shared import new_dir, written
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -41,6 +44,119 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str,
     return hits.groupBy("q", "d").agg(F.sum(weight).alias("score")).withColumnsRenamed({"q": query_id, "d": doc_id})
 
 
+def _terms_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(d, t): a row for each row of docs with its tokens; a document without any has one of its own."""
+    t = tokens(F.coalesce(F.col(text), F.lit("")))
+    return docs.select(F.col(doc_id).alias("d"), F.when(F.size(t) == 0, F.array(F.lit("__empty__"))).otherwise(t).alias("t"))
+
+
+def bm25_top_k(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, k: int, text: str = "text", k1: float = 1.5, b: float = 0.75, digits: int = 6, block_terms: int = 200_000) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best rows of docs by BM25 for each query, ties by id; scores and formula are those of bm25_scores, rounded to `digits`.
+
+    Terms are counted once over all documents. Queries are dealt to blocks of some block_terms terms, written with their idf to the shared folder; a scan of
+    docs for each block scores documents batch by batch as a sparse product, and a task sends on only its k best rows for each query.
+    No row is made for a pair of a query and a document that isn't among these. Each row of docs is a document, whatever its id; rows of queries that share an id are one query.
+    """
+    if k1 <= 0 or not 0 <= b <= 1:
+        raise ValueError("k1 must be positive and b between 0 and 1")
+    spark, toks = docs.sparkSession, _terms_of(docs, doc_id, text)
+    seen = toks.select(F.size("t").alias("dl"), F.explode(F.array_append(F.array_distinct("t"), F.lit(None))).alias("term"))
+    seen = written(seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("length")), "terms")
+    total = seen.where("term IS NULL").first()
+    if total is None:
+        return spark.createDataFrame([], f"`{query_id}` {queries.schema[query_id].dataType.simpleString()}, `{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, score double, rank int")
+    n, avgdl = total["df"], total["length"] / total["df"]
+    raw = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = seen.where("term IS NOT NULL").select("term", raw.alias("raw"))
+    mean = known.agg(F.avg("raw")).first()[0]
+    asked = queries.select(F.col(query_id).alias("q"), F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("term")).distinct()
+    asked = asked.join(known, "term").select("q", "term", F.when(F.col("raw") < 0, 0.25 * mean).otherwise(F.col("raw")).alias("idf"))
+    size = asked.count()
+    blocks = max(1, -(-size // block_terms))
+    folder = new_dir(spark, "query-blocks")
+    asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).write.partitionBy("block").parquet(folder)
+    kind, name = queries.schema[query_id].dataType.simpleString(), docs.schema[doc_id].dataType.simpleString()
+
+    def scan(block: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import pyarrow.dataset as ds
+            from pyarrow import fs
+
+            system, path = fs.FileSystem.from_uri(f"{folder}/block={block}")
+            if system.get_file_info(path).type == fs.FileType.NotFound:
+                return
+            table = ds.dataset(path, filesystem=system, format="parquet").to_table(columns=["q", "term", "idf"])
+            query = table["q"].combine_chunks().dictionary_encode()
+            term = table["term"].combine_chunks().dictionary_encode()
+            names, vocabulary, of, idf = query.dictionary, term.dictionary, term.indices.to_numpy(), np.zeros(len(term.dictionary))
+            idf[of] = table["idf"].to_numpy()
+            order = np.argsort(of, kind="stable")
+            takers, times = query.indices.to_numpy()[order], np.bincount(of, minlength=len(vocabulary))
+            first = np.cumsum(times) - times
+            best: tuple = ()
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    batch = whole.slice(at, 512)
+                    lists = batch.column(1)
+                    cut = lists.offsets.to_numpy()
+                    dl = np.diff(cut)
+                    place = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1).to_numpy().astype(np.int64)
+                    row = np.repeat(np.arange(len(dl)), dl)[place >= 0]
+                    key, tf = np.unique(row * len(vocabulary) + place[place >= 0], return_counts=True)
+                    row, place = np.divmod(key, len(vocabulary))
+                    weight = idf[place] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
+                    n_hits = times[place]
+                    hit = np.arange(n_hits.sum()) - np.repeat(np.cumsum(n_hits) - n_hits, n_hits) + np.repeat(first[place], n_hits)
+                    pair = takers[hit].astype(np.int64) * len(dl) + np.repeat(row, n_hits)
+                    found, inverse = np.unique(pair, return_inverse=True)
+                    score = np.round(np.bincount(inverse, weights=np.repeat(weight, n_hits), minlength=len(found)), digits) + 0.0
+                    q, r = np.divmod(found, len(dl))
+                    best = _kept(best, (q, batch.column(0).take(pa.array(r)), score), k)
+            if best:
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(best[0])), best[1], pa.array(best[2])], names=["q", "d", "s"])
+
+        return toks.mapInArrow(run, f"q {kind}, d {name}, s double")
+
+    out = scan(0)
+    for block in range(1, blocks):
+        out = out.unionByName(scan(block))
+    return top_k(out.toDF(query_id, doc_id, "score"), [query_id], [F.desc("score"), F.asc_nulls_last(doc_id)], k)
+
+
+def _kept(best: tuple, new: tuple, k: int) -> tuple:
+    """(query, id, score) of the k best of each query of two such triples, by falling score, then id."""
+    if best:
+        new = (np.concatenate([best[0], new[0]]), pa.concat_arrays([best[1], new[1]]), np.concatenate([best[2], new[2]]))
+    q, ids, score = new
+    rank = pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy() if len(ids) else np.empty(0)
+    order = np.lexsort((rank, -score, q))
+    nth = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+    order = order[nth < k]
+    return q[order], ids.take(pa.array(order)), score[order]
+
+
+def hashed_vectors(docs: DataFrame, doc_id: str, text: str = "text", size: int = 64, vector: str = "embedding") -> DataFrame:
+    """(doc_id, vector): the offline default embedder. A text's vector has, for each of `size` slots, how many of its tokens fall there, by the first 32 bits of their md5; null texts have none."""
+    name = docs.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column(1).flatten().dictionary_encode()
+            slot = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % size for w in coded.dictionary.to_pylist()], dtype=np.int64)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
+            counts = np.bincount(row * size + slot[coded.indices.to_numpy()] if len(row) else row, minlength=batch.num_rows * size)[: batch.num_rows * size].astype(np.float64)
+            lists = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * size, pa.array(counts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["d", "v"])
+
+    toks = docs.select(F.col(doc_id).alias("d"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    return toks.mapInArrow(run, f"d {name}, v array<double>").toDF(doc_id, vector)
+
+
+def reranked(hits: DataFrame, score: Column, query_id: str, doc_id: str, k: int, original: str = "original_rank") -> DataFrame:
+    """hits with `rerank_score` and `rank`: the k best of each query by score (a Column over the hits), ties by their rank so far, which stays in `original`."""
+    return top_k(hits.withColumn("rerank_score", score), [query_id], [F.desc_nulls_last("rerank_score"), F.col(original), F.col(doc_id)], k)
+
+
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group by order, with their 0-based rank."""
     first = df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
@@ -50,7 +166,8 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
 def _scored(base: DataFrame, queries: DataFrame, pick: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], vec_id: str, query_id: str, vector: str, block_bytes: int) -> DataFrame:
     """(query_id, vec_id, similarity) of the pairs that `pick` takes of a matrix of cosines (rows by queries, 6 digits) and its row ids.
 
-    Queries are a stated set. They are read in blocks of at most block_bytes, each sent to tasks and met by one scan of base.
+    Queries are a stated set. They are read in blocks of at most block_bytes, each sent to tasks and met by one scan of base. Vectors that are null, empty or hold a null,
+    NaN or infinity take no part, on either side, nor do those of another length than the first query's.
     """
     spark = base.sparkSession
     id_type = queries.select(query_id).limit(0).toArrow().schema.field(0).type
@@ -73,11 +190,13 @@ def _scored(base: DataFrame, queries: DataFrame, pick: Callable[[np.ndarray, np.
                     r, q = pick(sim, batch.column(0).to_numpy(zero_copy_only=False))
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(0).take(pa.array(r)), pa.array(sim[r, q])], names=["q", "v", "s"])
 
-        rows = base.where(F.col(vector).isNotNull()).select(F.col(vec_id), F.col(vector)).mapInArrow(run, f"q {kinds[1]}, v {kinds[0]}, s double")
+        rows = base.where(fit & (F.size(vector) == vectors.shape[1])).select(F.col(vec_id), F.col(vector)).mapInArrow(run, f"q {kinds[1]}, v {kinds[0]}, s double")
         return rows.toDF(query_id, vec_id, "similarity")
 
+    fit = F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     out, ids, held, size = None, [], [], 0
-    for row in queries.where(F.col(vector).isNotNull()).select(query_id, vector).toLocalIterator():
+    first = queries.where(fit).select(F.size(vector)).first()
+    for row in queries.where(fit & (F.size(vector) == (first[0] if first else 0))).select(query_id, vector).toLocalIterator():
         ids.append(row[0])
         held.append(row[1])
         size += 8 * len(row[1])

@@ -144,25 +144,25 @@ def most_common(s, d):
     return t(s, d, "part").groupBy("p_type").agg(n()).orderBy(F.desc("n"), "p_type").limit(3)
 
 
-EMA = "WITH r AS (SELECT event_type, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY event_type) AS k FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)), h AS (SELECT event_type, count(*)::BIGINT AS calls, round(sum(value * pow(0.7, k - i) * CASE WHEN i = 1 THEN 1 ELSE 0.3 END), 5) AS ema FROM r WHERE k - i < 400 GROUP BY 1)"
+# How a user's (or a kind's) events do: the mean of values moves by 0.3 towards each next one, errors left out of it but not of the count.
+_EMA = """r AS (SELECT {0} AS key, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY {0}) AS k FROM events WHERE value IS NOT NULL{1} WINDOW w AS (PARTITION BY {0} ORDER BY ts, event_id)),
+h AS (SELECT key, round(sum(value * pow(0.7, k - i) * CASE WHEN i = 1 THEN 1 ELSE 0.3 END), 5) AS ema FROM r GROUP BY 1)"""
 
 
-def _health(s, d):
-    """Calls and exponential mean (0.3 for the newest value) by event type, as a weighted sum; weights 400 steps back are nothing."""
-    own = W.partitionBy("event_type")
-    r = t(s, d, "events").where("value IS NOT NULL").withColumn("i", F.row_number().over(own.orderBy("ts", "event_id"))).withColumn("back", F.count(F.lit(1)).over(own) - F.col("i"))
-    weight = F.pow(F.lit(0.7), F.col("back")) * F.when(F.col("i") == 1, 1.0).otherwise(0.3)
-    return r.where("back < 400").groupBy("event_type").agg(n().alias("calls"), F.round(F.sum(F.col("value") * weight), 5).alias("ema"))
+def _ema(events, key):
+    return rel.exponential_mean(events, key, "value", ["ts", "event_id"], 0.3).withColumn("ema", F.round("ema", 5))
 
 
-@query("g34_process_health", f"{EMA} SELECT * FROM h")
+@query("g34_process_health", f"WITH {_EMA.format('user_id', chr(32) + 'AND event_type <> ' + chr(39) + 'error' + chr(39))} SELECT user_id, count(*)::BIGINT AS calls, round(avg((event_type = 'error')::INT), 4) AS error_rate, any_value(ema) AS ema FROM events LEFT JOIN h ON key = user_id GROUP BY user_id")
 def health(s, d):
-    return _health(s, d)
+    events = t(s, d, "events")
+    calls = events.groupBy("user_id").agg(n().alias("calls"), F.round(F.avg((F.col("event_type") == "error").cast("int")), 4).alias("error_rate"))
+    return calls.join(_ema(events.where("event_type <> 'error'"), "user_id"), "user_id", "left")
 
 
-@query("f33_pool_score", f"{EMA} SELECT event_type, round(0.5 * ema + 0.5 * length(event_type) + 10 * (event_type = 'error')::INT, 4) AS score FROM h")
+@query("f33_pool_score", f"WITH {_EMA.format('event_type', '')} SELECT key AS event_type, round(0.5 * ema + 0.5 * length(key) + 10 * (key = 'error')::INT, 4) AS score FROM h")
 def pool_score(s, d):
-    return _health(s, d).select("event_type", F.round(0.5 * F.col("ema") + 0.5 * F.length("event_type") + 10 * (F.col("event_type") == "error").cast("int"), 4).alias("score"))
+    return _ema(t(s, d, "events"), "event_type").select("event_type", F.round(0.5 * F.col("ema") + 0.5 * F.length("event_type") + 10 * (F.col("event_type") == "error").cast("int"), 4).alias("score"))
 
 
 @query("g36_run_history", "SELECT user_id, min(CASE WHEN event_type = 'view' THEN ts END) AS first_view, arg_max(event_type, ts) AS state FROM events GROUP BY user_id")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.catalog import query
-from corvane.functions.text import ascii_words, fixed_chunks, jaccard, redacted, tokens, word_chunks
+from corvane.functions.text import ascii_words, fixed_chunks, redacted, tokens, word_chunks
 from corvane.operators import retrieval as R
+from corvane.operators.similar import jaccard_links
 from corvane.sources.tables import table
 
 _TOK = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]([\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}.]*[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}])?')"
@@ -23,14 +24,13 @@ r AS (SELECT item_id, doc_id, round(score, 6) AS score FROM sc)
 """
 
 
-def _bm25(spark, d):
-    out = R.bm25_scores(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id")
-    return out.withColumn("score", F.round("score", 6))
+def _bm25(spark, d, k):
+    return R.bm25_top_k(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", k)
 
 
 @query("c01_bm25_search", _BM25 + "SELECT item_id, doc_id, score, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1)::INT AS rank FROM r QUALIFY rank < 10")
 def bm25_search(spark, d):
-    return R.top_k(_bm25(spark, d), ["item_id"], [F.desc("score"), F.col("doc_id")], 10)
+    return _bm25(spark, d, 10)
 
 
 @query("g22_bm25_corpus_stats", _BM25 + "SELECT count(*)::BIGINT AS terms, round(sum(raw), 3) AS raw_sum, round(max(raw), 6) AS raw_max FROM df")
@@ -72,17 +72,6 @@ def similarity_filter(spark, d):
     return near.groupBy("query_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("c02_rrf_fusion", _BM25 + """, l AS (SELECT item_id AS query_id, doc_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1) AS rank FROM r QUALIFY rank < 10
- UNION ALL SELECT item_id, doc_id, (row_number() OVER (PARTITION BY item_id ORDER BY doc_id) - 1) AS rank FROM r QUALIFY rank < 10)
-SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf, count(*)::BIGINT AS appearances FROM l GROUP BY ALL""")
-def rrf_fusion(spark, d):
-    scored = _bm25(spark, d).withColumnRenamed("item_id", "query_id")
-    by_score = R.top_k(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], 10)
-    by_id = R.top_k(scored, ["query_id"], [F.col("doc_id")], 10)
-    out = R.rrf(by_score.select("query_id", "doc_id", "rank").unionByName(by_id.select("query_id", "doc_id", "rank")), "query_id", "doc_id")
-    return out.withColumn("rrf", F.round("rrf", 9))
-
-
 @query("c03_mmr")
 def mmr(spark, d):
     near = _vectors(spark, d).join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id")
@@ -130,23 +119,12 @@ def redaction(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(redacted(F.col("text"))).alias("clean_md5"), F.regexp_count(redacted(F.col("text")), F.lit(r"\[REDACTED\]")).cast("long").alias("n_secrets"))
 
 
-@query("u05_word_jaccard", """WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark)
-SELECT a.item_id AS a, b.item_id AS b, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 0.0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END, 9) AS jaccard
-FROM w a JOIN w b ON a.item_id + 1 = b.item_id""")
+@query("u05_word_jaccard", """WITH w AS MATERIALIZED (SELECT doc_id, lang, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM documents), u AS (SELECT doc_id, lang, len(w) AS n, unnest(w) AS word FROM w),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS c FROM u x JOIN u y ON x.word = y.word AND x.lang IS NOT DISTINCT FROM y.lang AND x.doc_id < y.doc_id GROUP BY ALL)
+SELECT a, b, round(c / (na + nb - c), 9) AS jaccard FROM c WHERE 100 * c >= 80 * (na + nb - c)""")
 def word_jaccard(spark, d):
-    w = table(spark, d, "benchmark").select("item_id", F.array_distinct(ascii_words(F.col("text"))).alias("w"))
-    a, b = w.select(F.col("item_id").alias("a"), F.col("w").alias("wa")), w.select(F.col("item_id").alias("b"), F.col("w").alias("wb"))
-    return a.join(b, F.col("a") + 1 == F.col("b")).select("a", "b", F.round(jaccard(F.col("wa"), F.col("wb")), 9).alias("jaccard"))
-
-
-@query("u05_word_jaccard_pairs", """WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark)
-SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 9) AS jaccard
-FROM w a JOIN w b ON a.item_id < b.item_id WHERE list_has_any(a.w, b.w)""")
-def word_jaccard_pairs(spark, d):
-    w = table(spark, d, "benchmark").select("item_id", F.array_distinct(ascii_words(F.col("text"))).alias("w")).select("item_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    a, b = (w.select(F.col("item_id").alias(x), F.col("n").alias(f"n_{x}"), "word") for x in "ab")
-    both = a.join(b, "word").where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("n"))
-    return both.select("a", "b", F.round(F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n")), 9).alias("jaccard"))
+    w = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), ascii_words(F.coalesce(F.col("text"), F.lit(""))).alias("w"))
+    return jaccard_links(w, "doc_id", "w", 80, ["lang"]).select("a", "b", F.round(F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common")), 9).alias("jaccard"))
 
 
 @query("g24_nearest_prototype", """WITH p AS (SELECT label, min(vec_id) AS p FROM embeddings GROUP BY label), s AS (
@@ -159,33 +137,68 @@ def nearest_prototype(spark, d):
     return best.select("vec_id", F.col("query_id").alias("proto"), F.col("similarity").alias("sim"))
 
 
-_HYBRID = _BM25 + """, ve AS (SELECT doc_id, [n_chars / 1000.0, doc_id % 7, doc_id % 11 - 5, length(lang)]::DOUBLE[] AS v FROM documents), vq AS (SELECT item_id, [length(text) / 1000.0, item_id % 7, item_id % 11 - 5, 2]::DOUBLE[] AS v FROM benchmark),
-vs AS (SELECT item_id, doc_id, round(list_cosine_similarity(ve.v, vq.v), 6) AS similarity FROM ve, vq),
-vl AS (SELECT item_id, doc_id, 's' AS list, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) - 1 AS rank FROM vs QUALIFY rank < 20
- UNION ALL SELECT item_id, doc_id, 'b', row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 FROM r QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20),
-vf AS (SELECT item_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf, max(rank) FILTER (WHERE list = 's')::INT AS semantic_rank, max(rank) FILTER (WHERE list = 'b')::INT AS bm25_rank FROM vl GROUP BY 1, 2),
-h AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, semantic_rank NULLS LAST, bm25_rank NULLS LAST, doc_id) - 1)::INT AS original_rank FROM vf QUALIFY original_rank < 10)
+# Hashed term vectors stand in for a model's: how many tokens of a text fall into each of 64 slots, by the first 32 bits of their md5.
+_SLOT = "(('0x' || substr(md5(term), 1, 8))::BIGINT % 64)"
+_FUSED = _BM25 + f""", hd AS (SELECT doc_id, {_SLOT} AS slot, count(*)::DOUBLE AS c FROM e WHERE term <> '__empty__' GROUP BY ALL), hq AS (SELECT item_id, {_SLOT} AS slot, count(*)::DOUBLE AS c FROM (SELECT item_id, unnest({_TOK.format('text')}) AS term FROM benchmark) GROUP BY ALL),
+nd AS (SELECT doc_id, sqrt(sum(c * c)) AS n FROM hd GROUP BY 1), nq AS (SELECT item_id, sqrt(sum(c * c)) AS n FROM hq GROUP BY 1), dots AS (SELECT item_id, doc_id, sum(hd.c * hq.c) AS dot FROM hd JOIN hq USING (slot) GROUP BY ALL),
+vs AS (SELECT i.item_id, x.doc_id, coalesce(round(dot / (nd.n * nq.n), 6), 0) AS similarity FROM benchmark i CROSS JOIN documents x LEFT JOIN dots USING (item_id, doc_id) LEFT JOIN nd USING (doc_id) LEFT JOIN nq USING (item_id)),
+vl AS (SELECT item_id, doc_id, 's' AS list, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) - 1 AS rank FROM vs QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) <= 20
+ UNION ALL SELECT item_id, doc_id, 'b', row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 FROM r QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20)
+"""
+_HYBRID = _FUSED + """, vf AS (SELECT item_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf, max(rank) FILTER (WHERE list = 's')::INT AS semantic_rank, max(rank) FILTER (WHERE list = 'b')::INT AS bm25_rank FROM vl GROUP BY 1, 2),
+h AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, semantic_rank NULLS LAST, bm25_rank NULLS LAST, doc_id) - 1)::INT AS original_rank FROM vf QUALIFY original_rank < @K)
 """
 
 
-def _hybrid(spark, d):
-    """Documents by a vector list and a BM25 list, fused; the vectors stand in for a model's, as the tables hold none for texts."""
+def _lists(spark, d):
+    """The 20 best documents of each item by hashed term vectors, and by BM25."""
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    vec = lambda size, i, tail: F.array(*[x.cast("double") for x in (size / 1000.0, i % 7, i % 11 - 5, tail)]).alias("embedding")
-    base = docs.select("doc_id", vec(F.col("n_chars"), F.col("doc_id"), F.length("lang")))
-    asked = items.select("item_id", vec(F.length("text"), F.col("item_id"), F.lit(2)))
-    semantic = R.vector_top_k(base, asked, 20, vec_id="doc_id", query_id="item_id").select("item_id", "doc_id", "rank", F.lit("s").alias("list"))
-    lexical = R.top_k(_bm25(spark, d), ["item_id"], [F.desc("score"), F.col("doc_id")], 20).select("item_id", "doc_id", "rank", F.lit("b").alias("list"))
-    return R.hybrid(semantic, lexical, "item_id", "doc_id", 10)
+    semantic = R.vector_top_k(R.hashed_vectors(docs, "doc_id"), R.hashed_vectors(items, "item_id"), 20, vec_id="doc_id", query_id="item_id")
+    return semantic.select("item_id", "doc_id", "rank"), _bm25(spark, d, 20).select("item_id", "doc_id", "rank")
+
+
+@query("c02_rrf_fusion", _FUSED + "SELECT item_id AS query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf, count(*)::BIGINT AS appearances FROM vl GROUP BY ALL")
+def rrf_fusion(spark, d):
+    semantic, lexical = _lists(spark, d)
+    return R.rrf(semantic.unionByName(lexical), "item_id", "doc_id").withColumn("rrf", F.round("rrf", 9)).withColumnRenamed("item_id", "query_id")
+
+
+def _hybrid(spark, d, k=10):
+    return R.hybrid(*_lists(spark, d), "item_id", "doc_id", k)
+
+
+# What a cross-encoder's place is taken by: the share of an item's word pairs that the document has, then of its words.
+_PAIRS = "list_distinct(list_transform(range(1, len(t{0})), lambda i: t{0}[i] || ' ' || t{0}[i + 1]))"
+_RERANK = f""", tt AS (SELECT h.*, {_TOK.format('b.text')} AS tq, {_TOK.format('x.text')} AS td FROM h JOIN documents x USING (doc_id) JOIN benchmark b USING (item_id)),
+rr AS (SELECT item_id, doc_id, original_rank, round(coalesce(len(list_intersect({_PAIRS.format('q')}, {_PAIRS.format('d')})) / nullif(len({_PAIRS.format('q')}), 0)::DOUBLE, 0) + 0.001 * coalesce(len(list_intersect(tq, td)) / nullif(len(list_distinct(tq)), 0)::DOUBLE, 0), 6) AS rerank_score FROM tt)
+SELECT item_id, doc_id, original_rank, rerank_score, (row_number() OVER (PARTITION BY item_id ORDER BY rerank_score DESC, original_rank, doc_id) - 1)::INT AS rank FROM rr QUALIFY rank < @K"""
+
+
+def _overlap(query, doc):
+    """The offline default scorer of a pair of texts, as Columns: any other Column over the hits, a pandas UDF with a model too, can take its place."""
+    q, t = tokens(F.coalesce(query, F.lit(""))), tokens(F.coalesce(doc, F.lit("")))
+    pairs = lambda x: F.array_distinct(F.zip_with(F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
+    share = lambda a, b: F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_distinct(a))), F.lit(0.0))
+    return F.round(share(pairs(q), pairs(t)) + 0.001 * share(q, t), 6)
+
+
+def _reranked(spark, d, fetch, k):
+    texts = _hybrid(spark, d, fetch).join(table(spark, d, "documents").select("doc_id", F.col("text").alias("doc")), "doc_id").join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("asked")), "item_id")
+    return R.reranked(texts, _overlap(F.col("asked"), F.col("doc")), "item_id", "doc_id", k).select("item_id", "doc_id", "original_rank", "rerank_score", "rank")
+
+
+@query("t05_rerank", _HYBRID.replace("@K", "10") + _RERANK.replace("@K", "10"))
+def rerank(spark, d):
+    """All ten hits of the hybrid search in the reranker's order."""
+    return _reranked(spark, d, 10, 10)
 
 
-@query("c02_hybrid_search", _HYBRID + "SELECT * FROM h")
+@query("c02_hybrid_search", _HYBRID.replace("@K", "10") + "SELECT * FROM h")
 def hybrid_search(spark, d):
     return _hybrid(spark, d)
 
 
-@query("c04_three_stage", _HYBRID + "SELECT item_id, doc_id, original_rank, (row_number() OVER (PARTITION BY item_id ORDER BY n_chars, doc_id) - 1)::INT AS rank FROM h JOIN documents USING (doc_id) QUALIFY rank < 5")
+@query("c04_three_stage", _HYBRID.replace("@K", "20") + _RERANK.replace("@K", "5"))
 def three_stage(spark, d):
-    """Hybrid search, then a reranker (here by text length) over its bounded hits; original_rank stays."""
-    hits = _hybrid(spark, d).join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return R.top_k(hits, ["item_id"], [F.col("n_chars"), F.col("doc_id")], 5).select("item_id", "doc_id", "original_rank", "rank")
+    """Hybrid search for 20 hits, of which the reranker keeps 5."""
+    return _reranked(spark, d, 20, 5)

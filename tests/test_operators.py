@@ -176,3 +176,45 @@ def test_vectors_in_blocks(spark):
     best = {r.vec_id: r.query_id for r in R.nearest_query(base, asked, block_bytes=90).collect()}
     assert best == {i: min(range(8, 60, 10), key=lambda q: (-sim[i, q], q)) for i in range(60)}
     assert R.vector_top_k(base, asked.limit(0), 3).count() == 0
+
+
+def test_bm25_top_k_is_the_head_of_all_scores(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choice("abcdefghij") * rng.randrange(1, 3) for _ in range(rng.randrange(0, 12)))
+    docs = spark.createDataFrame([(i, text()) for i in range(60)] + [(60, None), (None, "a b")], "id long, text string").repartition(3)
+    asked = spark.createDataFrame([(i, text()) for i in range(9)] + [(9, None), (3, "jj")], "q long, text string")
+    merged = asked.groupBy("q").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))  # rows of one id are one query
+    scores = R.bm25_scores(docs, merged, "id", "q").withColumn("score", F.round("score", 6))
+    want = sorted(((r.q, r.id, r.score, r["rank"]) for r in R.top_k(scores, ["q"], [F.desc("score"), F.asc_nulls_last("id")], 5).collect()), key=repr)
+    for block in (200_000, 3):
+        assert sorted(((r.q, r.id, r.score, r["rank"]) for r in R.bm25_top_k(docs, asked, "id", "q", 5, block_terms=block).collect()), key=repr) == want
+    assert R.bm25_top_k(docs.limit(0), asked, "id", "q", 5).count() == 0 and R.bm25_top_k(docs, asked.limit(0), "id", "q", 5).count() == 0
+
+
+def test_odd_vectors_take_no_part(spark):
+    base = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, None]), (3, None), (4, [1.0, 2.0, 3.0]), (5, [float("nan"), 0.0]), (6, [0.0, 1.0]), (7, [])], "vec_id long, embedding array<double>")
+    asked = base.withColumnRenamed("vec_id", "query_id")
+    got = R.vector_top_k(base, asked.where("query_id <> 4"), 9).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id, r.similarity) for r in got] == [(1, 1, 1.0), (1, 6, 0.0), (6, 6, 1.0), (6, 1, 0.0)]
+
+
+def test_hashed_vectors_and_rerank(spark):
+    import hashlib
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "")], "id long, text string")
+    got = {r["id"]: r["embedding"] for r in R.hashed_vectors(docs, "id", size=8).collect()}
+    slot = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8
+    assert got == {1: [2.0 * (slot("a") == i) + (slot("b") == i) for i in range(8)], 2: [0.0] * 8, 3: [0.0] * 8}
+    hits = spark.createDataFrame([(1, 10, 0, 0.5), (1, 11, 1, 0.9), (1, 12, 2, 0.5), (1, 13, 3, None)], "q long, d long, original_rank int, s double")
+    assert [(r.d, r.original_rank, r["rank"]) for r in R.reranked(hits, F.col("s"), "q", "d", 3).orderBy("rank").collect()] == [(11, 1, 0), (10, 0, 1), (12, 2, 2)]
+
+
+def test_exponential_mean_equals_the_loop(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([1, 2, None]), i, None if rng.random() < 0.1 else rng.uniform(0, 9)) for i in range(900)] + [(9, 0, 4.0), (8, 0, None)]
+    got = {r["key"]: r["ema"] for r in rel.exponential_mean(spark.createDataFrame(rows, "key int, at int, v double").repartition(4), "key", "v", ["at"], 0.3).collect()}
+    want = {}
+    for k, _, v in sorted(rows, key=lambda r: r[1]):
+        if v is not None:
+            want[k] = v if k not in want else want[k] + 0.3 * (v - want[k])
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
