@@ -272,3 +272,28 @@ def hashed_embedding(words: Column, size: int = 64) -> Column:
     """Offline default embedder: counts of words by hash; deterministic, without a model."""
     slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float"))
+
+
+def hottest(accesses: DataFrame, item: str, at: str, most: int = 32) -> DataFrame:
+    """(item) of the `most` items that were accessed last, ties to the greater item: what a memory of that size holds whose least recently used item goes first."""
+    return accesses.groupBy(item).agg(F.max(at).alias("last")).orderBy(F.desc("last"), F.desc(item)).limit(most).select(item)
+
+
+def tiered(items: DataFrame, hot: DataFrame, queries: DataFrame, item: str, query_id: str, tier: str, k: int, text: str = "text") -> DataFrame:
+    """(query_id, item, tier, score, rank): the k best items for each query over three tiers. Hot items (at most some dozen, broadcast) score the share of a query's words of three letters or more that they have,
+    1 if they have the whole query, and 0.2 more; warm and cold ones, by the column `tier`, their cosine by hashed term vectors, cold ones 0.1 less; 2 * k of either tier are looked at. An item found in more
+    than one way counts with its best score; ties go by item."""
+    words = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)), lambda w: F.length(w) >= 3))
+    asked = queries.select(F.col(query_id).alias("q"), F.coalesce(F.col(text), F.lit("")).alias("query_text")).where(F.trim("query_text") != "")
+    held = items.join(F.broadcast(hot.select(item)), item, "left_semi").select(F.col(item).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("item_text"))
+    both = asked.crossJoin(F.broadcast(held))  # a few rows beside each query
+    share = F.size(F.array_intersect(words(F.col("query_text")), words(F.col("item_text")))) / F.greatest(F.size(words(F.col("query_text"))), F.lit(1))
+    lexical = F.when(F.contains(F.lower("item_text"), F.lower("query_text")), 1.0).otherwise(share)
+    found = both.select("q", "i", F.lit("hot").alias("t"), (lexical + 0.2).alias("s"), lexical.alias("raw")).where("raw > 0").drop("raw")
+    vectors = hashed_vectors(queries.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != ""), query_id, text)
+    for name, more in (("warm", 0.0), ("cold", -0.1)):
+        base = hashed_vectors(items.where(F.col(tier) == name), item, text)
+        near = vector_top_k(base, vectors, 2 * k, vec_id=item, query_id=query_id)
+        found = found.unionByName(near.select(F.col(query_id).alias("q"), F.col(item).alias("i"), F.lit(name).alias("t"), (F.greatest("similarity", F.lit(0.0)) + more).alias("s")))
+    best = found.groupBy("q", "i").agg(F.max(F.struct(F.round("s", 6).alias("s"), "t")).alias("b")).select(F.col("q").alias(query_id), F.col("i").alias(item), F.col("b.t").alias("tier"), F.col("b.s").alias("score"))
+    return top_k(best, [query_id], [F.desc("score"), F.col(item)], k)
