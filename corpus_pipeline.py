@@ -9,27 +9,27 @@ from corvane.llm.common import new_dir, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects. Null and empty texts have too few words and go; repeated rows stay or go together; other columns stay."""
     return quality_rules.keep_good(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows linked by 5-word shingles at Jaccard 0.8 or more, the one with the smallest id; null ids come last."""
+    """Of rows linked by 5-word shingles at Jaccard 0.8 or more, the one with the smallest id; null ids come last, and of rows alike one stays. Texts without words are linked with nothing but their own repeated rows."""
     return jaccard_join.first_of_groups(docs, width=5, num=80, den=100)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no segment of a benchmark item."""
+    """Documents that hold no segment of a benchmark item. Null and empty texts and items hold nothing and stay; repeated rows and null ids are judged row by row."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them (weights 3, 1, 2 in turn, one and a half times the words, two epochs at most)."""
+    """Documents as often as the mix of sources takes them (weights 3, 1, 2 in turn, one and a half times the words, two epochs at most). Null is a source of its own, the last; null and empty texts have no words and aren't taken; repeated rows are documents of their own."""
     return mixing.mixed_documents(docs, weights=(3, 1, 2), share=1.5, max_epochs=2)
 
 
 def token_index(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix; the rows are what the files have of each document."""
+    """Token files of the mix; the rows are what the files have of each document, in order of ids, null ids first. An empty mix gives no file and no row."""
     import public_tokenizers
 
     manifest = token_files.write_tokens(docs, new_dir(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
