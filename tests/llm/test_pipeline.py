@@ -104,3 +104,21 @@ def test_one_row_of_each_group_stays(spark):
         of_c, of_e = ([x for x in got if x[1] in (t, near(t))] for t in (c, e))
         assert len(of_c) == len(of_e) == 1 and of_c[0][0] == "None" and of_e[0][0] == "8"
         assert [x for x in got if x not in of_c + of_e] == sorted([("1", a), ("1", near(b)), ("7", near(d)), ("9", ""), ("None", "")])
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choices(WORDS, k=n))
+    a, b, c, d = (say(90) for _ in range(4))
+    rows = [(1, a), (1, a), (None, b), (None, b + " more"), (3, c), (None, d), (4, ""), (None, None), (5, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, words int, measures string, component_id long, row_key string, tokens string"
+    spark.createDataFrame([(i, t, "en", None, 1, 7, "m", 9, "k", "t") for i, t in rows], schema).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    spark.createDataFrame([(1, c), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/odd/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    # of a, of b and its near copy, and of d one row each; c is leaked, the others are too short; the mix takes each one and a half times
+    assert sorted({r.doc_id for r in got}, key=str) == [1, None] and sum(r.doc_id == 1 for r in got) <= 2 and len(got) in (4, 5, 6)
+    ends = sorted((r.start, r.start + r.n_tokens) for r in got)
+    assert ends[0][0] == 0 and all(x[1] == y[0] for x, y in zip(ends, ends[1:]))
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/empty/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
