@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, components, free_name, slices, written
+from corvane.llm.common import Scratch, components, free_name, maybe_among, slices, written
 
 #: Shingles are told apart as common or not by their first 24 bits.
 _SLOT = np.uint64(40)
@@ -394,8 +394,8 @@ def jaccard_groups(docs: DataFrame, width: int, num: int, den: int, doc_id: str
     spread = dense.where("kept").join(hubs, "h").select(F.col("node").alias("a"), "b")
     areas = scratch.write(components(probed.select("a", "b").union(spread)), "areas")
     wanted = scratch.write(areas.join(classes.select("node", "first_id", "digest", "n"), "node").withColumnRenamed("component", "area"), "wanted")
-    firsts = wanted.select("first_id").distinct()
-    texts = rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    # most texts are in no area: these are left out where they are read, so that they travel nowhere
+    texts = rows.where(maybe_among(wanted, "first_id")(F.col("doc_id")))
     sets = texts.select("text").mapInArrow(_full_sets(width), "digest binary, shingles binary").join(wanted.select("digest", "node"), "digest")
     sets = scratch.write(sets.dropDuplicates(["node"]).select("node", "shingles"), "sets")
     fits = wanted.groupBy("area").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
@@ -469,6 +469,10 @@ def first_of_groups(docs: DataFrame, width: int, num: int, den: int, doc_id: str
     judged = ranked.join(first, F.col("row_of") == F.col("first_of"), "left")
     # few rows are neither: a group's others, and firsts that are there more than once
     marked = written(judged.where("first_of IS NULL OR copies > 1").select("row_of", F.col("first_of").isNotNull().alias("repeated")), "others")
-    alone = keyed.join(marked, F.col(mark) == F.col("row_of"), "left_anti")
-    repeated = keyed.join(marked.where("repeated"), F.col(mark) == F.col("row_of"), "left_semi").dropDuplicates([mark])
-    return alone.unionByName(repeated).drop(mark)
+    # and only rows that may be among them travel
+    told = free_name(keyed, "row_told")
+    split = keyed.withColumn(told, maybe_among(marked, "row_of")(F.col(mark)))
+    met = split.where(F.col(told)).drop(told)
+    alone = met.join(marked, F.col(mark) == F.col("row_of"), "left_anti")
+    repeated = met.join(marked.where("repeated"), F.col(mark) == F.col("row_of"), "left_semi").dropDuplicates([mark])
+    return split.where(~F.col(told)).drop(told).unionByName(alone).unionByName(repeated).drop(mark)
