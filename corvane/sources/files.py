@@ -114,7 +114,10 @@ def numbered_lines(spark: SparkSession, path: str, range_bytes: int = 32 << 20)
 def audited_entries(spark: SparkSession, path: str, schema: str, range_bytes: int = 32 << 20) -> DataFrame:
     """(path, line_no, line, entry, bad): JSON lines parsed to a struct; blank ones are left out but counted, and bad tells those that aren't JSON objects."""
     rows = numbered_lines(spark, path, range_bytes).where(F.trim("line") != "")
-    object_ = F.coalesce(F.schema_of_variant(F.try_parse_json("line")).startswith("OBJECT"), F.lit(False))
+    # inside brackets, what follows a document makes the line invalid or a second element; by itself the parser would pass over it
+    whole = F.try_parse_json(F.concat(F.lit("["), F.col("line"), F.lit("]")))
+    first, second = F.variant_get(whole, "$[0]", "variant"), F.variant_get(whole, "$[1]", "variant")
+    object_ = F.coalesce(F.schema_of_variant(first).startswith("OBJECT"), F.lit(False)) & second.isNull()
     return rows.withColumn("bad", ~object_).withColumn("entry", F.when(~F.col("bad"), F.from_json("line", schema))).select("path", "line_no", "line", "entry", "bad")
 
 

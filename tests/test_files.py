@@ -45,6 +45,9 @@ def test_audit_and_strict_name_bad_lines(spark, folder):
     rows = audited_entries(spark, f"file://{folder}/a.jsonl", "x int, y string", 16).orderBy("line_no").collect()
     assert [(r["line_no"], r["bad"], r["entry"] and r["entry"]["x"]) for r in rows] == [(1, False, 1), (3, False, 2), (4, True, None), (5, True, None), (7, False, 3)]
     assert strict_entries(spark, f"file://{folder}/b.jsonl", "x int").collect()[0]["line_no"] == 6
+    odd = ['{"x": 5}}', '{"x": 5} tail', '{"x": 5},{"x": 6}', '{"x": 5},null', '"x"', "null", '  {"x": 7} ', '{"x": "]"}', "]["]
+    (folder / "odd.txt").write_text("\n".join(odd))
+    assert [r["line_no"] for r in audited_entries(spark, f"file://{folder}/odd.txt", "x string").where("NOT bad").orderBy("line_no").collect()] == [7, 8]
     with pytest.raises(Exception, match="line [45]: invalid JSON"):
         strict_entries(spark, f"file://{folder}/a.jsonl", "x int", 16).collect()
 
