@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -56,35 +56,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return _write(df, new_dir(df.sparkSession, name))
 
 
-def maybe_among(keys: DataFrame, key: str, bits: int = 26) -> Callable[[Column], Column]:
-    """A condition that holds for each value of keys' column `key` and for few others, for leaving most rows out before a join or a costly step.
+class MaybeAmong:
+    """Tells values that are among those of keys' column `key`, and few others, for leaving most rows out before a join or a costly step.
 
     Values are hashed to 2 ** bits slots. Tasks mark the slots in pieces, which come to the driver and go to all tasks: 8 MB, whatever the size of the
     corpus; where most slots are marked, it leaves out little, and what follows is right all the same.
     """
-    spark, piece = keys.sparkSession, 13
-    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
-
-    def mark(table: pa.Table) -> pa.Table:
-        marked = np.zeros(1 << piece, dtype=bool)
-        marked[table.column("slot").to_numpy() & ((1 << piece) - 1)] = True
-        return pa.table({"piece": table.column("piece").slice(0, 1), "marked": pa.array([np.packbits(marked).tobytes()], pa.binary())})
-
-    slots = keys.select(slot(F.col(key)).alias("slot")).distinct().withColumn("piece", F.shiftright("slot", piece))
-    table = slots.groupBy("piece").applyInArrow(mark, "piece long, marked binary").toArrow()
-    marked = np.zeros((1 << bits) // 8, dtype=np.uint8).reshape(-1, (1 << piece) // 8)
-    for at, part in zip(table.column("piece").to_pylist(), table.column("marked").to_pylist(), strict=True):
-        marked[at] = np.frombuffer(part, dtype=np.uint8)
-    sent = spark.sparkContext.broadcast(marked.ravel())
-
-    def look(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bytes_ = sent.value
-        for part in parts:
-            at = part.to_numpy()
-            yield pd.Series((bytes_[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
-
-    found = F.pandas_udf(look, "boolean")
-    return lambda c: found(slot(c))
+
+    def __init__(self, keys: DataFrame, key: str, bits: int = 26):
+        piece, self.bits = 13, bits
+
+        def mark(table: pa.Table) -> pa.Table:
+            marked = np.zeros(1 << piece, dtype=bool)
+            marked[table.column("slot").to_numpy() & ((1 << piece) - 1)] = True
+            return pa.table({"piece": table.column("piece").slice(0, 1), "marked": pa.array([np.packbits(marked).tobytes()], pa.binary())})
+
+        slots = keys.select(self.slot(F.col(key)).alias("slot")).distinct().withColumn("piece", F.shiftright("slot", piece))
+        table = slots.groupBy("piece").applyInArrow(mark, "piece long, marked binary").toArrow()
+        marked = np.zeros((1 << bits) // 8, dtype=np.uint8).reshape(-1, (1 << piece) // 8)
+        for at, part in zip(table.column("piece").to_pylist(), table.column("marked").to_pylist(), strict=True):
+            marked[at] = np.frombuffer(part, dtype=np.uint8)
+        self.sent = keys.sparkSession.sparkContext.broadcast(marked.ravel())
+
+    def slot(self, value: Column) -> Column:
+        """The slot of a value, which tasks look up."""
+        return F.xxhash64(value).bitwiseAND(F.lit((1 << self.bits) - 1))
+
+    @staticmethod
+    def look(sent, slots: np.ndarray) -> np.ndarray:
+        """Whether slots are marked; sent is the broadcast marks."""
+        return (sent.value[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 == 1
+
+    def holds(self, value: Column) -> Column:
+        """The same as a Column; a stage that runs Python over its rows anyway looks up slots there instead, for a second Python worker beside it costs memory."""
+        sent, look = self.sent, self.look
+
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for part in parts:
+                yield pd.Series(look(sent, part.to_numpy()))
+
+        return F.pandas_udf(run, "boolean")(self.slot(value))
 
 
 class Scratch:

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, components, free_name, maybe_among, slices, written
+from corvane.llm.common import MaybeAmong, Scratch, components, free_name, slices, written
 
 #: Shingles are told apart as common or not by their first 24 bits.
 _SLOT = np.uint64(40)
@@ -175,9 +175,12 @@ def _signatures(width: int, num: int, den: int, levels):
     return run
 
 
-def _full_sets(width: int):
+def _full_sets(width: int, sent):
+    """Digests and sets of the texts (slot, text) whose slot is marked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for batch in batches:
+            whole = batch.filter(pa.array(MaybeAmong.look(sent, batch.column(0).to_numpy()))).select([1])
             for part in slices(whole, 0):
                 sets = shingle_sets(part.column(0).cast(pa.binary()).to_pylist(), width)
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "shingles"])
@@ -395,8 +398,8 @@ def jaccard_groups(docs: DataFrame, width: int, num: int, den: int, doc_id: str
     areas = scratch.write(components(probed.select("a", "b").union(spread)), "areas")
     wanted = scratch.write(areas.join(classes.select("node", "first_id", "digest", "n"), "node").withColumnRenamed("component", "area"), "wanted")
     # most texts are in no area: these are left out where they are read, so that they travel nowhere
-    texts = rows.where(maybe_among(wanted, "first_id")(F.col("doc_id")))
-    sets = texts.select("text").mapInArrow(_full_sets(width), "digest binary, shingles binary").join(wanted.select("digest", "node"), "digest")
+    among = MaybeAmong(wanted, "first_id")
+    sets = rows.select(among.slot(F.col("doc_id")).alias("slot"), "text").mapInArrow(_full_sets(width, among.sent), "digest binary, shingles binary").join(wanted.select("digest", "node"), "digest")
     sets = scratch.write(sets.dropDuplicates(["node"]).select("node", "shingles"), "sets")
     fits = wanted.groupBy("area").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
     fits = scratch.write(fits.select("area", ((F.col("members") <= tile) & (F.col("total") <= tile_shingles)).alias("fits")), "fits")
@@ -471,7 +474,7 @@ def first_of_groups(docs: DataFrame, width: int, num: int, den: int, doc_id: str
     marked = written(judged.where("first_of IS NULL OR copies > 1").select("row_of", F.col("first_of").isNotNull().alias("repeated")), "others")
     # and only rows that may be among them travel
     told = free_name(keyed, "row_told")
-    split = keyed.withColumn(told, maybe_among(marked, "row_of")(F.col(mark)))
+    split = keyed.withColumn(told, MaybeAmong(marked, "row_of").holds(F.col(mark)))
     met = split.where(F.col(told)).drop(told)
     alone = met.join(marked, F.col(mark) == F.col("row_of"), "left_anti")
     repeated = met.join(marked.where("repeated"), F.col(mark) == F.col("row_of"), "left_semi").dropDuplicates([mark])
