@@ -32,6 +32,7 @@ from corvane.llm.common import slices, written
 
 #: Patterns that are features of a text wherever they match.
 PATTERNS = {"re:marks": re.compile(r"[!?]{2,}"), "re:capitals": re.compile(r"\b[A-Z]{4,}\s+[A-Z]{4,}\b"), "re:masked": re.compile(r"\b[A-Za-z][*@#$]{1,4}[A-Za-z]{1,6}\b"), "re:stretched": re.compile(r"([A-Za-z])\1{3,}")}
+_SLOTS = 1 << 23
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_~`/\\…«»“”‘’"
 
 
@@ -76,11 +77,14 @@ class _Texts:
         self.phrases = [(*f.split(" "), i) for f, i in self.at.items() if " " in f]
 
     def features(self, text: str) -> set[str]:
-        raw = text.split()
-        out = {f for w in set(raw) for f in self.names[w]}
-        plain = [n[0] if (n := self.names[w]) else "" for w in raw]
-        out |= {f"{a} {b}" for a, b in set(zip(plain, plain[1:])) if a and b}  # noqa: B905
-        return out | {n for n, p in PATTERNS.items() if p.search(text)}
+        """Words, beginnings and patterns of a text; phrases are looked for by `phrases_of`."""
+        return {f for w in set(text.split()) for f in self.names[w]} | {n for n, p in PATTERNS.items() if p.search(text)}
+
+    def phrases_of(self, text: str) -> set[int]:
+        """Numbers a * n + b of the phrases of two words that both are among the n features."""
+        raw, n = text.split(), len(self.at)
+        place = [self.at.get(x[0], -1) if (x := self.names[w]) else -1 for w in raw]
+        return {a * n + b for a, b in set(zip(place, place[1:])) if a >= 0 and b >= 0}  # noqa: B905
 
     def places(self, text: str | None) -> list[int]:
         """Sorted places of the text's features; a phrase is looked for only in texts that hold both of its words."""
@@ -104,10 +108,28 @@ class _Texts:
         return sorted(found)
 
 
-def _mined(labelled: DataFrame, settings: Settings) -> tuple[list[tuple[str, int, int]], int, int]:
-    """Features by how far their toxic rows exceed (or miss) chance, (feature, toxic rows, clean rows), and the numbers of rows.
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows without most of those whose doc_id isn't among ids, by a map of _SLOTS bits: a join of texts after it shuffles few others."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(_SLOTS)).cast("int")
+    marks = np.zeros(_SLOTS, dtype=bool)
+    marks[ids.select(slot.alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True
+    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            some = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            yield pa.RecordBatch.from_arrays(some.columns[1:], names=["doc_id", "text"])
+
+    return rows.select(slot.alias("slot"), "doc_id", "text").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+
 
-    A phrase is a feature only if both of its words are. All rows are counted; the surest `features` are kept.
+def _mined(some: DataFrame, known: DataFrame, settings: Settings) -> tuple[list[tuple[str, int, int]], int, int]:
+    """Features by how far their toxic rows exceed (or miss) chance, (feature, toxic rows, clean rows), and the numbers of rows; some (doc_id, text) holds all rows that are known.
+
+    All rows are counted; the surest `features` are kept. A phrase is a feature only if both of its words are, so phrases are counted after words, of words that can be: as
+    numbers for each text, which meet their labels without the texts.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +152,7 @@ def _mined(labelled: DataFrame, settings: Settings) -> tuple[list[tuple[str, int
                         yield from out()
         yield from out()
 
-    found = labelled.select("text", "toxic").mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = some.join(known.hint("merge"), "doc_id").select("text", "toxic").mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     found = written(found.where(F.col("toxic") + F.col("clean") >= settings.min_rows), "features")
     totals = found.where("feature = ''").first()
     if totals is None:
@@ -138,8 +160,24 @@ def _mined(labelled: DataFrame, settings: Settings) -> tuple[list[tuple[str, int
     n_toxic, n_clean = totals.toxic, totals.clean
     share = n_toxic / (n_toxic + n_clean)
     rows = F.col("toxic") + F.col("clean")
-    found = found.where("feature <> ''").withColumn("z", F.abs((F.col("toxic") - rows * share) / F.sqrt(rows * share * (1 - share) + 1)))
-    best = [(r.feature, r.toxic, r.clean) for r in found.where(F.col("z") >= settings.min_z).orderBy(F.desc("z"), "feature").limit(settings.features).collect()]
+    z = F.abs((F.col("toxic") - rows * share) / F.sqrt(rows * share * (1 - share) + 1))
+    surest = lambda df: [(r.feature, r.toxic, r.clean) for r in df.withColumn("z", z).where(F.col("z") >= settings.min_z).orderBy(F.desc("z"), "feature").limit(settings.features).collect()]
+    best = surest(found.where("feature <> ''"))
+    words = [f for f, _, _ in best if not f.endswith("*") and f not in PATTERNS]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = _Texts(settings.stem, words)
+        for whole in batches:
+            for batch in slices(whole, 1):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(texts.phrases_of(t or "")) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "phrases"])
+
+    told = some.mapInArrow(pairs, f"doc_id {some.schema['doc_id'].dataType.simpleString()}, phrases array<int>").where(F.size("phrases") > 0).join(known, "doc_id")
+    told = told.select(F.explode("phrases").alias("phrase"), "toxic").groupBy("phrase").agg(F.sum("toxic").cast("long").alias("toxic"), F.sum(1 - F.col("toxic")).cast("long").alias("clean")).where(rows >= settings.min_rows)
+    names = some.sparkSession.createDataFrame(list(enumerate(words)), "i int, word string")  # settings.features rows at most
+    first, second = names.toDF("i", "a"), names.toDF("j", "b")
+    told = told.join(F.broadcast(first), F.floor(F.col("phrase") / len(words)) == F.col("i")).join(F.broadcast(second), F.col("phrase") % len(words) == F.col("j")) if words else told.limit(0).withColumns({"a": F.lit(""), "b": F.lit("")})
+    phrases = written(told.select(F.concat_ws(" ", "a", "b").alias("feature"), "toxic", "clean"), "phrases")
+    best = surest(found.where("feature <> ''").unionByName(phrases))
     single = {f for f, _, _ in best if " " not in f}
     return [x for x in best if " " not in x[0] or set(x[0].split(" ")) <= single], n_toxic, n_clean
 
@@ -237,8 +275,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "d
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("toxic")).where(F.coalesce(train, F.lit(False)) & F.col("toxic").isin(0, 1))
     known = written(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "known")
     known = written(known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), "known")  # labels of documents that are there
-    labelled = rows.join(known, "doc_id").select("text", "toxic")
-    mined, n_toxic, n_clean = _mined(labelled, settings)
+    mined, n_toxic, n_clean = _mined(_among(rows.where("train"), known), known, settings)
     share = n_toxic / max(n_toxic + n_clean, 1)
     if not (n_toxic and n_clean and mined):
         return rows.select("doc_id", "train", F.lit(float(share)).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
@@ -251,8 +288,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column, doc_id: str = "d
     a = np.array([(x[1] + 0.5) / (n_toxic + 1) for x in voters])
     b = np.array([(x[2] + 0.5) / (n_clean + 1) for x in voters])
     names = [f for f, _, _ in voters]
-    marked = rows.where("train").join(known, "doc_id", "left").withColumn("known", F.coalesce("toxic", F.lit(-1)))
-    votes = _places_of(marked, names, settings.stem, "known")
+    votes = _places_of(rows.where("train"), names, settings.stem, "doc_id").join(known, "doc_id", "left").withColumn("known", F.coalesce("toxic", F.lit(-1)))
     patterns = written(votes.groupBy("places", "known").agg(F.count(F.lit(1)).alias("n")).select("places", "known", "n"), "patterns")
     model = label_model(patterns, share, a, b, settings.em_rounds, settings.label_odds)
 

@@ -191,3 +191,23 @@ def test_label_model_is_em(spark):
             w.append(1 / (1 + sum(x for x in rho if x > 0.5)))
     assert np.allclose(got[1], a, atol=1e-4) and np.allclose(got[2], b, atol=1e-4) and np.allclose(got[3], w, atol=1e-3)
     assert w[0] < 0.6 and w[4] < 0.6 and w[3] == 1 and a[2] < b[2]
+
+
+def test_toxicity_mines_labelled_texts_alone(spark, toxic_rows):
+    """Rows without labels go before texts are joined, and counts of words and phrases are those of all labelled texts."""
+    rows, labels = toxic_rows
+    rows = [(i, t and t.replace("nasty. ", "Vile! rotten ")) for i, t, _ in rows]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    known = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("doc_id % 5 <> 0")
+    some = tx._among(docs.select("doc_id", "text"), known)
+    assert known.join(docs, "doc_id").count() <= some.count() < docs.count()
+    mined, n_toxic, n_clean = tx._mined(some, known, tx.Settings())
+    texts, want = tx._Texts(6), {}
+    labelled = docs.join(known, "doc_id").select("text", "toxic").collect()
+    for r in labelled:
+        raw = [n[0] if (n := texts.names[w]) else "" for w in (r.text or "").split()]
+        for f in texts.features(r.text or "") | {f"{a} {b}" for a, b in zip(raw, raw[1:]) if a and b}:  # noqa: B905
+            want.setdefault(f, [0, 0])[r.toxic] += 1
+    assert len(labelled) == n_toxic + n_clean and mined
+    assert all(want[f] == [clean, toxic] for f, toxic, clean in mined)
+    assert ("vile rotten" in {f for f, _, _ in mined}) == (want["vile rotten"][1] >= 3)
