@@ -100,7 +100,8 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: int, salt_b
     salt = free_name("salt", left, right)
     a = left.withColumn(salt, F.pmod(F.xxhash64(salt_by), F.lit(spread)).cast("int"))
     b = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    return a.join(b, [key, salt]).drop(salt)
+    # a broadcast would hold right once for each salt in every task, and needs no salts
+    return a.join(b.hint("merge"), [key, salt]).drop(salt)
 
 
 def exponential_mean(df: DataFrame, key: str, value: str, order: list[str], weight: float, out: str = "ema") -> DataFrame:
