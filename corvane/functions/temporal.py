@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,9 +159,11 @@ def event_matches(phrases: DataFrame, texts: DataFrame, phrase_id: str, phrase:
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
                 rows = []
+                code, texts = pd.factorize(part["x"])  # equal texts are matched once
                 for name, needle in sent.value:
-                    scores = [(partial_ratio(needle, x, LEAST_SCORE), i) for i, x in zip(part["t"], part["x"], strict=True)]
-                    rows += [(name, i, s) for s, i in sorted((x for x in scores if x[0] >= LEAST_SCORE), key=lambda x: (-x[0], x[1]))[:k]]
+                    score = np.array([partial_ratio(needle, x, LEAST_SCORE) for x in texts], dtype=float)[code]
+                    at = np.flatnonzero(score >= LEAST_SCORE)
+                    rows += [(name, i, s) for s, i in sorted(zip(score[at].tolist(), part["t"].iloc[at], strict=True), key=lambda x: (-x[0], x[1]))[:k]]
                 yield pd.DataFrame(rows, columns=["p", "t", "s"])
 
         heads = texts.where(F.col(text_id).isNotNull()).select(F.col(text_id).alias("t"), F.lower(F.substring(F.coalesce(F.col(text), F.lit("")), 1, head)).alias("x"))
