@@ -53,7 +53,7 @@ def numbered_entries(s, d):
     home = new_dir(s, "entries")
     t(s, d, "events").repartitionByRange("event_id").sortWithinPartitions("event_id").select(row.alias("value")).write.text(home)
     rows = files.audited_entries(s, home, "event_id long, value double, props string", range_bytes=64 << 10)
-    sizes = files.numbered_lines(s, home, 64 << 10).groupBy("path").agg(F.max("line_no").alias("n"))  # one row a file; files are in order of their names
+    sizes = files.lines(s, home, 64 << 10).groupBy("path").agg(F.count(F.lit(1)).alias("n"))  # one row a file; files are in order of their names
     before = sizes.select(F.col("path").alias("of"), (F.sum("n").over(Window.orderBy("path")) - F.col("n")).alias("before"))
     return rows.join(F.broadcast(before), F.col("path") == F.col("of")).select((F.col("before") + F.col("line_no")).alias("line_no"), "bad", F.col("entry.event_id").alias("event_id"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 NAME = "corvane_lines"
+TASK_BYTES = 4 << 20
 
 
 @dataclass
@@ -23,12 +24,19 @@ class ByteRange(InputPartition):
     end: int
 
 
+@dataclass
+class ByteRanges(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    parts: list[ByteRange]
+
+
 class _LineReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.size, self.tail = options["path"], int(options.get("rangebytes", 32 << 20)), int(options.get("tailbytes", 0))
 
-    def partitions(self) -> list[ByteRange]:
-        """A range for each rangeBytes of each file; with tailBytes only of the last so many bytes."""
+    def partitions(self) -> list[ByteRanges]:
+        """A range for each rangeBytes of each file; with tailBytes only of the last so many bytes. Short ranges share a task, up to TASK_BYTES."""
         system, root = fs.FileSystem.from_uri(self.path)
         found = system.get_file_info(root)
         if found.type == fs.FileType.NotFound:
@@ -41,9 +49,14 @@ class _LineReader(DataSourceReader):
         for f in sorted(files, key=lambda f: f.path):
             first = max(0, f.size - self.tail) if self.tail else 0
             out += [ByteRange(uri(f), at, min(at + self.size, f.size)) for at in range(first, f.size, self.size)]
-        return out or [ByteRange("", 0, 0)]
+        each = max(1, TASK_BYTES // self.size)
+        return [ByteRanges(out[i : i + each]) for i in range(0, len(out), each)] or [ByteRanges([])]
+
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts:
+            yield from self._lines(part)
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def _lines(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         """Lines that begin in the range; the last may end beyond it. A tail's first line is left out where the tail cuts it."""
         if partition.start >= partition.end:
             return
