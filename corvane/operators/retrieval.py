@@ -95,8 +95,10 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str,
             first = np.cumsum(times) - times
             best: tuple = ()
             for whole in batches:
-                for at in range(0, whole.num_rows, 512):
-                    batch = whole.slice(at, 512)
+                # a row has at most len(table) hits, so these slices bound them
+                step = max(1, min(512, 1_000_000 // max(len(table), 1)))
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
                     lists = batch.column(1)
                     cut = lists.offsets.to_numpy()
                     dl = np.diff(cut)
@@ -140,7 +142,7 @@ def hashed_vectors(docs: DataFrame, doc_id: str, text: str = "text", size: int =
     name = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             coded = batch.column(1).flatten().dictionary_encode()
             slot = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % size for w in coded.dictionary.to_pylist()], dtype=np.int64)
             row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
@@ -186,9 +188,14 @@ def _scored(base: DataFrame, queries: DataFrame, pick: Callable[[np.ndarray, np.
                     batch = whole.slice(at, 2000)
                     lists = batch.column(1)
                     rows = unit(lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1))
-                    sim = np.round(rows @ block.T, 6) + 0.0
-                    r, q = pick(sim, batch.column(0).to_numpy(zero_copy_only=False))
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(0).take(pa.array(r)), pa.array(sim[r, q])], names=["q", "v", "s"])
+                    own = batch.column(0).to_numpy(zero_copy_only=False)
+                    # tiles of a million cosines, however many queries there are
+                    for low in range(0, len(block), 512):
+                        sim = np.round(rows @ block[low : low + 512].T, 6) + 0.0
+                        r, q = pick(sim, own)
+                        for some in range(0, len(r), 100_000):
+                            i, j = r[some : some + 100_000], q[some : some + 100_000]
+                            yield pa.RecordBatch.from_arrays([names.take(pa.array(low + j)), batch.column(0).take(pa.array(i)), pa.array(sim[i, j])], names=["q", "v", "s"])
 
         rows = base.where(fit & (F.size(vector) == vectors.shape[1])).select(F.col(vec_id), F.col(vector)).mapInArrow(run, f"q {kinds[1]}, v {kinds[0]}, s double")
         return rows.toDF(query_id, vec_id, "similarity")
