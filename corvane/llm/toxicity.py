@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,11 +125,40 @@ def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.select(slot.alias("slot"), "doc_id", "text").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
+def _summed(n: int) -> Callable:
+    """Of batches (phrases, toxic): for each first word of phrases among n words the second ones, with the toxic and the clean rows of each; a task gives n rows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a cell for each phrase: 4 bytes times n * n for either label
+        seen = np.zeros((2, n, n), dtype=np.int32)
+        for batch in batches:
+            lists = batch.column(0)
+            of = np.repeat(batch.column(1).to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy()))
+            np.add.at(seen.reshape(-1), of * n * n + lists.flatten().to_numpy(), 1)
+        for a in np.flatnonzero(seen.any(axis=(0, 2))):
+            last = np.flatnonzero(seen[:, a].any(axis=0))
+            yield pa.RecordBatch.from_pydict({"first": pa.array([a], pa.int32()), "last": pa.array([last], pa.list_(pa.int32())), "toxic": pa.array([seen[1, a, last]], pa.list_(pa.int64())), "clean": pa.array([seen[0, a, last]], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _added(n: int, least: int) -> Callable:
+    """Of the rows of one first word: (phrase, toxic, clean) of its phrases with `least` rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        first, (last, toxic, clean) = table["first"][0].as_py(), (table[c].combine_chunks().flatten().to_numpy() for c in ("last", "toxic", "clean"))
+        toxic, clean = (np.bincount(last, weights=x, minlength=n).astype(np.int64) for x in (toxic, clean))
+        last = np.flatnonzero(toxic + clean >= least)
+        return pa.table({"phrase": pa.array((first * n + last).astype(np.int32)), "toxic": toxic[last], "clean": clean[last]})
+
+    return run
+
+
 def _mined(some: DataFrame, known: DataFrame, settings: Settings) -> tuple[list[tuple[str, int, int]], int, int]:
     """Features by how far their toxic rows exceed (or miss) chance, (feature, toxic rows, clean rows), and the numbers of rows; some (doc_id, text) holds all rows that are known.
 
     All rows are counted; the surest `features` are kept. A phrase is a feature only if both of its words are, so phrases are counted after words, of words that can be: as
-    numbers for each text, which meet their labels without the texts.
+    numbers for each text, which meet their labels without the texts and are summed where they do.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +200,8 @@ def _mined(some: DataFrame, known: DataFrame, settings: Settings) -> tuple[list[
             for batch in slices(whole, 1):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(texts.phrases_of(t or "")) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "phrases"])
 
-    told = some.mapInArrow(pairs, f"doc_id {some.schema['doc_id'].dataType.simpleString()}, phrases array<int>").where(F.size("phrases") > 0).join(known, "doc_id")
-    told = told.select(F.explode("phrases").alias("phrase"), "toxic").groupBy("phrase").agg(F.sum("toxic").cast("long").alias("toxic"), F.sum(1 - F.col("toxic")).cast("long").alias("clean")).where(rows >= settings.min_rows)
+    told = some.mapInArrow(pairs, f"doc_id {some.schema['doc_id'].dataType.simpleString()}, phrases array<int>").where(F.size("phrases") > 0).join(known.hint("merge"), "doc_id")
+    told = told.select("phrases", "toxic").mapInArrow(_summed(len(words)), "first int, last array<int>, toxic array<long>, clean array<long>").groupBy("first").applyInArrow(_added(len(words), settings.min_rows), "phrase int, toxic long, clean long")
     names = some.sparkSession.createDataFrame(list(enumerate(words)), "i int, word string")  # settings.features rows at most
     first, second = names.toDF("i", "a"), names.toDF("j", "b")
     told = told.join(F.broadcast(first), F.floor(F.col("phrase") / len(words)) == F.col("i")).join(F.broadcast(second), F.col("phrase") % len(words) == F.col("j")) if words else told.limit(0).withColumns({"a": F.lit(""), "b": F.lit("")})

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +212,16 @@ def test_toxicity_mines_labelled_texts_alone(spark, toxic_rows):
     assert len(labelled) == n_toxic + n_clean and mined
     assert all(want[f] == [clean, toxic] for f, toxic, clean in mined)
     assert ("vile rotten" in {f for f, _, _ in mined}) == (want["vile rotten"][1] >= 3)
+
+
+def test_toxicity_makes_no_row_for_each_phrase_of_a_text(spark, monkeypatch):
+    """Phrases are summed where they meet their labels: a task gives a row for each first word."""
+    docs = spark.createDataFrame([(i, f"{'vile nasty' if i % 4 == 0 else 'kind mild'} x{i}") for i in range(400)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    plans, written = [], tx.written
+    monkeypatch.setattr(tx, "written", lambda df, name: (plans.append((name, df._jdf.queryExecution().toString())), written(df, name))[1])
+    mined = {f: (toxic, clean) for f, toxic, clean in tx._mined(docs, known, tx.Settings(min_z=1.0))[0]}
+    assert mined["vile nasty"] == (100, 0) and mined["kind mild"] == (0, 300)
+    assert [name for name, _ in plans] == ["features", "phrases"] and not any("Generate" in plan for _, plan in plans)
+    batch = pa.RecordBatch.from_pydict({"phrases": pa.array([[1, 2], [1], [5]], pa.list_(pa.int32())), "toxic": pa.array([1, 0, 0], pa.int32())})
+    assert [x for b in tx._summed(3)(iter([batch, batch])) for x in b.to_pylist()] == [{"first": 0, "last": [1, 2], "toxic": [2, 2], "clean": [2, 0]}, {"first": 1, "last": [2], "toxic": [0], "clean": [2]}]
