@@ -43,6 +43,32 @@ def test_surest_new_link_is_that_of_all_pairs(spark):
     assert {r["a"]: (r["b"], r["direction"], r["confidence"]) for r in got} == want and len(got) == len(want) > 3
 
 
+def test_links_are_dealt_by_pairs_and_scored_by_lists(spark, monkeypatch):
+    """All pairs of small blocks; before, the bytes of the drivers, which are few, gave one task all pairs."""
+    monkeypatch.setattr(insight, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(insight, "SHARE", 60, raising=False)
+    rng = random.Random(5)
+    kinds = [(9, 2, 1, 1), (8, 4, 0, 4), (2, 9, 0, 3), (0, 5, 0, 0), (6, 6, 0, 6), (5, 0, 5, 0), (3, 5, 0, 0), (13, 10, 0, 5), (6, 10, 6, 10), (1, 3, 0, 3)]
+    counts = {x: rng.choice(kinds) for x in [None, *[f"user {i}" for i in range(70)]]}
+    rows = []
+    for x, (r, e, rq, eq) in counts.items():
+        rows += [(x, "2024-01-25", i < rq) for i in range(r)] + [(x, "2024-01-18", i < eq) for i in range(e)] + [(x, "2024-01-16", True), (x, "2024-01-31", True)]
+    turns = spark.createDataFrame(rows, "x string, ts string, ask boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+    want = {}
+    for a, (ar, ae, *_) in counts.items():
+        for b, (r, e, rq, eq) in counts.items():
+            shift, fell = (eq / e if e else 0) - (rq / r if r else 0), 10 * r < 6 * e
+            shifted = shift >= 0.25 and r >= 4
+            if None not in (a, b) and a != b and ar >= 4 and 10 * ar > 13 * ae and e >= 4 and (shifted or fell):
+                sure = 0.35 + 0.3 * (ar - ae) / ar + 0.25 * max(0, min(shift, 1)) + 0.2 * ((e - r) / e if fell else 0)
+                want[a, b] = ("a_rising__b_engagement_drop" if shifted else "a_rising__b_volume_drop", round(min(sure, 0.7), 6))
+    out = insight.domain_links(turns, "x", "ts", F.col("ask"), *insight._NOW)
+    got = out.collect()
+    assert {(r["a"], r["b"]): (r["direction"], r["confidence"]) for r in got} == want and len(got) == len(want) > 300
+    assert "BroadcastNestedLoopJoin" not in plan_of(out) and out.rdd.getNumPartitions() > 4
+    assert insight.domain_links(turns.where("false"), "x", "ts", F.col("ask"), *insight._NOW).count() == 0
+
+
 def test_exact_and_approximate_counts_are_apart(spark):
     """No sketch is kept for each order."""
     plan = plan_of(everyday.approx_distinct(spark, "/root/testdata/sf0.001"))
