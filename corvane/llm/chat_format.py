@@ -35,6 +35,12 @@ NODE = "struct<parent:int,first_token:int,n_tokens:int,position:int,loss_first:i
 PACKS = f"token_ids array<int>, position_ids array<int>, nodes array<{NODE}>, conversations array<struct<conv_id:long,leaf:int>>"
 _NODE_TYPE = pa.struct([("parent", pa.int32()), ("first_token", pa.int32()), ("n_tokens", pa.int32()), ("position", pa.int32()), ("loss_first", pa.int32()), ("loss_tokens", pa.int32()), ("ancestors", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
 _PACK_SCHEMA = pa.schema([("token_ids", pa.list_(pa.int32())), ("position_ids", pa.list_(pa.int32())), ("nodes", pa.list_(_NODE_TYPE)), ("conversations", pa.list_(pa.struct([("conv_id", pa.int64()), ("leaf", pa.int32())])))])
+#: A pack is a row of half a megabyte; Parquet's row groups are held whole where they are written and read, so they get some 50 packs instead of several hundred.
+ROW_GROUPS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 8, "parquet.page.size.row.check.min": 8}
+#: Conversations that go to Python at once where packs are made; by default it is 10,000.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
+# Bytes of texts that a task gives at once.
+_GIVEN = 4 << 20
 _TURN = re.compile(r'<turn ("(?:[^"\\]|\\.)*")>\n')
 _TOKENIZERS: dict[str, object] = {}
 
@@ -161,7 +167,7 @@ def pack_conversations(turns: DataFrame, tokenizer: str, conv_id: str = "conv_id
     rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.struct(F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     paths = whole.mapInArrow(_paths, PATHS).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
-    return written(paths.mapInArrow(_packer(tokenizer, loss_role, pack_tokens), PACKS), "packs")
+    return written(paths.mapInArrow(_packer(tokenizer, loss_role, pack_tokens), PACKS), "packs", ROW_GROUPS, BATCHES)
 
 
 READ = "conv_id long, formatted string, roles array<string>, texts array<string>, loss_text string"
@@ -174,23 +180,31 @@ def read_packs(packs: DataFrame, tokenizer: str) -> DataFrame:
         t = _tokenizer(tokenizer)
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {n: batch.column(i)[k].as_py() for i, n in ((0, "ids"), (2, "nodes"), (3, "conversations"))}
-                ids, nodes = row["ids"], row["nodes"]
-                spans = [ids[n["first_token"]:n["first_token"] + n["n_tokens"]] for n in nodes] + [ids[n["loss_first"]:n["loss_first"] + n["loss_tokens"]] if n["loss_tokens"] else [] for n in nodes]
+                ids, parent, first, size, loss_first, loss_size, conversations = (batch.column(i)[k].as_py() for i in range(7))
+                spans = [ids[at:at + n] for at, n in zip(first, size, strict=True)] + [ids[at:at + n] if n else [] for at, n in zip(loss_first, loss_size, strict=True)]
                 plain = t.decode_batch(spans, skip_special_tokens=False)
-                out = []
-                for c in row["conversations"]:
+                out, held = [], 0
+                for c in conversations:
                     chain, at = [], c["leaf"]
                     while at >= 0:
                         chain.append(at)
-                        at = nodes[at]["parent"]
+                        at = parent[at]
                     chain.reverse()
                     formatted = "".join(plain[n] for n in chain)
                     pairs = parse(formatted)
-                    out.append((c["conv_id"], formatted, [r for r, _ in pairs], [x for _, x in pairs], "".join(unescape(plain[len(nodes) + n]) for n in chain)))
-                for at in range(0, len(out), 200):
-                    cols = zip(*out[at:at + 200], strict=True)
-                    types = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), ty) for c, ty in zip(cols, types, strict=True)], names=["conv_id", "formatted", "roles", "texts", "loss_text"])
-
-    return packs.mapInArrow(read, READ)
+                    out.append((c["conv_id"], formatted, [r for r, _ in pairs], [x for _, x in pairs], "".join(unescape(plain[len(parent) + n]) for n in chain)))
+                    # a turn that conversations share is once in the pack but in each of their texts
+                    held += 3 * len(formatted)
+                    if held > _GIVEN or len(out) == 200:
+                        yield given(out)
+                        out, held = [], 0
+                if out:
+                    yield given(out)
+
+    def given(out: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), ty) for c, ty in zip(zip(*out, strict=True), types, strict=True)], names=["conv_id", "formatted", "roles", "texts", "loss_text"])
+
+    # positions and ancestors aren't needed to read texts, and are more than half of a pack
+    needed = packs.select("token_ids", *[F.col(f"nodes.{n}").alias(n) for n in ("parent", "first_token", "n_tokens", "loss_first", "loss_tokens")], "conversations")
+    return needed.mapInArrow(read, READ)

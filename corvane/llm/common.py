@@ -39,21 +39,23 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corvane-{name}-{uuid.uuid4().hex}"
 
 
-def _write(df: DataFrame, path: str) -> DataFrame:
-    """Writes df and gives the table; the shuffle files behind it go with the write, not once the driver collects its garbage."""
-    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+def _write(df: DataFrame, path: str, options: dict | None = None, conf: dict | None = None) -> DataFrame:
+    """Writes df and gives the table; the shuffle files behind it go with the write, not once the driver collects its garbage. Settings of conf hold for the write only."""
+    spark, conf = df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | (conf or {})
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written once in the shared folder: its lineage ends there, so lost executors cost no recomputation."""
-    return _write(df, new_dir(df.sparkSession, name))
+def written(df: DataFrame, name: str, options: dict | None = None, conf: dict | None = None) -> DataFrame:
+    """df as a table written once in the shared folder, with options of the writer and settings that hold for the write: its lineage ends there, so lost executors cost no recomputation."""
+    return _write(df, new_dir(df.sparkSession, name), options, conf)
 
 
 class MaybeAmong:

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,26 @@ def test_chat_packs_share_prefixes(spark):
     assert chat_format.pack_conversations(turns.limit(0), tokenizer).count() == 0
 
 
+def test_chat_packs_are_held_in_small_parts(spark, tmp_path, monkeypatch):
+    """A long first turn that all conversations share: packs are in row groups of a few, and texts are read without positions and ancestors."""
+    monkeypatch.setattr(chat_format, "ROW_GROUPS", {"parquet.block.size": 1 << 16, "parquet.block.size.row.check.min": 2, "parquet.page.size.row.check.min": 2}, raising=False)
+    monkeypatch.setattr(chat_format, "_GIVEN", 50_000, raising=False)
+    monkeypatch.setattr("corvane.llm.common.shared_dir", lambda _: f"file://{tmp_path}")
+    first = " ".join(f"word{i}" for i in range(3000))
+    rows = [(i, 0, "user", first) for i in range(60)] + [(i, 1, "assistant", f"answer {i} " * 300) for i in range(60)]
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    packs = chat_format.pack_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1), tokenizer, pack_tokens=10_000)
+    read = chat_format.read_packs(packs, tokenizer)
+    got = {r.conv_id: (r.texts, r.loss_text) for r in read.collect()}
+    assert got == {i: ([first, f"answer {i} " * 300], f"answer {i} " * 300) for i in range(60)}
+    groups = [f.metadata.row_group(i).num_rows for p in tmp_path.rglob("*.parquet") for f in [pq.ParquetFile(p)] for i in range(f.num_row_groups)]
+    assert sum(groups) == packs.count() > 8 and max(groups) <= 4
+    scan = next(x for x in read._jdf.queryExecution().toString().splitlines() if "ReadSchema" in x)
+    assert "position_ids" not in scan and "ancestors" not in scan
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+
+
 def test_mixing_meets_budgets(spark):
     rows = [(i, ["a", "b", None][i % 3] if i < 90 else "c", "w " * (i % 7), 5) for i in range(100)] + [(7, "a", None, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, size int")
