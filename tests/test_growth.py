@@ -69,6 +69,16 @@ def test_links_are_dealt_by_pairs_and_scored_by_lists(spark, monkeypatch):
     assert insight.domain_links(turns.where("false"), "x", "ts", F.col("ask"), *insight._NOW).count() == 0
 
 
+def test_a_task_names_the_domains_of_few_blocks(spark, monkeypatch):
+    """So that files of the result hold a name once; before, each task named those of all blocks."""
+    monkeypatch.setattr(insight, "BLOCK", 10)
+    monkeypatch.setattr(insight, "SHARE", 100)
+    turns = [(f"up {i}", "2024-01-25", False) for i in range(40) for _ in range(5)] + [(f"down {i}", "2024-01-18", False) for i in range(60) for _ in range(5)]
+    turns = spark.createDataFrame(turns, "x string, ts string, ask boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = insight.domain_links(turns, "x", "ts", F.col("ask"), *insight._NOW).groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("b").alias("names"), F.count("b").alias("pairs")).collect()
+    assert sum(r["pairs"] for r in out) == 2400 and len(out) > 10 and max(r["names"] for r in out) <= 35
+
+
 def test_exact_and_approximate_counts_are_apart(spark):
     """No sketch is kept for each order."""
     plan = plan_of(everyday.approx_distinct(spark, "/root/testdata/sf0.001"))
